@@ -55,13 +55,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Texts:
-    """Some texts: their bytes, and the word boundaries in them."""
+    """Some texts: their bytes, and the boundaries of words, which the bytes flagged in ``gaps`` part."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         self.data = data
         self.offsets = offsets
         n = len(data)
-        word = ~SPACE[data]
+        word = ~gaps[data]
         prev = np.empty(n + 1, dtype=bool)
         prev[0] = False
         prev[1:] = word
