@@ -1,6 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
+from . import secret_scan
+from .decontaminate import op9_decontaminate
 from .ngram_join import op2_ngram_join
+from .packing import op3_packing
+from .quality_rules import op10_quality_rules
+from .secret_scan import op8_secret_scan
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op8_secret_scan, op9_decontaminate, op10_quality_rules)}
+SQL: dict[str, str] = {"op8_secret_scan": secret_scan.oracle()}
