@@ -236,7 +236,7 @@ def _classify(frequent: int):
     return run
 
 
-_SETS = "s long, n long, lone long, ids binary, sigs array<long>"
+_SETS = "s long, n long, lone long, shared long, ids binary, sigs array<long>"
 
 
 def _assemble(percent: int):
@@ -263,16 +263,17 @@ def _assemble(percent: int):
         order = np.lexsort((ids, owner))
         owner, ids, often = owner[order], ids[order], often[order]
         bands = size_bands(int(sizes.max(initial=4)))
-        s, n, lone, blobs, sigs = [], [], [], [], []
+        s, n, lone, held, blobs, sigs = [], [], [], [], [], []
         cuts = np.searchsorted(owner, np.arange(len(keys) + 1))
         for k in np.flatnonzero(alive):
             part, freq = ids[cuts[k] : cuts[k + 1]], often[cuts[k] : cuts[k + 1]]
             s.append(int(keys[k].view(np.int64)))
             n.append(int(sizes[k]))
             lone.append(int(sizes[k] - freq.sum()))
+            held.append(len(part))
             blobs.append(part.astype("<u8").tobytes())
             sigs.append(signatures(int(sizes[k]), part[~freq], part[freq], percent, bands).view(np.int64))
-        return pa.table([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(lone, pa.int64()), pa.array(blobs, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["s", "n", "lone", "ids", "sigs"])
+        return pa.table([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(lone, pa.int64()), pa.array(held, pa.int64()), pa.array(blobs, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["s", "n", "lone", "shared", "ids", "sigs"])
 
     return run
 
@@ -280,28 +281,24 @@ def _assemble(percent: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            ok = np.zeros(len(a), dtype=bool)
-            last, mark = None, None
-            for i in range(len(a)):
-                p = np.frombuffer(x[i], dtype="<u8")
-                if mark is None or y[i] is not last:
-                    last, mark = y[i], np.frombuffer(y[i], dtype="<u8")
-                at = np.searchsorted(mark, p)
-                same = int((mark[np.minimum(at, len(mark) - 1)] == p).sum()) if len(mark) else 0
-                ok[i] = 100 * same >= percent * (na[i] + nb[i] - same)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            na, nb, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            same = np.zeros(len(na), dtype=np.int64)
+            for i in range(len(na)):
+                p, q = np.frombuffer(x[i], dtype="<u8"), np.frombuffer(y[i], dtype="<u8")
+                if len(q):
+                    same[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
+            linked = 100 * same >= percent * (np.array(na, dtype=np.int64) + np.array(nb, dtype=np.int64) - same)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), pa.array(linked)], ["a", "b", "same", "linked"])
 
     return run
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+    """The pairs (a, b) with the size of their intersection and whether they link."""
     left = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("ids").alias("x"))
     right = sets.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("ids").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return both.mapInArrow(_verify(percent), "a long, b long, same long, linked boolean")
 
 
 def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total: int, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
@@ -312,15 +309,16 @@ def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total:
     held = scratch.save(shared.groupBy("batch").applyInArrow(_assemble(percent), _SETS), "held")
     sigs = held.select("s", "n", "lone", F.explode("sigs").alias("sig")).distinct()
     # a signature of one set only compares nothing
-    centre = sigs.groupBy("sig").agg(F.min(F.struct("lone", "n", "s")).alias("c"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("c.s").alias("hub"), F.col("c.n").alias("hub_n"), F.col("c.lone").alias("hub_lone"), "k")
+    centre = sigs.groupBy("sig").agg(F.min(F.struct("lone", "n", "s")).alias("c"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("c.s").alias("hub"), F.col("c.n").alias("hub_n"), F.col("c.lone").alias("hub_lone"))
     sigs = scratch.save(sigs.join(centre, "sig"), "sigs")
-    near = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
-    stars = scratch.save(sigs.where(near & (F.col("s") != F.col("hub"))).groupBy(F.col("s").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("common"), F.min("hub_lone").alias("hub_lone")), "stars")
+    alike = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    stars = scratch.save(sigs.where(alike("n", "hub_n") & (F.col("s") != F.col("hub"))).groupBy(F.col("s").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("common"), F.min("hub_lone").alias("hub_lone")), "stars")
     # sets that several batches hold are kept once for the comparisons
     used = stars.select(F.col("a").alias("s")).union(stars.select(F.col("b").alias("s"))).distinct()
     sets = held.select("s", "n", "ids").join(used, "s", "left_semi").dropDuplicates(["s"])
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("common", -F.col("hub_lone"), "b")).alias("b"))
-    links = scratch.save(_compare(best, sets, percent), "links-1")
+    first = scratch.save(_compare(best, sets, percent), "seen-1")
+    links = first.where("linked").select("a", "b")
     labels = connected_components(links, scratch, "round-1")
 
     def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,24 +326,33 @@ def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total:
         lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
-    tried = best
-    rest = scratch.save(apart(stars.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels), "rest-1")
+    rest = scratch.save(apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), "rest-1")
     if rest.limit(1).count():
-        links = scratch.save(links.union(_compare(rest, sets, percent)), "links-2")
+        links = links.union(scratch.save(_compare(rest, sets, percent), "seen-2").where("linked").select("a", "b"))
         labels = connected_components(links, scratch, "round-2")
     # signatures whose members are not all in one component: their members against each other
     la = labels.withColumnRenamed("node", "s")
     open_ = sigs.select("sig", "s", "n").join(la, "s", "left").withColumn("label", F.coalesce("label", "s"))
-    mixed = open_.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    open_ = scratch.save(open_.join(mixed, "sig", "left_semi"), "open")
-    x, y = open_.select("sig", F.col("s").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), open_.select("sig", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = x.join(y, "sig").where("a < b and la <> lb").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct()
+    mark = F.xxhash64("s")
+    mixed = open_.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y")).where("low <> high")
+    # of signatures with the same members one is enough
+    mixed = mixed.groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    # what is known of each: the intersection with its own centre, and how much it shares outside of that
+    known = first.select(F.col("a").alias("s"), F.col("b").alias("hub"), "same")
+    sizes = held.select("s", "shared").distinct()
+    open_ = open_.join(mixed, "sig", "left_semi").join(known, "s", "left").join(sizes, "s")
+    open_ = scratch.save(open_.select("sig", "s", "n", "label", F.coalesce("hub", "s").alias("hub"), F.coalesce("same", "shared").alias("same"), (F.col("shared") - F.coalesce("same", "shared")).alias("other")), "open")
+    x, y = (open_.select("sig", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "n", "label", "hub", "same", "other")]) for k in "ab")
+    # with one centre, an intersection is at most the lesser part inside it and the lesser part outside
+    most = F.least("same_a", "same_b") + F.least("other_a", "other_b")
+    can = (F.col("hub_a") != F.col("hub_b")) | (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    pairs = x.join(y, (x.sig == y.sig) & (F.col("s_a") < F.col("s_b")) & (F.col("label_a") != F.col("label_b")) & alike("n_a", "n_b") & can).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = scratch.save(pairs.join(done, ["a", "b"], "left_anti"), "rest-2")
     if rest.limit(1).count():
-        more = scratch.save(_compare(rest, held.select("s", "n", "ids").dropDuplicates(["s"]), percent), "links-3")
+        more = scratch.save(_compare(rest, held.select("s", "n", "ids").dropDuplicates(["s"]), percent), "seen-3").where("linked").select("a", "b")
         if more.limit(1).count():
-            labels = connected_components(scratch.save(links.union(more), "links-4"), scratch, "round-3")
+            labels = connected_components(links.union(more), scratch, "round-3")
     return labels
 
 
