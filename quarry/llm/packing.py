@@ -304,7 +304,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     runs, _ = plan(counts, capacity)
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("r") - 1).drop("before", "r", "bucket")
+    # the table of prefix sums grows with the buckets, so it is never broadcast
+    ranked = ranked.join(before.hint("merge"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("r") - 1).drop("before", "r", "bucket")
     return ranked.mapInArrow(_placer(runs), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
