@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import secret_scan
+from . import secret_scan, url_filter
 from .decontaminate import op9_decontaminate
 from .ngram_join import op2_ngram_join
 from .packing import op3_packing
 from .quality_rules import op10_quality_rules
 from .secret_scan import op8_secret_scan
+from .url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op8_secret_scan, op9_decontaminate, op10_quality_rules)}
-SQL: dict[str, str] = {"op8_secret_scan": secret_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op4_url_filter, op8_secret_scan, op9_decontaminate, op10_quality_rules)}
+SQL: dict[str, str] = {"op4_url_filter": url_filter.oracle(), "op8_secret_scan": secret_scan.oracle()}
