@@ -341,12 +341,15 @@ def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total:
     known = first.select(F.col("a").alias("s"), F.col("b").alias("hub"), "same")
     sizes = held.select("s", "shared").distinct()
     open_ = open_.join(mixed, "sig", "left_semi").join(known, "s", "left").join(sizes, "s")
-    open_ = scratch.save(open_.select("sig", "s", "n", "label", F.coalesce("hub", "s").alias("hub"), F.coalesce("same", "shared").alias("same"), (F.col("shared") - F.coalesce("same", "shared")).alias("other")), "open")
-    x, y = (open_.select("sig", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "n", "label", "hub", "same", "other")]) for k in "ab")
+    every = open_.groupBy("s").agg(F.collect_set("sig").alias("sigs"))
+    open_ = scratch.save(open_.join(every, "s").select("sig", "sigs", "s", "n", "label", F.coalesce("hub", "s").alias("hub"), F.coalesce("same", "shared").alias("same"), (F.col("shared") - F.coalesce("same", "shared")).alias("other")), "open")
+    x, y = (open_.select("sig", *[F.col(c).alias(f"{c}_{k}") for c in ("s", "n", "label", "hub", "same", "other", "sigs")]) for k in "ab")
     # with one centre, an intersection is at most the lesser part inside it and the lesser part outside
     most = F.least("same_a", "same_b") + F.least("other_a", "other_b")
     can = (F.col("hub_a") != F.col("hub_b")) | (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    pairs = x.join(y, (x.sig == y.sig) & (F.col("s_a") < F.col("s_b")) & (F.col("label_a") != F.col("label_b")) & alike("n_a", "n_b") & can).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
+    # a pair is made under the least signature that both have, and there only
+    least = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == x.sig
+    pairs = x.join(y, (x.sig == y.sig) & (F.col("s_a") < F.col("s_b")) & (F.col("label_a") != F.col("label_b")) & alike("n_a", "n_b") & can & least).select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = scratch.save(pairs.join(done, ["a", "b"], "left_anti"), "rest-2")
     if rest.limit(1).count():
