@@ -28,7 +28,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,21 +301,19 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long, same long, linked boolean")
 
 
-def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total: int, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
-    """Rows (node, label): sets with links, by key, and the least key of their component. total: of shingles."""
-    buckets = max(12, min(1 << 23, -(-total // BUCKET_TOKENS)))
-    index = docs.select("text").mapInArrow(_index(buckets, frequent), _INDEX)
-    shared = index.groupBy("bucket").applyInArrow(_classify(frequent), _SHARED)
-    held = scratch.save(shared.groupBy("batch").applyInArrow(_assemble(percent), _SETS), "held")
-    sigs = held.select("s", "n", "lone", F.explode("sigs").alias("sig")).distinct()
+def resolve(sigs: DataFrame, sizes: DataFrame, fetch: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int) -> DataFrame:
+    """Rows (node, label): sets with links, by key, and the least key of their component.
+
+    sigs: s, n (size), lone (rank of its centrality, least first), sig, without repeats. sizes: s, shared (an upper bound of
+    what it has in common with any other). fetch gives s, n, ids (sorted, 8 bytes each) of the sets s that it is asked for.
+    """
     # a signature of one set only compares nothing
     centre = sigs.groupBy("sig").agg(F.min(F.struct("lone", "n", "s")).alias("c"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("c.s").alias("hub"), F.col("c.n").alias("hub_n"), F.col("c.lone").alias("hub_lone"))
     sigs = scratch.save(sigs.join(centre, "sig"), "sigs")
     alike = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     stars = scratch.save(sigs.where(alike("n", "hub_n") & (F.col("s") != F.col("hub"))).groupBy(F.col("s").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("common"), F.min("hub_lone").alias("hub_lone")), "stars")
-    # sets that several batches hold are kept once for the comparisons
     used = stars.select(F.col("a").alias("s")).union(stars.select(F.col("b").alias("s"))).distinct()
-    sets = held.select("s", "n", "ids").join(used, "s", "left_semi").dropDuplicates(["s"])
+    sets = fetch(used)
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("common", -F.col("hub_lone"), "b")).alias("b"))
     first = scratch.save(_compare(best, sets, percent), "seen-1")
     links = first.where("linked").select("a", "b")
@@ -339,7 +337,6 @@ def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total:
     mixed = mixed.groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
     # what is known of each: the intersection with its own centre, and how much it shares outside of that
     known = first.select(F.col("a").alias("s"), F.col("b").alias("hub"), "same")
-    sizes = held.select("s", "shared").distinct()
     open_ = open_.join(mixed, "sig", "left_semi").join(known, "s", "left").join(sizes, "s")
     every = open_.groupBy("s").agg(F.collect_set("sig").alias("sigs"))
     open_ = scratch.save(open_.join(every, "s").select("sig", "sigs", "s", "n", "label", F.coalesce("hub", "s").alias("hub"), F.coalesce("same", "shared").alias("same"), (F.col("shared") - F.coalesce("same", "shared")).alias("other")), "open")
@@ -353,12 +350,27 @@ def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total:
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = scratch.save(pairs.join(done, ["a", "b"], "left_anti"), "rest-2")
     if rest.limit(1).count():
-        more = scratch.save(_compare(rest, held.select("s", "n", "ids").dropDuplicates(["s"]), percent), "seen-3").where("linked").select("a", "b")
+        more = scratch.save(_compare(rest, fetch(rest.select(F.col("a").alias("s")).union(rest.select(F.col("b").alias("s"))).distinct()), percent), "seen-3").where("linked").select("a", "b")
         if more.limit(1).count():
             labels = connected_components(links.union(more), scratch, "round-3")
     return labels
 
 
+def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total: int, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """Rows (node, label): sets with links, by key, and the least key of their component. total: of shingles."""
+    buckets = max(12, min(1 << 23, -(-total // BUCKET_TOKENS)))
+    index = docs.select("text").mapInArrow(_index(buckets, frequent), _INDEX)
+    shared = index.groupBy("bucket").applyInArrow(_classify(frequent), _SHARED)
+    held = scratch.save(shared.groupBy("batch").applyInArrow(_assemble(percent), _SETS), "held")
+    sigs = held.select("s", "n", "lone", F.explode("sigs").alias("sig")).distinct()
+
+    def fetch(used: DataFrame) -> DataFrame:
+        # sets that several batches hold are kept once
+        return held.select("s", "n", "ids").join(used, "s", "left_semi").dropDuplicates(["s"])
+
+    return resolve(sigs, held.select("s", "shared").distinct(), fetch, scratch, percent)
+
+
 def ngram_components(docs: DataFrame, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id. See the module for the rules."""
     spark = docs.sparkSession
