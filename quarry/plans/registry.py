@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import tables
+
+FLAGSHIP = "token_rule_findings"
+QUERIES: dict = {**tables.QUERIES}
+SQL: dict[str, str] = {**tables.SQL}
