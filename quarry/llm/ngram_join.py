@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .text import mix, shingle_sets, text_chunks
+from .text import column_bytes, mix, shingle_sets, text_chunks
 
 #: Sets that hold a shingle, from which it counts as frequent.
 FREQUENT = 64
 #: Shingles in a batch of the index, and in a bucket of it.
-BATCH_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 22
+BATCH_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 21
 _LOW = np.uint64((1 << 40) - 1)
 _U = np.uint64
 
@@ -214,11 +214,15 @@ def _classify(frequent: int):
             new = np.empty(len(ranked), dtype=bool)
             new[:1] = True
             np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-            group = np.empty(len(every), dtype=np.int64)
-            group[order] = np.cumsum(new) - 1
-            del ranked, order
-            held = np.concatenate([np.ones(sum(map(len, tokens)), dtype=np.int64), *[w.astype(np.int64) for w in weights]])
-            sets = np.bincount(group, weights=held)[group]
+            del ranked
+            first = np.flatnonzero(new)
+            del new
+            held = np.concatenate([np.ones(sum(map(len, tokens)), dtype=np.uint32), *weights])
+            # of each shingle the sets of all its entries
+            total = np.add.reduceat(held[order], first, dtype=np.int64)
+            sets = np.empty(len(every), dtype=np.int64)
+            sets[order] = np.repeat(total, np.diff(np.append(first, len(every))))
+            del order, every
             at = 0
             for r, t in zip(data, tokens):
                 n = sets[at : at + len(t)]
@@ -281,13 +285,14 @@ def _assemble(percent: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            (x, cx), (y, cy) = (column_bytes(batch.column(k)) for k in (4, 5))
             same = np.zeros(len(na), dtype=np.int64)
             for i in range(len(na)):
-                p, q = np.frombuffer(x[i], dtype="<u8"), np.frombuffer(y[i], dtype="<u8")
+                p, q = (np.frombuffer(z[c[i] : c[i + 1]], dtype="<u8") for z, c in ((x, cx), (y, cy)))
                 if len(q):
                     same[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
-            linked = 100 * same >= percent * (np.array(na, dtype=np.int64) + np.array(nb, dtype=np.int64) - same)
+            linked = 100 * same >= percent * (na + nb - same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), pa.array(linked)], ["a", "b", "same", "linked"])
 
     return run

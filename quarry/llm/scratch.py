@@ -7,6 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that a Python worker gets at once while a table is written; by default only their number is limited.
+BATCH_BYTES = 8 << 20
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +34,12 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, BATCH_BYTES)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
