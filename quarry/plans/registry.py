@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tables
+from . import audit, tables
 
-FLAGSHIP = "token_rule_findings"
-QUERIES: dict = {**tables.QUERIES}
-SQL: dict[str, str] = {**tables.SQL}
+FLAGSHIP = "corpus_findings_by_task"
+QUERIES: dict = {**tables.QUERIES, **audit.QUERIES}
+SQL: dict[str, str] = {**tables.SQL, **audit.SQL}
