@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import c_rules, rust_rules
+from quarry.operators import c_rules, rust_rules, solidity_rules
 from quarry.sources import code
 from quarry.sources.corpus import corpus
 
 #: task, slug, confidence
 RULES = (
+    ("1", "contract_version", "low"),
+    ("2", "unallowed_manipulation", "medium"),
+    ("3", "staking", "medium"),
+    ("4", "pool_interactions", "medium"),
+    ("5", "local_points", "medium"),
+    ("6", "exceptions", "medium"),
+    ("7", "complicated_calculations", "low"),
+    ("8", "check_order", "medium"),
+    ("9", "withdraw_check", "medium"),
+    ("10", "similar_names", "low"),
+    ("11", "outer_calls", "medium"),
     ("101", "non_saturating_float_cast", "medium"),
     ("102", "unsafe_shift_external_exponent", "high"),
     ("103", "unchecked_return_sensitive", "high"),
@@ -60,7 +71,7 @@ def alerts(sources: DataFrame) -> DataFrame:
     """All alerts of the rules of each file's language."""
     functions = code.functions_of(sources)
     c = c_rules.c_alerts(sources, code.statements_of(functions.where("language = 'c'")))
-    return c.unionByName(rust_rules.rust_alerts(sources, functions, code.lines_of(sources)))
+    return c.unionByName(solidity_rules.solidity_alerts(sources)).unionByName(rust_rules.rust_alerts(sources, functions, code.lines_of(sources)))
 
 
 def findings(sources: DataFrame) -> DataFrame:

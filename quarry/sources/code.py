@@ -99,3 +99,50 @@ def statements_of(functions: DataFrame, separators: str = r"[;\n]") -> DataFrame
 def lines_of(sources: DataFrame) -> DataFrame:
     """A row for each line, numbered from 1."""
     return sources.select("path", "file_ord", "language", F.posexplode(F.split("content", r"\r?\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
+CONTRACTS = "path string, file_ord int, type_name string, parents array<string>, state array<string>, fn_ord int, fn_name string, visibility string, params string, modifiers string, body string"
+
+#: Types whose variables count as state; longer names such as uint256 don't.
+STATE_TYPES = r"\b(?:string|uint|mapping|address|bytes)\b"
+
+
+def contract_rows(text: str) -> Iterator[tuple]:
+    """(contract, parents, state, place, function, visibility, params, modifiers, body) of each function."""
+    clean = without_comments(text)
+    for m in re.finditer(r"\b(?:contract|library|interface)\s+(\w+)(?:\s+is\s+([^{]*))?\s*\{", clean):
+        inside = clean[m.end() : partner(clean, m.end() - 1)]
+        heads = list(re.finditer(r"\b(?:function\s+(\w+)|(constructor))\s*\(", inside))
+        outer, found, at = [], [], 0
+        for h in heads:
+            if h.start() < at:
+                continue
+            close = partner(inside, h.end() - 1, "()")
+            stop = min((inside.find(x, close) for x in "{;" if inside.find(x, close) >= 0), default=len(inside))
+            end = partner(inside, stop) if inside[stop : stop + 1] == "{" else stop
+            modifiers = " ".join(inside[close + 1 : stop].split())
+            seen = re.search(r"\b(public|external|internal|private)\b", modifiers)
+            found.append((h[1] or h[2], seen[1] if seen else "", inside[h.end() : close], modifiers, inside[stop : end + 1] if end > stop else ""))
+            outer.append(inside[at : h.start()])
+            at = end + 1
+        outer.append(inside[at:])
+        state = []
+        for s in re.split(r"[;{}]", "".join(outer)):
+            if re.match(rf"\s*{STATE_TYPES}", s):
+                name = re.search(r"(\w+)\s*$", s.split("=")[0] if "=>" not in s else re.split(r"(?<!=)=(?!>)", s)[0])
+                if name:
+                    state.append(name[1])
+        parents = [p.strip().split("(")[0] for p in (m[2] or "").split(",") if p.strip()]
+        for k, f in enumerate(found):
+            yield (m[1], parents, state, k, *f)
+
+
+def solidity_contracts(sources: DataFrame) -> DataFrame:
+    """A row for each function of each contract, with the contract's parents and state variables."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in CONTRACTS.split(", ")]
+        for frame in frames:
+            yield pd.DataFrame([(s.path, s.file_ord, *r) for s in frame.itertuples() for r in contract_rows(s.content or "")], columns=names)
+
+    return sources.where("language = 'solidity'").mapInPandas(run, CONTRACTS)

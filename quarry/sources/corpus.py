@@ -110,7 +110,33 @@ fn fine() { unsafe { go() } }
 fn later() { tokio::spawn(async { work().unwrap() }); }
 """
 
-FILES = (("node/rules.c", 0, "c", C_RULES), ("node/registry.c", 1, "c", C_REGISTRY), ("vault/src/lib.rs", 2, "rust", RUST_CONTRACT), ("base/main.rs", 3, "rust", RUST_FILE), ("empty.c", 4, "c", ""), ("none.rs", 5, "rust", None))
+SOLIDITY = r"""
+pragma solidity 0.8;
+// a note on the old version of this
+contract Vault is Base, Named {
+    uint balance; uint point; address owner; string nameOfVault; string nameOfVaults;
+    mapping(address => uint) shares;
+    uint256 unseen;
+    event Paid(address who);
+    modifier onlyOwner() { require(msg.sender == owner); _; }
+    function bad_2(uint v) public { balance = v; }
+    function ok_2(uint v) public onlyOwner { balance = v; }
+    function stakeIt(uint v) internal { require(v > 0); shares[msg.sender] += v; }
+    function mintAll(uint v) external { require(v > 1); go(v); }
+    function burnSome() public onlyOwner { if (v > 2) { drop(address(0)); } }
+    function takePoint() public { point = 1; }
+    function ok_5_takePoint() public { require(point > 0); go(point); }
+    function bad_6() public { try other.run() { go(1); } catch { revert("no"); } assert(x > 1); }
+    function bad_7(uint a) public view returns (uint) { return a * 3 / 4; }
+    function bad_8() public onlyOwner { require(ok); token.transfer(a, 1); fetchPrice(); }
+    function ok_8() public onlyOwner { require(ok); fetchPrice(); token.transfer(a, 1); }
+    function bad_9() public { token.transfer(a, 1); }
+    function bad_11(uint v) external { shares[msg.sender] = v; }
+}
+interface Thing { function plain(uint v) external; }
+"""
+
+FILES = (("node/rules.c", 0, "c", C_RULES), ("node/registry.c", 1, "c", C_REGISTRY), ("vault/src/lib.rs", 2, "rust", RUST_CONTRACT), ("base/main.rs", 3, "rust", RUST_FILE), ("vault/Vault.sol", 6, "solidity", SOLIDITY), ("empty.c", 4, "c", ""), ("none.rs", 5, "rust", None), ("none.sol", 7, "solidity", None))
 
 
 def corpus(spark: SparkSession) -> DataFrame:

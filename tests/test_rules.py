@@ -52,3 +52,30 @@ def test_readers(tmp_path, spark):
     src = code.read_sources(spark, str(tmp_path))
     assert [(r.fn_name, r.visibility) for r in code.functions_of(src).orderBy("fn_ord").collect()] == [("f", "external"), ("h", "internal")]
     assert code.functions_of(src.limit(0)).collect() == [] and audit.alerts(src.limit(0)).collect() == []
+
+
+def test_solidity_rules(found):
+    by = defaultdict(lambda: defaultdict(int))
+    for r in found:
+        if r.path.endswith(".sol"):
+            by[r.task_id][r.function_name.split(".")[-1]] += 1
+    assert dict(by["1"]) == {"": 2}  # " version " and " old "
+    assert "bad_2" in by["2"] and "ok_2" not in by["2"]
+    assert by["3"]["stakeIt"] == 2 and by["3"]["Vault"] == 1
+    assert by["4"]["mintAll"] == 2 and by["4"]["burnSome"] == 2
+    assert by["5"]["takePoint"] == 2 and by["5"]["ok_5_takePoint"] == 1  # balance is checked in neither
+    assert by["6"]["bad_6"] == 2
+    assert by["7"]["bad_7"] == 2
+    assert by["8"]["bad_8"] == 2 and "ok_8" not in by["8"]
+    assert set(by["9"]) == {"bad_9"}
+    assert by["10"]["Vault"] == 1
+    assert set(by["11"]) == {"bad_11"}
+
+
+def test_contracts(spark):
+    from quarry.sources.code import solidity_contracts
+
+    rows = solidity_contracts(corpus.corpus(spark)).collect()
+    vault = [r for r in rows if r.type_name == "Vault"]
+    assert vault[0].state == ["balance", "point", "owner", "nameOfVault", "nameOfVaults", "shares"] and vault[0].parents == ["Base", "Named"]
+    assert [r.fn_name for r in rows if r.type_name == "Thing"] == ["plain"]
