@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .scratch import bounded_batches
 from .text import Texts, chunks, column_bytes, window_hashes
 
 ERROR_EVERY, LEAST_TOKENS, BLOCK_BYTES = 10, 5, 16 << 20
@@ -170,6 +171,7 @@ def _search(held):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each occurrence of an item in a document: doc_id, item_id, first_token, end_token, distance."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, {_OUT}"
     out = None
@@ -195,6 +197,7 @@ def _sieve(held, text_at: int):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item occurs, unchanged and without a shuffle."""
+    bounded_batches(docs.sparkSession)
     for rows in blocks(benchmark):
         docs = docs.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(rows), docs.columns.index("text")), docs.schema)
     return docs

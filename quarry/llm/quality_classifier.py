@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .sampling import labelled_sample
+from .scratch import bounded_batches
 from .text import SPACE, Texts, chunks, column_bytes
 
 SAMPLE, TRAIN_WORDS, GRADES, LEAST, KEEP = 2500, 6000, 3, 1, 0.99
@@ -168,6 +169,7 @@ def _score(held, least: int):
 
 def grade_documents(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = GRADES, least: int = LEAST) -> DataFrame:
     """Per row of docs: doc_id, expected_grade, tail (the probability of grade ``least`` or more), kept."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train(docs, ratings, grade, grades, least))
     return docs.select("doc_id", "text").mapInArrow(_score(held, least), f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail double, kept boolean")
 

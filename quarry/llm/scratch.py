@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bytes of rows that a Python worker gets at once while a table is written; by default only their number is limited.
+#: Bytes of rows that a Python worker gets at once; by default little but their number is limited, and texts are long.
 BATCH_BYTES = 8 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
+    if not 0 < int(spark.conf.get(_BATCH, "0").rstrip("bB") or 0) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +33,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -34,12 +41,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, BATCH_BYTES)
-        try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        finally:
-            self.spark.conf.set(_BATCH, before)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
