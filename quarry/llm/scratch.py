@@ -14,7 +14,7 @@ BATCH_BYTES = 8 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
-    if not 0 < int(spark.conf.get(_BATCH, "0").rstrip("bB") or 0) <= BATCH_BYTES:
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
