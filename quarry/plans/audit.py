@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import c_rules, rust_rules, solidity_rules
+from quarry.operators import c_rules, code_graph, rust_rules, solidity_rules
 from quarry.sources import code
 from quarry.sources.corpus import corpus
 
@@ -100,5 +100,15 @@ def corpus_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.functions_of(corpus(spark)).select("path", "fn_ord", "fn_name", "visibility")
 
 
-QUERIES = {f.__name__: f for f in (corpus_findings, corpus_findings_by_task, corpus_functions)}
+def corpus_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = corpus(spark)
+    return code_graph.nodes(src, code.functions_of(src))
+
+
+def corpus_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = corpus(spark)
+    return code_graph.edges(src, code.functions_of(src))
+
+
+QUERIES = {f.__name__: f for f in (corpus_findings, corpus_findings_by_task, corpus_functions, corpus_graph_nodes, corpus_graph_edges)}
 SQL: dict[str, str] = {}
