@@ -32,7 +32,7 @@ from .text import _CASED, SPACE, Texts, _powers, mix, text_chunks
 _U = np.uint64
 BASE_MIN_WORDS, BASE_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: All of a stratum's good documents that the rules may reject, and the chance that the bound fails.
-MAX_FALSE_REJECTION, DELTA = 0.01, 0.05
+MAX_FALSE_REJECTION, DELTA = 0.02, 0.05
 #: Strata get their own cutoffs if they hold at least this share of the labelled documents; so there are at most 1000.
 LEAST_SHARE, MAX_STRATA = 0.001, 1000
 #: The weight of a good document that is rejected against that of a bad one.
