@@ -47,3 +47,12 @@ def test_graph(spark):
     assert code_graph.dot(nodes, edges).count() == 9
     walk = {r.id: (r.top, r.cyclic) for r in graph.depth_walk(spark.createDataFrame([("a", ""), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")).collect()}
     assert walk["c"] == ("a", False) and walk["a"] == ("a", False) and walk["x"][1] and walk["y"][1] and not walk["z"][1]
+
+
+def test_bundle_edges(spark):
+    files = [("b/Main.sol", 'import "./lib/Token.sol";\n// import "./Old.sol";\nimport {X} from "./Main.sol";'), ("b/token.sol", ""), ("b/Old.sol", "")]
+    rows = [(p, i, "solidity", t) for i, (p, t) in enumerate(files)]
+    rows += [("r/lib.rs", 5, "rust", "mod store;\nuse crate::auth::check;\nuse std::fmt;"), ("r/store.rs", 6, "rust", "use super::lib;"), ("r/auth.rs", 7, "rust", "")]
+    rows += [("c/main.c", 8, "c", '#include "pool.c"\n#include <util.h>'), ("c/pool.c", 9, "c", ""), ("c/util.h", 10, "c", ""), ("c/none.c", 11, "c", None)]
+    got = sorted((r.source[5:], r.target[5:], r.kind) for r in code_graph.bundle_edges(spark.createDataFrame(rows, SOURCES)).collect())
+    assert got == [("Main.sol", "token.sol", "bundle_import"), ("lib.rs", "auth.rs", "bundle_import"), ("lib.rs", "store.rs", "bundle_import"), ("main.c", "pool.c", "tile_to_tile"), ("main.c", "util.h", "tile_to_tile"), ("store.rs", "lib.rs", "bundle_import")]
