@@ -391,6 +391,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, frequent: int = FREQUEN
         named = least.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
         ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
         least = scratch.save(named.select("s", "label").join(ids, "label").select("s", "component_id"), "classes")
+        scratch.keep("docs", "classes")
     else:
         least = least.withColumnRenamed("least", "component_id")
     return rows.join(least, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -44,6 +44,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these, once what a lazy result needs is in them."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if fs.exists(root):
+            self.drop(*{f.getPath().getName() for f in fs.listStatus(root)} - {*names})
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
