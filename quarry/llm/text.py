@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are handled at once; a longer single text is handled alone, whole.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are handled at once, just below a power of two; a longer single text is handled alone, whole.
+CHUNK_BYTES = (1 << 20) - 64
 
 _U = np.uint64
 
@@ -36,22 +36,23 @@ _LOWER = _CASED.copy()
 _LOWER[0x41:0x5B] = _CASED[0x61:0x7B]
 _R = 0xD1342543DE82EF95
 _RINV = pow(_R, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd constant and of its inverse modulo 2**64, at least n of each."""
+    """Powers of an odd constant and of its inverse modulo 2**64, at least n of each; tables for chunks are kept."""
+    if _POWERS and len(_POWERS[0][0]) >= n:
+        return _POWERS[0]
     size = 1 << max(12, (n - 1).bit_length())
-    got = _POWERS.get(size)
-    if got is None:
-        steps = np.full(size, _R, dtype=_U)
-        back = np.full(size, _RINV, dtype=_U)
-        steps[0] = back[0] = 1
-        with np.errstate(over="ignore"):
-            got = (np.multiply.accumulate(steps), np.multiply.accumulate(back))
-        if size <= 4 * CHUNK_BYTES:
-            _POWERS[size] = got
-    return got
+    steps = np.full(size, _R, dtype=_U)
+    back = np.full(size, _RINV, dtype=_U)
+    steps[0] = back[0] = 1
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(steps, out=steps)
+        np.multiply.accumulate(back, out=back)
+    if size <= CHUNK_BYTES + 64:
+        _POWERS[:] = [(steps, back)]
+    return steps, back
 
 
 class Texts:
