@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of rows that a Python worker gets at once; by default little but their number is limited, and texts are long.
 BATCH_BYTES = 8 << 20
+#: A key is hot if it has this share of all rows, and so many; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1 / 500, 1000
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def byte_size(value: str) -> int:
+    """The bytes that a setting such as 8m, 64KB or 1048576 means."""
+    digits, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([a-zA-Z]*)\s*", value).groups()
+    return int(digits) * _UNITS[unit.lower().removesuffix("ib").removesuffix("b") if len(unit) > 1 else unit.lower()]
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
-    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+    if not 0 < byte_size(spark.conf.get(_BATCH)) <= BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, if that is shared or there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not spark.sparkContext.master.startswith("local") and re.match(r"(file:|/)", root):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is a local folder")
     return root.rstrip("/")
 
 
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, rows: int) -> DataFrame:
+    """The inner join of big with small, whose keys are unique; ``weight`` of small counts the rows of big that have its key.
+
+    Hot keys, of which there are at most 1 / HOT_SHARE, go to all tasks, so their rows are not gathered in one; the others
+    are shuffled. ``rows`` counts the rows of big.
+    """
+    least = max(HOT_ROWS, int(rows * HOT_SHARE))
+    hot = F.broadcast(small.where(F.col(weight) >= least))
+    if not small.where(F.col(weight) >= least).limit(1).count():
+        return big.join(small, on)
+    cold = big.join(hot.select(*on), on, "left_anti").join(small.where(F.col(weight) < least), on)
+    return big.join(hot, on).unionByName(cold)
+
+
 class Scratch:
     """A private folder of Parquet tables that cut lineage and survive the loss of executors.
 
