@@ -1,7 +1,7 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 Two texts link when the Jaccard similarity of their sets of distinct five-word shingles is at least ``percent`` / 100.
-The join is exact up to collisions of 64-bit hashes (sets) and of at least 45 bits (tokens inside one pair).
+The join is exact up to collisions of 64-bit hashes (sets) and of 45 bits or more (tokens inside one pair).
 
 How it runs, all by pre-aggregated blobs of hashes rather than a row for each shingle:
 
@@ -29,9 +29,11 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
@@ -43,6 +45,7 @@ FREQUENT = 64
 #: Shingles in a batch of the index, and in a bucket of it.
 BATCH_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 21
 _LOW = np.uint64((1 << 40) - 1)
+_SIX = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
 
@@ -135,11 +138,22 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _short(ids: np.ndarray) -> bytes:
+    """Six bytes for each token, ascending by them."""
+    return np.sort(mix(ids) & _SIX).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _index(buckets: int, frequent: int):
     names = [x.split()[0] for x in _INDEX.split(", ")]
     kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
 
-    def blobs(sets: list[np.ndarray], bounds: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def blobs(sets: list[np.ndarray], bounds: list[np.ndarray], turn: Iterator[int]) -> Iterator[pa.RecordBatch]:
         grams = np.concatenate(sets)
         sizes = np.concatenate([np.diff(b) for b in bounds])
         offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -152,7 +166,8 @@ def _index(buckets: int, frequent: int):
             return
         grams, keys, sizes = grams[np.repeat(keep, sizes)], keys[keep], sizes[keep]
         owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-        batch = int(mix(np.array([np.bitwise_xor.reduce(mix(keys))]))[0] >> _U(1))
+        # the same when a lost task runs again, and never that of another batch, whatever they hold
+        batch = TaskContext.get().partitionId() << 32 | next(turn)
         bucket = ((grams >> _U(40)) % _U(buckets)).astype(np.uint32)
         low = grams & _LOW
         # what very many sets of this batch hold goes once
@@ -173,12 +188,12 @@ def _index(buckets: int, frequent: int):
                     column.append(x)
         own = np.flatnonzero(is_hot)
         ids = (bucket[own].astype(_U) << _U(40)) | low[own]
-        for column, x in zip(rows, (batch % buckets, batch, None, np.bincount(owner[own], minlength=len(sizes)).astype("<u4").tobytes(), ids.astype("<u8").tobytes(), None, keys.astype("<u8").tobytes(), sizes.astype("<u4").tobytes())):
+        for column, x in zip(rows, (int(mix(np.array([batch]))[0] % _U(buckets)), batch, None, np.bincount(owner[own], minlength=len(sizes)).astype("<u4").tobytes(), ids.astype("<u8").tobytes(), None, keys.astype("<u8").tobytes(), sizes.astype("<u4").tobytes())):
             column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bounds, held = [], [], 0
+        sets, bounds, held, turn = [], [], 0, count()
         for batch in batches:
             for _, _, texts in text_chunks(batch.column(0)):
                 grams, offsets = shingle_sets(texts)
@@ -186,10 +201,10 @@ def _index(buckets: int, frequent: int):
                 bounds.append(offsets)
                 held += len(grams)
                 if held >= BATCH_TOKENS:
-                    yield from blobs(sets, bounds)
+                    yield from blobs(sets, bounds, turn)
                     sets, bounds, held = [], [], 0
         if held:
-            yield from blobs(sets, bounds)
+            yield from blobs(sets, bounds, turn)
 
     return run
 
@@ -275,7 +290,7 @@ def _assemble(percent: int):
             n.append(int(sizes[k]))
             lone.append(int(sizes[k] - freq.sum()))
             held.append(len(part))
-            blobs.append(part.astype("<u8").tobytes())
+            blobs.append(_short(part))
             sigs.append(signatures(int(sizes[k]), part[~freq], part[freq], percent, bands).view(np.int64))
         return pa.table([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(lone, pa.int64()), pa.array(held, pa.int64()), pa.array(blobs, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["s", "n", "lone", "shared", "ids", "sigs"])
 
@@ -289,7 +304,7 @@ def _verify(percent: int):
             (x, cx), (y, cy) = (column_bytes(batch.column(k)) for k in (4, 5))
             same = np.zeros(len(na), dtype=np.int64)
             for i in range(len(na)):
-                p, q = (np.frombuffer(z[c[i] : c[i + 1]], dtype="<u8") for z, c in ((x, cx), (y, cy)))
+                p, q = (_long(z[c[i] : c[i + 1]]) for z, c in ((x, cx), (y, cy)))
                 if len(q):
                     same[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
             linked = 100 * same >= percent * (na + nb - same)
@@ -310,7 +325,7 @@ def resolve(sigs: DataFrame, sizes: DataFrame, fetch: Callable[[DataFrame], Data
     """Rows (node, label): sets with links, by key, and the least key of their component.
 
     sigs: s, n (size), lone (rank of its centrality, least first), sig, without repeats. sizes: s, shared (an upper bound of
-    what it has in common with any other). fetch gives s, n, ids (sorted, 8 bytes each) of the sets s that it is asked for.
+    what it has in common with any other). fetch gives s, n, ids (sorted, 6 bytes each) of the sets s that it is asked for.
     """
     # a signature of one set only compares nothing
     centre = sigs.groupBy("sig").agg(F.min(F.struct("lone", "n", "s")).alias("c"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("c.s").alias("hub"), F.col("c.n").alias("hub_n"), F.col("c.lone").alias("hub_lone"))
@@ -363,7 +378,7 @@ def resolve(sigs: DataFrame, sizes: DataFrame, fetch: Callable[[DataFrame], Data
 
 def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total: int, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """Rows (node, label): sets with links, by key, and the least key of their component. total: of shingles."""
-    buckets = max(12, min(1 << 23, -(-total // BUCKET_TOKENS)))
+    buckets = max(32, min(1 << 23, -(-total // BUCKET_TOKENS)))
     index = docs.select("text").mapInArrow(_index(buckets, frequent), _INDEX)
     shared = index.groupBy("bucket").applyInArrow(_classify(frequent), _SHARED)
     held = scratch.save(shared.groupBy("batch").applyInArrow(_assemble(percent), _SETS), "held")

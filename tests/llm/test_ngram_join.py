@@ -1,7 +1,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 
 from quarry.llm.ngram_join import ngram_components, op2_ngram_join
@@ -82,4 +81,15 @@ def test_small_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op2_ngram_join(spark, d).collect())) == brute(rows)
-    assert np.isfinite(len(rows))
+
+
+def test_equal_partitions(spark):
+    """Two files with the same texts, in the same and in another order: nothing is counted or given twice."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(300)}" for _ in range(60)]
+    texts = [" ".join(base), " ".join(base[:42] + [f"v{i}" for i in range(18)]), " ".join(f"u{i}" for i in range(50)), "one two three four five six seven eight nine ten"]
+    for second in (texts, texts[::-1], texts[:1]):
+        rows = list(enumerate(texts)) + [(10 + i, t) for i, t in enumerate(second)]
+        whole = spark.createDataFrame(rows[: len(texts)], "doc_id long, text string").coalesce(1)
+        whole = whole.unionAll(spark.createDataFrame(rows[len(texts) :], "doc_id long, text string").coalesce(1))
+        assert sorted(map(tuple, ngram_components(whole).collect())) == brute(rows)
