@@ -138,12 +138,12 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _short(ids: np.ndarray) -> bytes:
+def short_ids(ids: np.ndarray) -> bytes:
     """Six bytes for each token, ascending by them."""
     return np.sort(mix(ids) & _SIX).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _long(data: np.ndarray) -> np.ndarray:
+def long_ids(data: np.ndarray) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
     out[:, :6] = data.reshape(-1, 6)
     return out.view("<u8").ravel()
@@ -290,7 +290,7 @@ def _assemble(percent: int):
             n.append(int(sizes[k]))
             lone.append(int(sizes[k] - freq.sum()))
             held.append(len(part))
-            blobs.append(_short(part))
+            blobs.append(short_ids(part))
             sigs.append(signatures(int(sizes[k]), part[~freq], part[freq], percent, bands).view(np.int64))
         return pa.table([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(lone, pa.int64()), pa.array(held, pa.int64()), pa.array(blobs, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["s", "n", "lone", "shared", "ids", "sigs"])
 
@@ -304,7 +304,7 @@ def _verify(percent: int):
             (x, cx), (y, cy) = (column_bytes(batch.column(k)) for k in (4, 5))
             same = np.zeros(len(na), dtype=np.int64)
             for i in range(len(na)):
-                p, q = (_long(z[c[i] : c[i + 1]]) for z, c in ((x, cx), (y, cy)))
+                p, q = (long_ids(z[c[i] : c[i + 1]]) for z, c in ((x, cx), (y, cy)))
                 if len(q):
                     same[i] = (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()
             linked = 100 * same >= percent * (na + nb - same)
