@@ -131,10 +131,27 @@ def steps(stats: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def binomial_below(k: int, n: int, p: float) -> float:
-    """P(X <= k) of n trials with chance p, exactly."""
+    """P(X <= k) of n trials with chance p: the incomplete beta function I(1 - p; n - k, k + 1), in steps that don't grow with k."""
     if k >= n:
         return 1.0
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(k + 1)))
+    if k < 0:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    swap = x > (a + 1) / (a + b + 2)  # the fraction converges on one side only
+    if swap:
+        a, b, x = b, a, p
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
+    tiny, c = 1e-300, 1.0
+    d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    total = d
+    for m in range(1, 1_000_000):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + t * d or tiny), 1 + t / c or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    value = front * total / a
+    return min(1.0, max(0.0, 1 - value if swap else value))
 
 
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int | None:
@@ -151,25 +168,27 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: floa
     return best
 
 
-POOLED = ""
+#: The stratum of all documents together; no language is called so.
+POOLED = None
 
 
-def learn_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[str, dict[str, float]]:
+def learn_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum and rule, from rows of stats (doc_id, stratum, base_failed, a step for each rule) and labels (doc_id, quality)."""
     graded = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     rows = stats.where("not base_failed").join(graded, "doc_id").select("stratum", "good", *[r[0] for r in RULES])
-    # a row is counted for its stratum and for the pooled one, once for each rule
-    tall = rows.select("good", F.explode(F.array(F.coalesce("stratum", F.lit(POOLED)), F.lit(POOLED))).alias("stratum"), *[r[0] for r in RULES]).where("stratum is not null")
-    tall = tall.select("stratum", "good", F.inline(F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.col(r[0]).alias("step")) for r in RULES])))
-    counts = tall.groupBy("stratum", "rule", "good", "step").agg(F.count("*").alias("n"))
-    share = counts.where(F.col("rule") == RULES[0][0]).groupBy("stratum").agg(F.sum("n").alias("n"))
-    total = share.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = share.where(F.col("n") >= max(1, total * LEAST_SHARE)).select("stratum")
-    found: dict[tuple[str, str], dict[bool, np.ndarray]] = {}
-    for r in counts.join(F.broadcast(large), "stratum").collect():
+    # a row is counted for all documents and, if it has one, for its stratum; once for each rule
+    tall = rows.select("good", F.explode(F.array(F.lit(True), F.lit(False))).alias("pooled"), "stratum", *[r[0] for r in RULES]).where("pooled or stratum is not null")
+    tall = tall.select("pooled", F.when(~F.col("pooled"), F.col("stratum")).alias("stratum"), "good", F.inline(F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.col(r[0]).alias("step")) for r in RULES])))
+    counts = tall.groupBy("pooled", "stratum", "rule", "good", "step").agg(F.count("*").alias("n"))
+    share = counts.where(F.col("rule") == RULES[0][0]).groupBy("pooled", "stratum").agg(F.sum("n").alias("n"))
+    total = share.where("pooled").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = share.where(F.col("n") >= max(1, total * LEAST_SHARE)).select(F.col("pooled").alias("all"), F.col("stratum").alias("own"))
+    counts = counts.join(F.broadcast(large), (F.col("pooled") == F.col("all")) & F.col("stratum").eqNullSafe(F.col("own")))
+    found: dict[tuple[str | None, str], dict[bool, np.ndarray]] = {}
+    for r in counts.collect():
         found.setdefault((r.stratum, r.rule), {True: np.zeros(len(GRID) + 1, int), False: np.zeros(len(GRID) + 1, int)})[r.good][r.step] += r.n
     strata = {k[0] for k in found}
-    out: dict[str, dict[str, float]] = {}
+    out: dict[str | None, dict[str, float]] = {}
     for (stratum, rule), n in found.items():
         step = certified_cutoff(n[True], n[False], max_false_rejection / len(RULES), delta / (len(RULES) * len(strata)))
         if step is not None:
@@ -177,11 +196,13 @@ def learn_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection: floa
     return out
 
 
-def verdict(stats: dict[str, np.ndarray], strata: list, cutoffs: dict[str, dict[str, float]]) -> np.ndarray:
+def verdict(stats: dict[str, np.ndarray], strata: list, cutoffs: dict[str | None, dict[str, float]]) -> np.ndarray:
     """True where neither a base rule nor a certified cutoff rejects."""
     ok = ~base_failed(stats)
     pooled = cutoffs.get(POOLED, {})
-    names, which = np.unique(np.array([POOLED if s is None else str(s) for s in strata], dtype=object), return_inverse=True) if len(strata) else ([], np.zeros(0, int))
+    names = list(dict.fromkeys(strata))
+    place = {s: k for k, s in enumerate(names)}
+    which = np.array([place[s] for s in strata], dtype=int)
     for name, a, b in RULES:
         limit = np.array([cutoffs.get(s, {}).get(name, pooled.get(name, inf)) for s in names], dtype=float)
         if len(limit):

@@ -63,6 +63,20 @@ def test_cutoffs_hold_the_risk():
     assert over <= 0.05 * 200 + 3
 
 
+def test_strata_without_a_name_count_once(spark):
+    """Rows without a stratum are pooled once; an empty name is a stratum like any other."""
+    rows = [(i, stratum, False, *[0] * len(q.RULES)) for i, stratum in enumerate([None] * 10 + [""] * 7 + ["en"] * 5)]
+    stats = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r[0]} int" for r in q.RULES))
+    labels = spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int")
+    seen = []
+    old, q.certified_cutoff = q.certified_cutoff, lambda good, bad, *_: seen.append(int(good.sum()))
+    try:
+        q.learn_cutoffs(stats, labels)
+    finally:
+        q.certified_cutoff = old
+    assert sorted(seen) == sorted([22, 7, 5] * len(q.RULES))
+
+
 def test_rules_reject_junk_and_keep_clean(spark):
     r = random.Random(5)
     clean = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(40))
