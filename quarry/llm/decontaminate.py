@@ -9,9 +9,9 @@ the item's reach around the hit.
 The items are the query set. They are read in blocks of at most BLOCK_BYTES of text (one larger item is a block), and
 each block is sent to the tasks and run against all documents; a block's size doesn't grow with anything.
 
-Defined cases: null or empty texts match nothing. Items of fewer than LEAST_TOKENS tokens can't be told from common
-phrases and are not searched; null items neither. An item may occur in a document more than once: a row for each
-occurrence that doesn't overlap the one before. Items with equal texts are reported each. Repeated documents give their
+Defined cases: null or empty texts match nothing; null items and items without tokens are not searched, short ones are, word for
+word. An item may occur in a document more than once: a row for each
+occurrence that doesn't overlap the one before. Items of equal tokens are searched once and reported each; their ids may be of any type. Repeated documents give their
 rows each. Empty tables give an empty result, or all documents where these are filtered.
 """
 
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import bounded_batches
 from .text import Texts, chunks, column_bytes, window_hashes
 
-ERROR_EVERY, LEAST_TOKENS, BLOCK_BYTES = 10, 5, 16 << 20
+ERROR_EVERY, BLOCK_BYTES = 10, 16 << 20
 _U = np.uint64
 
 GAPS = np.zeros(256, dtype=bool)
@@ -80,16 +81,21 @@ class Block:
         hashes = texts.word_hashes()
         self.items = []
         found: dict[int, list[tuple[int, int, int]]] = {}
+        equal: dict[bytes, list] = {}
         for k, (item, _) in enumerate(rows):
             tokens = hashes[texts.first[k] : texts.first[k + 1]]
             m = len(tokens)
-            if m < LEAST_TOKENS:
+            if not m:
                 continue
+            if (twins := equal.get(tokens.tobytes())) is not None:
+                twins.append(item)
+                continue
+            equal[tokens.tobytes()] = twins = [item]
             for start, length in pieces_of(m):
                 key = int(window_hashes(tokens, np.array([start]), length)[0])
                 found.setdefault(length, []).append((key, len(self.items), start))
             line = tokens.tolist()
-            self.items.append((item, m, m // ERROR_EVERY, _masks(line), _masks(line[::-1])))
+            self.items.append((twins, m, m // ERROR_EVERY, _masks(line), _masks(line[::-1])))
         #: by length of piece: sorted keys, what they belong to, and a bitmap of their high bits
         self.pieces = []
         for length, entries in sorted(found.items()):
@@ -99,7 +105,7 @@ class Block:
             seen[(keys >> _U(44)).astype(np.int64)] = True
             self.pieces.append((length, keys, [e[1:] for e in entries], seen))
 
-    def matches(self, texts: Texts) -> list[tuple[int, int, int, int, int]]:
+    def matches(self, texts: Texts) -> list[tuple]:
         """(text, item_id, first token, token past the last, distance) of each occurrence, by text."""
         hashes = texts.word_hashes()
         hits = []
@@ -118,7 +124,7 @@ class Block:
         out = []
         last = None
         for t, item, begin, start in sorted(set(hits)):
-            ident, m, budget, forward, backward = self.items[item]
+            twins, m, budget, forward, backward = self.items[item]
             if last and last[:2] == (t, item) and begin + start < last[2]:
                 continue  # inside the occurrence before
             first, count = int(texts.first[t]), int(texts.counts[t])
@@ -134,7 +140,7 @@ class Block:
             for j, score in enumerate(_steps(backward, m, tokens[:end][::-1], True)):
                 if score < least:
                     least, size = score, j + 1
-            out.append((t, ident, lo + end - size, lo + end, best))
+            out += [(t, ident, lo + end - size, lo + end, best) for ident in twins]
             last = (t, item, lo + end)
         return out
 
@@ -149,10 +155,10 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-_OUT = "item_id long, first_token int, end_token int, distance int"
+_OUT = "first_token int, end_token int, distance int"
 
 
-def _search(held):
+def _search(held, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(held.value)
         for batch in batches:
@@ -162,7 +168,7 @@ def _search(held):
                 part = Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], GAPS)
                 found += [(i + x[0], *x[1:]) for x in block.matches(part)]
             cols = [batch.column(0).take(pa.array([x[0] for x in found], pa.int32()))]
-            cols += [pa.array([x[k] for x in found], kind) for k, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
+            cols += [pa.array([x[k] for x in found], of) for k, of in ((1, kind), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "first_token", "end_token", "distance"])
 
     return run
@@ -172,11 +178,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each occurrence of an item in a document: doc_id, item_id, first_token, end_token, distance."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, {_OUT}"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, {_OUT}"
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for rows in blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_search(spark.sparkContext.broadcast(rows)), schema)
+        part = docs.select("doc_id", "text").mapInArrow(_search(spark.sparkContext.broadcast(rows), kind), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -27,7 +27,7 @@ def brute(rows, items):
         t = tokens(text)
         for k, item in items:
             m = tokens(item)
-            if item is not None and len(m) >= d.LEAST_TOKENS and (n := best(m, t)) <= len(m) // d.ERROR_EVERY:
+            if item is not None and m and (n := best(m, t)) <= len(m) // d.ERROR_EVERY:
                 out[i, k] = n
     return out
 
@@ -77,3 +77,12 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert d.find_leaks(docs, bench.limit(0)).collect() == []
     assert d.find_leaks(docs.limit(0), bench).collect() == []
     assert d.drop_leaks(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_text_ids_short_and_equal_items(spark):
+    docs = spark.createDataFrame([(1, "say one two three four five six seven"), (2, "yes"), (3, "no")], "doc_id long, text string")
+    items = [("a", "one two three four five six"), ("b", "One, two three; four five six!"), (None, "YES"), ("d", "..."), ("e", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(((x.doc_id, x.item_id, x.first_token, x.distance) for x in d.find_leaks(docs, bench).collect()), key=str)
+    assert got == [(1, "a", 1, 0), (1, "b", 1, 0), (2, None, 0, 0)]
+    assert [x.doc_id for x in d.drop_leaks(docs, bench).collect()] == [3]
