@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: More classes than these are no grades, and their samples no bounded table.
+MOST_CLASSES = 100
+
 
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; null ids have none."""
@@ -16,7 +19,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_class
     A document with several labels has the least. The ids are a table of per_class rows a class, so it is sent to the tasks.
     """
     one = labels.where(label.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
-    classes = [r[0] for r in one.select("_label").distinct().limit(20).collect()]
+    classes = [r[0] for r in one.select("_label").distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     order = F.xxhash64("doc_id")
     parts = [one.where(F.col("_label") == c).orderBy(order, "doc_id").limit(per_class) for c in sorted(classes)]
     if not parts:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .scratch import Scratch, partitions
+from .scratch import Scratch, hot_join, partitions
 
 SHARDS, ROUNDS, OVERHEAD = 40, 6, 16
 
@@ -51,9 +51,13 @@ def balanced_shards(rows: DataFrame, links: DataFrame, scratch: Scratch, shards:
     total = state.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     both = links.select("a", "b"), links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    # how many rows ask about each neighbour: the shard of a hub goes to all tasks instead of its links to one
+    asking = [scratch.save(side.groupBy("b").agg(F.count("*").alias("n_links")), f"asking-{k}") for k, side in enumerate(both)]
+    n_links = links.count()
     still = 0
     for k in range(rounds):
-        votes = both[k % 2].join(state.select(F.col("id").alias("b"), "shard").hint("merge"), "b").groupBy("a", "shard").agg(F.count("*").alias("n"))
+        about = state.select(F.col("id").alias("b"), "shard").join(asking[k % 2].hint("merge"), "b")
+        votes = hot_join(both[k % 2], about, ["b"], "n_links", n_links).groupBy("a", "shard").agg(F.count("*").alias("n"))
         first = votes.groupBy("a").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("wanted"), F.max("n").alias("n"))
         own = votes.select("a", "shard", F.col("n").alias("own"))
         asked = state.where("linked").join(first.withColumnRenamed("a", "id").hint("merge"), "id").join(own.withColumnRenamed("a", "id").hint("merge"), ["id", "shard"], "left")
@@ -97,8 +101,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"))
     rows = scratch.save(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
-    groups = rows.groupBy("key", "text_crc32", "size").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    links = scratch.save(rows.join(groups, ["key", "text_crc32", "size"]).where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")), "links")
+    groups = scratch.save(rows.groupBy("key", "text_crc32", "size").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "groups")
+    links = scratch.save(hot_join(rows, groups, ["key", "text_crc32", "size"], "copies", rows.count()).where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")), "links")
     placed = balanced_shards(rows, links, scratch, shards, rounds)
     return rows.join(placed.hint("merge"), "id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
