@@ -37,7 +37,7 @@ KINDS = (
     ("key", r"[A-Za-z0-9+/]{32,}", "true", "m rlike '[0-9]' and m rlike '[a-z]' and m rlike '[A-Z]'"),
     ("endpoint", r"""[a-z][a-z0-9+]{1,9}://[^\x20\x09-\x0D"'<>]+""", "contains(text, '://')", "true"),
 )
-BASE = ("assign", "access", "hex")
+BASE, WEAK = ("assign", "access", "hex"), ("id", "key", "endpoint")
 
 
 def _literal(pattern: str) -> str:
@@ -47,10 +47,24 @@ def _literal(pattern: str) -> str:
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
-def _near(other: str, *kinds: str) -> str:
-    """Whether a span of these kinds lies within SCOPE of span x; other: the array that is searched."""
-    named = ", ".join(f"'{k}'" for k in kinds)
-    return f"exists({other}, y -> y.kind in ({named}) and y.start - x.end <= {SCOPE} and x.start - y.end <= {SCOPE})"
+#: Matches whose lengths are added up at once; so starts cost about the same for each match, however many there are.
+RUN = 256
+
+
+def _last(spans: str, limit: str) -> str:
+    """How many of the spans, which ascend, start at or before the limit: a search by halves."""
+    step = "lo + shiftleft(1, k)"
+    found = f"aggregate(sequence(length(bin(size({spans}))) - 1, 0, -1), 0, (lo, k) -> if({step} <= size({spans}) and get({spans}, {step} - 1).start <= {limit}, {step}, lo))"
+    return f"if(size({spans}) = 0, 0, {found})"
+
+
+def _meets(spans: str, reach: int) -> str:
+    """Whether a span of one kind, which never overlap each other, lies within reach of x: the last that begins in time ends last."""
+    return f"coalesce(get({spans}, {_last(spans, f'x.end + {reach}')} - 1).end >= x.start - {reach}, false)"
+
+
+def _near(*kinds: str) -> str:
+    return "(" + " or ".join(_meets(f"_{'s' if k in BASE else 'w'}_{k}", SCOPE) for k in kinds) + ")"
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -64,18 +78,24 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         # what lies before, between and after the matches
         df = df.withColumn(f"_p_{kind}", F.expr(f"if(size({m}) > 0, split(_text, {_literal(pattern)}, -1), cast(array() as array<string>))"))
         df = df.withColumn(f"_g_{kind}", F.expr(f"if(size({m}) > 0, {second}, cast(array() as array<string>))"))
-        start = f"aggregate(slice(_p_{kind}, 1, i + 1), 0, (a, s) -> a + length(s)) + aggregate(slice({m}, 1, i), 0, (a, s) -> a + length(s))"
+        # starts inside runs of matches, then the runs one after the other
+        steps = f"zip_with(slice(_p_{kind}, b * {RUN} + 1, {RUN}), slice({m}, b * {RUN} + 1, {RUN}), (p, q) -> if(q is null, null, struct(length(p) as gap, length(q) as n)))"
+        run = f"aggregate(filter({steps}, z -> z is not null), struct(0 as at, cast(array() as array<struct<start:int,n:int>>) as starts), (a, z) -> struct(a.at + z.gap + z.n as at, array_append(a.starts, struct(a.at + z.gap as start, z.n as n)) as starts))"
+        df = df.withColumn(f"_r_{kind}", F.expr(f"if(size({m}) > 0, transform(sequence(0, (size({m}) - 1) div {RUN}), b -> {run}), null)"))
+        runs = f"transform(_r_{kind}, (r, b) -> struct(r.starts as starts, aggregate(slice(_r_{kind}, 1, b), 0, (a, z) -> a + z.at) as at))"
         ok = test.replace("length(g)", f"length(_g_{kind}[i])").replace("length(m)", f"length({m}[i])").replace("m rlike", f"{m}[i] rlike")
-        spans = f"transform(transform(filter(sequence(0, size({m}) - 1), i -> {ok}), i -> struct({start} as start, length({m}[i]) as n)), z -> struct(z.start as start, {rank} as rank, z.start + z.n as end, '{kind}' as kind))"
-        df = df.withColumn(f"_s_{kind}", F.expr(f"if(size({m}) > 0, {spans}, cast(array() as array<{_SPAN}>))"))
+        spans = f"flatten(transform({runs}, r -> transform(r.starts, z -> struct(r.at + z.start as start, {rank} as rank, r.at + z.start + z.n as end, '{kind}' as kind))))"
+        df = df.withColumn(f"_s_{kind}", F.expr(f"if(size({m}) > 0, filter({spans}, (z, i) -> {ok}), cast(array() as array<{_SPAN}>))"))
     df = df.withColumn("_base", F.expr("array_sort(concat(_s_assign, _s_access, _s_hex))"))
-    weak = "concat(_s_id, _s_key, _s_endpoint)"
-    df = df.withColumn("_weak", F.expr(f"if(size({weak}) > 0, filter({weak}, x -> not exists(_base, y -> y.start < x.end and x.start < y.end)), cast(array() as array<{_SPAN}>))"))
+    for kind in WEAK:
+        inside = " or ".join(_meets(f"_s_{k}", -1) for k in BASE)
+        df = df.withColumn(f"_w_{kind}", F.expr(f"filter(_s_{kind}, x -> not ({inside}))"))
     told = (
-        f"(x.kind = 'id' and ({_near('_base', 'assign', 'hex')} or ({_near('_weak', 'key')} and {_near('_weak', 'endpoint')})))"
-        f" or (x.kind = 'key' and ({_near('_base', 'access')} or ({_near('_weak', 'id')} and {_near('_weak', 'endpoint')})))"
-        f" or (x.kind = 'endpoint' and ({_near('_base', 'access')} or {_near('_weak', 'id')}) and ({_near('_base', 'assign', 'hex')} or {_near('_weak', 'key')}))"
+        f"(x.kind = 'id' and ({_near('assign', 'hex')} or ({_near('key')} and {_near('endpoint')})))"
+        f" or (x.kind = 'key' and ({_near('access')} or ({_near('id')} and {_near('endpoint')})))"
+        f" or (x.kind = 'endpoint' and {_near('access', 'id')} and {_near('assign', 'hex', 'key')})"
     )
+    df = df.withColumn("_weak", F.expr("concat(_w_id, _w_key, _w_endpoint)"))
     df = df.withColumn("_spans", F.expr(f"if(size(_weak) > 0, array_sort(concat(_base, filter(_weak, x -> {told}))), _base)"))
     return df.select("row", "_text", "_base", "_spans")
 
