@@ -35,18 +35,3 @@ def color(name: Column, fixed: dict[str, str]) -> Column:
 def prefixed(tag: Column, df: DataFrame, *ids: str) -> DataFrame:
     """Ids of one bundle member, told apart by its name."""
     return df.withColumns({c: F.concat(tag, F.lit("::"), F.col(c)) for c in ids})
-
-
-def depth_walk(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """Per node (id, parent) its topmost ancestor and whether its chain returns to itself.
-
-    Pointer doubling: after k rounds each row has jumped 2**k parents, so chains of any length up to 2**most end in few joins.
-    """
-    state = nodes.select("id", F.coalesce("parent", F.lit("")).alias("up"))
-    for _ in range(min(most, max(1, nodes.count()).bit_length())):
-        far = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        state = state.join(far, "up", "left").select("id", F.when(F.coalesce("next", F.lit("")) == "", F.col("up")).otherwise(F.col("next")).alias("up"))
-    ends = nodes.where(F.coalesce("parent", F.lit("")) == "").select(F.col("id").alias("up"), F.lit(True).alias("ends"))
-    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known"))
-    out = state.join(ends, "up", "left").join(known, "up", "left")
-    return out.select("id", F.when(F.col("up") == "", F.col("id")).otherwise(F.col("up")).alias("top"), ((F.col("up") != "") & F.col("known").isNotNull() & F.col("ends").isNull()).alias("cyclic"))

@@ -40,16 +40,22 @@ def newest(df: DataFrame, stamp: str, ident: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(stamp), F.desc(ident)).limit(clean_limit(n))
 
 
-def contains_join(texts: DataFrame, text: str, parts: DataFrame, part: str, words: int = 5) -> DataFrame:
+def contains_join(texts: DataFrame, text: str, parts: DataFrame, part: str, ids: list[str], part_ids: list[str], words: int = 5) -> DataFrame:
     """Rows of texts with the rows of parts that occur in them as substrings.
 
     A part's second to sixth words (all delimited inside the part) must be words of the text, so the join is on a hash
-    of them and only its pairs are tested. Shorter parts are tested against every text.
+    of them, over ids and hashes alone; texts come back for the pairs found, each once. Shorter parts are tested against
+    every text.
     """
     split = lambda c: F.split(c, "[ \n]", -1)
     parts = parts.withColumn("_w", split(F.col(part)))
     long_parts = parts.where(F.size("_w") >= words + 2).withColumn("_k", F.xxhash64(F.slice("_w", 2, words)))
-    windows = texts.withColumn("_t", split(F.col(text))).withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_t", i, words)))))).drop("_t")
-    found = windows.join(long_parts, "_k").where(F.contains(text, F.col(part))).drop("_k", "_w")
+    texts = texts.where(F.col(text).isNotNull())
+    windows = texts.withColumn("_t", split(F.col(text)))
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_t", i, words))))
+    windows = windows.select(*ids, F.explode(keys).alias("_k"))
+    pairs = windows.join(long_parts.select(*part_ids, "_k"), "_k").select(*ids, *part_ids).distinct()
+    found = pairs.join(parts.drop("_w"), part_ids).join(texts, ids).where(F.contains(text, F.col(part)))
+    found = found.select(*texts.columns, *[c for c in parts.columns if c != "_w"])
     short = parts.where(F.size("_w") < words + 2).drop("_w")
     return found.unionByName(texts.join(short, F.contains(text, F.col(part))))

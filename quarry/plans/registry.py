@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, tables
+from . import audit, models, tables
 
 FLAGSHIP = "corpus_findings_by_task"
-QUERIES: dict = {**tables.QUERIES, **audit.QUERIES}
-SQL: dict[str, str] = {**tables.SQL, **audit.SQL}
+QUERIES: dict = {**tables.QUERIES, **audit.QUERIES, **models.QUERIES}
+SQL: dict[str, str] = {**tables.SQL, **audit.SQL, **models.SQL}

@@ -32,7 +32,7 @@ _SQL_STATEMENTS = "list_filter(list_transform(string_split_regex({}, '[;\\n]'),
 select doc_id, len(st)::bigint as n_statements, coalesce(list_sum(list_transform(st, lambda x: length(x))), 0)::bigint as n_chars, coalesce(st[len(st)], '') as last_statement from s""")
 def statement_split(spark, sf_dir):
     st = table(spark, sf_dir, "documents").select("doc_id", T.statements(F.coalesce("text", F.lit(""))).alias("st"))
-    return st.select("doc_id", F.size("st").cast("long").alias("n_statements"), F.aggregate("st", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"), F.coalesce(F.try_element_at("st", F.size("st")), F.lit("")).alias("last_statement"))
+    return st.select("doc_id", F.size("st").cast("long").alias("n_statements"), F.aggregate("st", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"), F.coalesce(F.get("st", F.size("st") - 1), F.lit("")).alias("last_statement"))
 
 
 TOKENS = {"secret": ["password", "token"], "licence": ["License", "Licence"], "table": [" | "], "shout": ["!!"]}
@@ -59,7 +59,7 @@ def line_numbers(spark, sf_dir):
 @query("select doc_id, item_id, (instr(d.text, b.text))::bigint as at from documents d join benchmark b on contains(d.text, b.text)")
 def evidence_contains_join(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return keyed.contains_join(docs, "text", bench, "item").select("doc_id", "item_id", F.expr("cast(instr(text, item) as bigint)").alias("at"))
+    return keyed.contains_join(docs, "text", bench, "item", ["doc_id"], ["item_id"]).select("doc_id", "item_id", F.expr("cast(instr(text, item) as bigint)").alias("at"))
 
 
 SKIP = ["if", "for", "while", "switch", "return", "sizeof", "function"]
@@ -72,11 +72,12 @@ def call_tokens(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", calls.alias("c")).select("page_id", F.array_join(F.array_sort("c"), ",").alias("calls"), F.size("c").cast("long").alias("n_calls"))
 
 
-@query(f"""with c as (select page_id, unnest({_SQL_CALLS}) as callee from pages)
-select callee, min(page_id) as first_page, count(distinct page_id)::bigint as callers, left(sha256(callee), 12) as edge_id from c group by callee""")
+@query(f"""with h as (select p_partkey, replace(p_type || ' ' || p_name || ' if', ' ', ' (') || '(' as html from part), c as (select p_partkey, unnest({_SQL_CALLS}) as callee from h)
+select callee, min(p_partkey) as first_caller, count(distinct p_partkey)::bigint as callers, left(sha256(callee), 12) as edge_id from c group by callee""")
 def call_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "pages").select("page_id", F.explode(T.call_tokens(F.col("html"), SKIP)).alias("callee"))
-    return edges.groupBy("callee").agg(F.min("page_id").alias("first_page"), F.count_distinct("page_id").alias("callers")).withColumn("edge_id", T.short_digest(F.col("callee"), 12))
+    code = F.concat(F.replace(F.concat("p_type", F.lit(" "), "p_name", F.lit(" if")), F.lit(" "), F.lit(" (")), F.lit("("))
+    edges = table(spark, sf_dir, "part").select("p_partkey", F.explode(T.call_tokens(code, SKIP)).alias("callee"))
+    return edges.groupBy("callee").agg(F.min("p_partkey").alias("first_caller"), F.count_distinct("p_partkey").alias("callers")).withColumn("edge_id", T.short_digest(F.col("callee"), 12))
 
 
 @query("""select page_id, case when o = 0 then '' when c = 0 then substr(html, o + 1) else substr(html, o + 1, c - 1) end as body
@@ -136,11 +137,11 @@ def guard_return_range(spark, sf_dir):
 
 @query("""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n from documents),
 w as (select doc_id, n, string_agg(line, chr(10)) over (partition by doc_id order by n rows between 2 preceding and current row) as t from l)
-select doc_id, count(*)::bigint as near from w where contains(t, 'password') group by doc_id""")
+select doc_id, count(*)::bigint as near from w where contains(t, 'License') group by doc_id""")
 def line_window_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("password"))).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("n", "line"))
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("License"))).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("n", "line"))
     joined = frames.frame_text("line", ["doc_id"], ["n"], -2, 0)
-    return docs.withColumn("t", joined).where(F.contains("t", F.lit("password"))).groupBy("doc_id").agg(F.count("*").alias("near"))
+    return docs.withColumn("t", joined).where(F.contains("t", F.lit("License"))).groupBy("doc_id").agg(F.count("*").alias("near"))
 
 
 @query("""with a as (select o_custkey, o_orderpriority, max(o_orderkey) as in_a from orders where o_orderstatus in ('F', 'O') group by all), b as (select o_custkey, o_orderpriority, max(o_orderkey) as in_b from orders where o_orderstatus in ('O', 'P') group by all)
@@ -228,10 +229,11 @@ def required_minus_present(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(x) for x in REQUIRED]), present)), ",").alias("missing"))
 
 
-@query("select user_id from events group by user_id having bool_or(event_type = 'signup') and not bool_or(event_type = 'purchase')")
+@query("select user_id, event_id // 1000 as part from events group by all having bool_or(event_type = 'signup') and not bool_or(event_type = 'purchase')")
 def stake_without_unstake(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "signup").alias("a"), F.bool_or(F.col("event_type") == "purchase").alias("b"))
-    return e.where("a and not b").select("user_id")
+    part = F.expr("event_id div 1000").alias("part")
+    e = table(spark, sf_dir, "events").groupBy("user_id", part).agg(F.bool_or(F.col("event_type") == "signup").alias("a"), F.bool_or(F.col("event_type") == "purchase").alias("b"))
+    return e.where("a and not b").select("user_id", "part")
 
 
 @query("select user_id, bool_or(event_type = 'view') as calls_internal, bool_or(event_type = 'error') as calls_system, string_agg(distinct event_type, ',' order by event_type) as kinds from events group by user_id")

@@ -40,6 +40,12 @@ def without_comments(text: str) -> str:
     return re.sub(r"/\*.*?\*/|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
+def without_solidity_comments(text: str) -> str:
+    """As without_comments, but what looks like a comment inside a quoted string stays."""
+    pattern = r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|/\*.*?\*/|//[^\n]*"""
+    return re.sub(pattern, lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+
+
 def partner(text: str, at: int, pair: str = "{}") -> int:
     """The place of the bracket that closes the one at ``at``; the text's length if none does."""
     depth = 0
@@ -109,7 +115,7 @@ STATE_TYPES = r"\b(?:string|uint|mapping|address|bytes)\b"
 
 def contract_rows(text: str) -> Iterator[tuple]:
     """(contract, parents, state, place, function, visibility, params, modifiers, body) of each function."""
-    clean = without_comments(text)
+    clean = without_solidity_comments(text)
     for m in re.finditer(r"\b(?:contract|library|interface)\s+(\w+)(?:\s+is\s+([^{]*))?\s*\{", clean):
         inside = clean[m.end() : partner(clean, m.end() - 1)]
         heads = list(re.finditer(r"\b(?:function\s+(\w+)|(constructor))\s*\(", inside))

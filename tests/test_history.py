@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import code_graph, graph
+from quarry.operators import calls, code_graph, graph
 from quarry.operators.history import FINDING, SCAN, History, bundles
 from quarry.sources import code
 from quarry.sources.code import SOURCES
@@ -45,8 +45,10 @@ def test_graph(spark):
     assert sorted((r.source, r.target) for r in edges.collect()) == [("function:m.get", "state:w"), ("function:m.sum", "function:m.get"), ("function:m.sum", "state:w"), ("type:m.c", "inc:pool.c")]
     assert graph.drop_dangling(nodes, edges.union(spark.createDataFrame([("i", "type:m.c", "gone", "k")], edges.schema))).count() == 4
     assert code_graph.dot(nodes, edges).count() == 9
-    walk = {r.id: (r.top, r.cyclic) for r in graph.depth_walk(spark.createDataFrame([("a", ""), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")).collect()}
-    assert walk["c"] == ("a", False) and walk["a"] == ("a", False) and walk["x"][1] and walk["y"][1] and not walk["z"][1]
+    rows = [("a", "", 1), ("b", "a", 2), ("y", "x", 5), ("x", "y", 3), ("early", "x", 0), ("late", "x", 9), ("z", "gone", 4), ("self", "self", 6)]
+    kept = {r.id: r.kept for r in calls.drop_parent_cycles(spark.createDataFrame(rows, "id string, parent string, ord int")).collect()}
+    # in order: early sees a cycle, x breaks it, so y and late keep their parents
+    assert kept == {"a": None, "b": "a", "early": None, "x": None, "y": "x", "late": "x", "z": "gone", "self": None}
 
 
 def test_bundle_edges(spark):

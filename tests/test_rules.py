@@ -79,3 +79,14 @@ def test_contracts(spark):
     vault = [r for r in rows if r.type_name == "Vault"]
     assert vault[0].state == ["balance", "point", "owner", "nameOfVault", "nameOfVaults", "shares"] and vault[0].parents == ["Base", "Named"]
     assert [r.fn_name for r in rows if r.type_name == "Thing"] == ["plain"]
+
+
+def test_public_panics_need_a_name_before_the_call(spark):
+    """What stands between the boundary and the dot decides: x.unwrap() is reported, f().unwrap() is not."""
+    text = "pub fn a(x: X) -> u32 { x.unwrap() }\npub fn b() -> u32 { f().unwrap() }\npub fn c() { panic!(\"no\") }"
+    src = spark.createDataFrame([("a/lib.rs", 0, "rust", text)], code.SOURCES)
+    assert {r.function_name for r in audit.alerts(src).where("task_id = '212'").collect()} == {"lib.a", "lib.c"}
+
+
+def test_quoted_comments_stay():
+    assert code.without_solidity_comments('string s = "http://x"; // gone\n\'//\' /* a */') .rstrip() == 'string s = "http://x";        \n\'//\''
