@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, models, tables
+from . import audit, models, rules, tables
 
 FLAGSHIP = "corpus_findings_by_task"
-QUERIES: dict = {**tables.QUERIES, **audit.QUERIES, **models.QUERIES}
-SQL: dict[str, str] = {**tables.SQL, **audit.SQL, **models.SQL}
+QUERIES: dict = {**tables.QUERIES, **audit.QUERIES, **models.QUERIES, **rules.QUERIES}
+SQL: dict[str, str] = {**tables.SQL, **audit.SQL, **models.SQL, **rules.SQL}
