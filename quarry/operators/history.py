@@ -6,6 +6,11 @@ an order that the rows decide, so the same upload twice gives the same table.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T
@@ -13,9 +18,12 @@ from quarry.operators import keyed
 from quarry.sources.code import LANGUAGES
 
 ARTIFACT = "id long, sha256 string, filename string, language string, size_bytes long, created_at string"
-SCAN = "id long, artifact_id long, mode string, task string, rules_run string, findings_count int, duration_ms int, tool_version string, status string, error_code string, created_at string"
+SCAN = "id long, artifact_id long, mode string, task string, rules_run string, findings_count int, duration_ms int, tool_version string, status string, error_code string, created_at string, rules_catalog_hash string, error_message string"
 FINDING = "scan_id long, ord int, rule_id string, type_name string, function_name string, source_statement string, statement string, message string"
 TOMBSTONE = "scan_id long, deleted_at string"
+CONTENT = "sha256 string, content binary"
+#: A graph's nodes and edges as JSON, in parts.
+GRAPH = "scan_id long, part string, body string"
 
 #: Limits of uploads.
 MAX_BYTES, MAX_PARTS = 2 << 20, 32
@@ -44,9 +52,46 @@ def bundles(parts: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("bundle", base).orderBy(F.sha2("content", 256), "filename"))
     named = F.when(n == 1, base).otherwise(F.concat(F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 1), F.lit("_"), n, F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 2)))
     df = parts.select("bundle", named.alias("name"), F.col("content"), upload_status("content", "filename").alias("part_status"), language_of(F.col("filename")).alias("language"))
-    out = df.groupBy("bundle").agg(F.count("*").alias("parts"), F.max(F.when(F.col("part_status") != "ok", F.col("part_status"))).alias("bad"), F.count_distinct("language").alias("languages"), F.max("language").alias("language"), keyed.set_digest(F.col("name"), F.col("content")).alias("digest"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
+    out = df.groupBy("bundle").agg(F.count("*").alias("parts"), F.max(F.when(F.col("part_status") != "ok", F.col("part_status"))).alias("bad"), F.count_distinct("language").alias("languages"), F.max("language").alias("language"), keyed.set_digest(F.col("name"), F.col("content")).alias("digest"), F.collect_list(F.struct(F.col("name").alias("path"), F.sha2("content", 256).alias("sha256"))).alias("files"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
     status = F.when(F.col("parts") > MAX_PARTS, "too_many_files").when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("languages") != 1, "mixed_languages").otherwise("ok")
-    return out.select("bundle", status.alias("status"), "language", "digest", "members")
+    # members of a bundle are few: MAX_PARTS bounds those that are taken
+    first, others = F.split_part("members", F.lit(","), F.lit(1)), F.col("parts") - 1
+    label = F.concat(F.lit("bundle:"), first, F.when(others > 0, F.concat(F.lit(" (+"), others.cast("string"), F.lit(" more)"))).otherwise(""))
+    manifest = F.to_json(F.struct(F.lit(1).alias("version"), "language", F.array_sort("files").alias("members")))
+    return out.select("bundle", status.alias("status"), "language", "digest", "members", label.alias("filename"), manifest.alias("manifest"))
+
+
+def tool_version(explicit: str | None = None, root: str = ".") -> str:
+    """The version given, else the commit checked out in a folder, else ``unknown``."""
+    if explicit and explicit.strip():
+        return explicit.strip()
+    try:
+        out = subprocess.run(["git", "rev-parse", "HEAD"], cwd=root, capture_output=True, text=True, timeout=3)
+    except (OSError, subprocess.TimeoutExpired):
+        return "unknown"
+    return out.stdout.strip() or "unknown" if out.returncode == 0 else "unknown"
+
+
+def catalog_hash(*catalogs) -> str:
+    """sha256 over the given catalogs' JSON, one after the other; empty without any."""
+    if not catalogs:
+        return ""
+    return hashlib.sha256("".join(json.dumps(c, sort_keys=True, separators=(",", ":")) for c in catalogs).encode()).hexdigest()
+
+
+def bundle_members(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The files (path, content) that a manifest (members: array of structures with a path) names, in order of their paths.
+
+    Blank paths are passed over. A member without a file, or no member at all, is an error (``invalid_path``).
+    """
+    wanted = manifest.select(F.explode("members.path").alias("path")).where("coalesce(path, '') <> ''").distinct()
+    both = wanted.join(files.withColumn("_found", F.lit(True)), "path", "left")
+    missing = both.where("_found is null").agg(F.min("path")).first()[0]
+    if missing is not None:
+        raise ValueError(f"invalid_path: bundle member is missing: {missing}")
+    if not wanted.limit(1).count():
+        raise ValueError("invalid_path: the manifest names no files")
+    return both.drop("_found").orderBy("path")
 
 
 class History:
@@ -81,12 +126,79 @@ class History:
         new = first.join(self.artifacts.select("sha256"), "sha256", "left_anti")
         last = self.artifacts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         ids = F.row_number().over(Window.orderBy("ord", "sha256"))  # one small batch of uploads
+        kept = uploads.select(F.sha2("content", 256).alias("sha256"), F.col("content").cast("binary").alias("content")).join(new.select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
+        self._append("content", kept)  # before the artifact, so that each artifact has its content
         self._append("artifact", new.select((ids + last).cast("long").alias("id"), "sha256", "filename", "language", "size_bytes", F.lit(now).alias("created_at")))
         return df.join(self.artifacts.select("sha256", F.col("id").alias("artifact_id")), "sha256", "left").select("ord", "status", "sha256", F.when(F.col("status") == "ok", F.col("artifact_id")).alias("artifact_id"))
 
     def record(self, scan: DataFrame, findings: DataFrame) -> None:
-        self._append("scan", scan.select(*[x.split()[0] for x in SCAN.split(", ")]))
+        names = [x.split()[0] for x in SCAN.split(", ")]
+        blank = " or ".join(f"{c} is null" for c in ("id", "artifact_id", "mode", "task", "status", "created_at"))
+        if not {*names} <= {*scan.columns} or scan.where(blank).limit(1).count():
+            raise ValueError("missing_field")
+        # findings first: a scan that can be read has all of its own
         self._append("finding", findings.select(*[x.split()[0] for x in FINDING.split(", ")]))
+        self._append("scan", scan.select(*names))
+
+    def artifact(self, ident: int) -> DataFrame:
+        """The artifact of an id; an error (``not_found``) where there is none."""
+        found = self.artifacts.where(F.col("id") == ident)
+        if not found.limit(1).count():
+            raise LookupError(f"not_found: artifact {ident}")
+        return found
+
+    def by_digest(self, sha256: str) -> DataFrame:
+        return self.artifacts.where(F.col("sha256") == sha256)
+
+    def source(self, artifact_id: int) -> DataFrame:
+        """The stored content of an artifact as a table of sources."""
+        found = self.artifact(artifact_id).join(self.table("content", CONTENT), "sha256")
+        return found.select(F.col("filename").alias("path"), F.lit(0).alias("file_ord"), "language", F.make_valid_utf8(F.col("content").cast("string")).alias("content")).limit(1)
+
+    def _next_scan(self) -> int:
+        return self.scans(True).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+
+    def save_ok(self, artifact_id: int, mode: str, task: str, findings: DataFrame, now: str, rules_run: list[str], version: str = "unknown", catalog: str = "", duration_ms: int = 0, graph: tuple[DataFrame, DataFrame] | None = None) -> int:
+        """Keeps a scan that went well, with its findings (the columns of FINDING but scan_id) and its graph if there is one; its id.
+
+        Ids follow the greatest there is: one writer at a time.
+        """
+        self.artifact(artifact_id)
+        ident = self._next_scan()
+        rows = findings.withColumn("scan_id", F.lit(ident).cast("long"))
+        if graph:
+            parts = [df.select(F.lit(ident).cast("long").alias("scan_id"), F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("body")) for part, df in zip(("node", "edge"), graph)]
+            self._append("graph", parts[0].unionByName(parts[1]))
+        scan = [(ident, artifact_id, mode, task, json.dumps(rules_run), findings.count(), duration_ms, version, "ok", "", now, catalog, "")]
+        self.record(self.spark.createDataFrame(scan, SCAN), rows)
+        return ident
+
+    def save_failed(self, artifact_id: int, mode: str, task: str, error: Exception, now: str, version: str = "unknown", catalog: str = "") -> int:
+        """Keeps that a scan failed, with the error's code and text and no findings; its id."""
+        self.artifact(artifact_id)
+        ident = self._next_scan()
+        scan = [(ident, artifact_id, mode, task, "[]", 0, 0, version, "error", getattr(error, "code", "internal_error"), now, catalog, str(error))]
+        self.record(self.spark.createDataFrame(scan, SCAN), self.spark.createDataFrame([], FINDING))
+        return ident
+
+    def _live(self, scan_id: int) -> None:
+        if not self.scans().where(F.col("id") == scan_id).limit(1).count():
+            raise LookupError(f"not_found: scan {scan_id}")
+
+    def get_findings(self, scan_id: int) -> DataFrame:
+        self._live(scan_id)
+        return self.table("finding", FINDING).where(F.col("scan_id") == scan_id).drop("scan_id").orderBy("ord")
+
+    def get_graph(self, scan_id: int) -> DataFrame | None:
+        """The nodes and edges (part, body: JSON) of a scan, or None where it was kept without a graph."""
+        self._live(scan_id)
+        found = self.table("graph", GRAPH).where(F.col("scan_id") == scan_id).select("part", "body")
+        return found if found.limit(1).count() else None
+
+    def export_graph(self, scan_id: int, now: str) -> DataFrame | None:
+        """A line of JSON for each node and edge of a scan, with the time of the export."""
+        found = self.get_graph(scan_id)
+        return None if found is None else found.select(F.to_json(F.struct(F.lit(now).alias("exported_at"), "part", "body")).alias("line"))
 
     def soft_delete(self, scan_id: int, now: str) -> bool:
         """Whether there was such a scan, not yet deleted."""

@@ -1,8 +1,13 @@
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import calls, code_graph, graph
-from quarry.operators.history import FINDING, SCAN, History, bundles
+from quarry.operators.history import FINDING, SCAN, History, bundle_members, bundles, catalog_hash, tool_version
+from quarry.api import AuditError
+from quarry.plans import audit
 from quarry.sources import code
 from quarry.sources.code import SOURCES
 
@@ -17,7 +22,7 @@ def test_history(spark, tmp_path):
     assert [(r.id, r.filename) for r in h.list_artifacts().collect()] == [(3, "new.h"), (2, "e.rs"), (1, "a.c")]
     assert len(h.list_artifacts(0).collect()) == 1
 
-    scans = [(i, a, "auditor", "all", "[]", 2, 5, "v", "ok", "", f"2024-01-0{i}") for i, a in ((1, 1), (2, 1), (3, 2))]
+    scans = [(i, a, "auditor", "all", "[]", 2, 5, "v", "ok", "", f"2024-01-0{i}", "h", "") for i, a in ((1, 1), (2, 1), (3, 2))]
     finds = [(1, 0, "r", "T", "f", "s", "", "m"), (1, 1, "r", "T", "g", "", "t", "m"), (1, 2, "r", "T", "g", "", "t", "m"), (2, 0, "r", "T", "g", "", "t", "m"), (2, 1, "q", "T", "g", "", "t", "m")]
     h.record(spark.createDataFrame(scans, SCAN), spark.createDataFrame(finds, FINDING))
     assert sorted((r.rule_id, r.function_name, r.change) for r in h.diff(1, 2).collect()) == [("q", "g", "added"), ("r", "f", "removed"), ("r", "g", "unchanged")]
@@ -36,6 +41,49 @@ def test_bundles(spark):
     assert got["z"].status == "mixed_languages" and got["w"].status == "unsupported_extension"
 
 
+    assert got["x"].filename == "bundle:a.c (+1 more)" and got["w"].filename == "bundle:a.txt"
+    manifest = json.loads(got["x"].manifest)
+    assert manifest["version"] == 1 and manifest["language"] == "c" and manifest["members"] == sorted(({"path": n, "sha256": hashlib.sha256(c).hexdigest()} for n, c in (("a.c", b"1"), ("a_2.c", b"2"))), key=lambda m: m["path"])
+
+
+def test_bundle_members(spark):
+    files = spark.createDataFrame([("b.c", "2"), ("a.c", "1"), ("other.c", "3")], "path string, content string")
+    made = lambda *names: spark.createDataFrame([([(n,) for n in names],)], "members array<struct<path:string>>")
+    assert [(r.path, r.content) for r in bundle_members(made("b.c", "", None, "a.c"), files).collect()] == [("a.c", "1"), ("b.c", "2")]
+    with pytest.raises(ValueError, match="gone.c"):
+        bundle_members(made("a.c", "gone.c"), files)
+    with pytest.raises(ValueError, match="names no files"):
+        bundle_members(made(""), files)
+
+
+def test_scans_are_kept(spark, tmp_path):
+    h = History(spark, str(tmp_path / "h"))
+    h.ingest(spark.createDataFrame([(1, "a.c", b"int f( void ) { bls_aggregate( k ); }")], "ord int, filename string, content binary"), "2024-01-01")
+    source = h.source(1)
+    found = audit.findings(source)
+    kept = found.selectExpr("row_number() over (order by task_id, idx) - 1 as ord", "rule_id", "'' as type_name", "function_name", "message as source_statement", "'' as statement", "message")
+    fns = code.functions_of(source)
+    ok = h.save_ok(1, "auditor", "all", kept, "2024-01-02", ["114"], tool_version("v7"), catalog_hash([list(r) for r in audit.RULES]), 5, (code_graph.nodes(source, fns), code_graph.edges(source, fns)))
+    plain = h.save_ok(1, "legacy", "114", kept, "2024-01-03", ["114"])
+    bad = h.save_failed(1, "auditor", "9", AuditError("unknown_task", "9"), "2024-01-04")
+    assert (ok, plain, bad) == (1, 2, 3)
+    rows = {r.id: r for r in h.list_scans(1).collect()}
+    assert rows[1].findings_count == len(h.get_findings(1).collect()) == 1 and rows[1].tool_version == "v7" and len(rows[1].rules_catalog_hash) == 64
+    assert (rows[3].status, rows[3].error_code, rows[3].error_message, rows[3].findings_count) == ("error", "unknown_task", "unknown_task: 9", 0)
+    assert {json.loads(r.body)["id"] for r in h.get_graph(1).where("part = 'node'").collect()} == {"type:a.c", "function:a.f"}
+    assert h.get_graph(2) is None and h.export_graph(2, "t") is None and json.loads(h.export_graph(1, "t").first().line)["exported_at"] == "t"
+    h.soft_delete(1, "2024-01-05")
+    for read in (h.get_findings, h.get_graph):
+        with pytest.raises(LookupError, match="not_found"):
+            read(1)
+    with pytest.raises(LookupError, match="artifact 9"):
+        h.save_ok(9, "auditor", "all", kept, "t", [])
+    with pytest.raises(ValueError, match="missing_field"):
+        h.record(spark.createDataFrame([(4, 1)], "id long, artifact_id long"), spark.createDataFrame([], FINDING))
+    assert h.by_digest(hashlib.sha256(b"int f( void ) { bls_aggregate( k ); }").hexdigest()).first().id == 1
+    assert catalog_hash() == "" and tool_version(" ", str(tmp_path)) == "unknown"
+
+
 def test_graph(spark):
     text = '#include "lib/pool.c"\nstruct w { int v; };\nstatic int get( struct w * x ) { return x->v; }\nint sum( w * x ) { return get( x ) + get( x ) + other( x ); }\n'
     src = spark.createDataFrame([("m.c", 0, "c", text)], SOURCES)
