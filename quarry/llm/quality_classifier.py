@@ -82,23 +82,25 @@ class Ordinal:
         """P(grade > k) for each k."""
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None], -30, 30)))
 
+    def slopes(self, score: float, y: int) -> np.ndarray:
+        """Of the log likelihood of grade y by each threshold; by the score it is the negative of their sum."""
+        above = 1 / (1 + np.exp(-np.clip(score - self.thresholds, -30, 30)))  # P(> k)
+        full, k = np.concatenate(([1.0], above, [0.0])), np.arange(len(above))
+        p = max(full[y] - full[y + 1], 1e-6)
+        slope = above * (1 - above)
+        return (np.where(k == y, slope, 0) - np.where(k == y - 1, slope, 0)) / p
+
     def train(self, rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray) -> None:
         r = np.random.default_rng(SEED)
         grades = len(self.gaps) + 2
-        seen, k = np.full(len(self.w), 1e-4, np.float32), np.arange(grades - 1)
+        seen = np.full(len(self.w), 1e-4, np.float32)
         over, n = 1e-4 + np.zeros(grades - 1), np.bincount(grade, minlength=grades)
         weight = len(grade) / (grades * np.maximum(n, 1))
         for _ in range(EPOCHS):
             for i in r.permutation(len(rows)):
                 index, value = rows[i]
                 score, y = float(self.w[index] @ value), grade[i]
-                t = self.thresholds
-                above = 1 / (1 + np.exp(-np.clip(score - t, -30, 30)))  # P(> k)
-                full = np.concatenate(([1.0], above, [0.0]))
-                p = max(full[y] - full[y + 1], 1e-6)
-                slope = above * (1 - above)
-                # of the log likelihood by each threshold
-                d = (np.where(k == y, slope, 0) - np.where(k == y - 1, slope, 0)) / p * weight[y]
+                d = self.slopes(score, y) * weight[y]
                 g = -float(d.sum())  # by the score
                 change = (g * value).astype(np.float32)
                 seen[index] += change**2

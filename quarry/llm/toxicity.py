@@ -83,6 +83,37 @@ class Network:
         x, bounds = self.embed(rows, counts)
         return (self.pooled(x, bounds) @ self.out).astype(float) - self.shift
 
+    def backward(self, x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, bias: float) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of the mean log loss: by the logits, by filters, their biases and the output (with decay), and places of x with theirs."""
+        maxima, where = [], []
+        for w, filt, b in zip(WIDTHS, self.filters, self.bias):
+            y = x @ filt[:DIM]
+            for k in range(1, w):
+                y[: len(x) - k] += x[k:] @ filt[k * DIM : (k + 1) * DIM]
+            at = np.stack([bounds[i] + y[bounds[i] : bounds[i + 1] - max(WIDTHS) + 1].argmax(0) for i in range(len(bounds) - 1)])
+            where.append(at)
+            maxima.append(np.take_along_axis(y, at, axis=0) + b)
+        h = np.concatenate(maxima, axis=1)
+        on = h > 0
+        h = np.maximum(h, 0)
+        p = 1 / (1 + np.exp(-(h @ self.out + bias)))
+        g = ((p - labels) / len(labels)).astype(np.float32)
+        back = np.outer(g, self.out) * on
+        grads: list[np.ndarray] = []
+        dx: dict = {"at": [], "d": []}
+        for j, (w, filt) in enumerate(zip(WIDTHS, self.filters)):
+            d, at = back[:, j * FILTERS : (j + 1) * FILTERS], where[j]
+            gf = np.zeros_like(filt)
+            for k in range(w):
+                part = x[at + k]  # texts, filters, DIM
+                gf[k * DIM : (k + 1) * DIM] = np.einsum("tfd,tf->df", part, d)
+                dx["at"].append((at + k).ravel())
+                dx["d"].append((d[:, :, None] * filt[k * DIM : (k + 1) * DIM].T[None]).reshape(-1, DIM))
+            grads.append(gf + 1e-4 * filt)
+        grads += [back[:, j * FILTERS : (j + 1) * FILTERS].sum(0) for j in range(len(WIDTHS))]
+        grads.append(h.T @ g + 1e-4 * self.out)
+        return g, grads, np.concatenate(dx["at"]), np.concatenate(dx["d"])
+
     def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> None:
         r = np.random.default_rng(SEED)
         f = np.float32
@@ -95,39 +126,13 @@ class Network:
                 rows = np.concatenate([docs[i] for i in batch])
                 counts = np.array([len(docs[i]) for i in batch])
                 x, bounds = self.embed(rows, counts)
-                maxima, where = [], []
-                for w, filt, b in zip(WIDTHS, self.filters, self.bias):
-                    y = x @ filt[:DIM]
-                    for k in range(1, w):
-                        y[: len(x) - k] += x[k:] @ filt[k * DIM : (k + 1) * DIM]
-                    at = np.stack([bounds[i] + y[bounds[i] : bounds[i + 1] - max(WIDTHS) + 1].argmax(0) for i in range(len(batch))])
-                    where.append(at)
-                    maxima.append(np.take_along_axis(y, at, axis=0) + b)
-                h = np.concatenate(maxima, axis=1)
-                on = h > 0
-                h = np.maximum(h, 0)
-                p = 1 / (1 + np.exp(-(h @ self.out + bias)))
-                g = ((p - labels[batch]) / len(batch)).astype(f)
-                back = np.outer(g, self.out) * on
-                grads: list[np.ndarray] = []
-                dx: dict = {"at": [], "d": []}
-                for j, (w, filt) in enumerate(zip(WIDTHS, self.filters)):
-                    d, at = back[:, j * FILTERS : (j + 1) * FILTERS], where[j]
-                    gf = np.zeros_like(filt)
-                    for k in range(w):
-                        part = x[at + k]  # texts, filters, DIM
-                        gf[k * DIM : (k + 1) * DIM] = np.einsum("tfd,tf->df", part, d)
-                        dx["at"].append((at + k).ravel())
-                        dx["d"].append((d[:, :, None] * filt[k * DIM : (k + 1) * DIM].T[None]).reshape(-1, DIM))
-                    grads.append(gf + 1e-4 * filt)
-                grads += [back[:, j * FILTERS : (j + 1) * FILTERS].sum(0) for j in range(len(WIDTHS))]
-                grads.append(h.T @ g + 1e-4 * self.out)
+                g, grads, places, slopes = self.backward(x, bounds, labels[batch], bias)
                 bias -= 0.5 * float(g.sum())
                 # from places in x to words, from words to rows of the table
                 word = np.full(len(x), -1, dtype=np.int64)
                 word[np.arange(len(rows)) + np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(counts)))[:-1], counts)] = np.arange(len(rows))
-                at, d = word[np.concatenate(dx["at"])], np.concatenate(dx["d"])
-                at, d = at[at >= 0], d[word[np.concatenate(dx["at"])] >= 0]
+                at = word[places]
+                at, d = at[at >= 0], slopes[at >= 0]
                 for side in (0, 1):
                     idx, inv = np.unique(rows[at, side], return_inverse=True)
                     total = np.zeros((len(idx), DIM), f)

@@ -53,3 +53,44 @@ def test_general_links(spark):
     cut = sum(placed[a] != placed[b] for a, b in links)
     assert cut < 0.4 * len(links)
     assert max(Counter(placed.values()).values()) - min(Counter(placed.values()).values()) <= 1
+
+
+def plain(ids, links, start, bucket, shards, rounds):
+    """Balanced label propagation by dictionaries: (shard, slot) of each id."""
+    linked = {x for pair in links for x in pair}
+    shard, still = dict(start), 0
+    quota = [len(ids) // shards + (k < len(ids) % shards) for k in range(shards)]
+    for turn in range(rounds):
+        votes = defaultdict(Counter)
+        for a, b in links:
+            one, other = (a, b) if turn % 2 == 0 else (b, a)
+            votes[one][shard[other]] += 1
+        wants = defaultdict(list)
+        for i, v in votes.items():
+            best = max(v, key=lambda k: (v[k], -k))
+            if best != shard[i] and v[best] > v[shard[i]]:
+                wants[best].append(i)
+        held = Counter(shard[i] for i in linked)
+        moved = [(i, k) for k, w in wants.items() for i in sorted(w, key=lambda i: (bucket[i], i))[: max(0, quota[k] - held[k])]]
+        shard.update(moved)
+        still = 0 if moved else still + 1
+        if still == 2:
+            break
+    rows = [sorted((i for i in ids if shard[i] == k), key=lambda i: (i not in linked, bucket[i], i)) for k in range(shards)]
+    out = {i: (k, n) for k in range(shards) for n, i in enumerate(rows[k][: quota[k]])}
+    free = [(k, n) for k in range(shards) for n in range(len(rows[k]), quota[k])]
+    over = [i for k in range(shards) for i in rows[k][quota[k] :]]
+    return out | dict(zip(over, free))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equals_plain_propagation(spark, seed):
+    r = random.Random(seed)
+    n, shards = 300, 6
+    links = {(a, b) for a in range(200) for b in r.sample(range(200), 2) if b < a} | ({(i, 7) for i in range(8, 150)} if seed == 3 else set())
+    rows = spark.range(n)
+    buckets = s.partitions(spark)
+    known = rows.select("id", s.F.pmod(s.F.xxhash64("id", s.F.lit(1)), s.F.lit(shards)).alias("s"), s.F.pmod(s.F.xxhash64("id"), s.F.lit(buckets)).alias("b")).collect()
+    want = plain(range(n), links, {x.id: x.s for x in known}, {x.id: x.b for x in known}, shards, 5)
+    got = s.balanced_shards(rows, spark.createDataFrame(sorted(links), "a long, b long"), s.Scratch(spark, "test"), shards, 5)
+    assert {x.id: (x.shard, x.slot) for x in got.collect()} == want
