@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarry.operators import c_rules, code_graph, rust_rules, solidity_rules
+from quarry.functions import text as T
+from quarry.operators import c_rules, code_graph, evidence, rust_rules, solidity_rules
 from quarry.sources import code
 from quarry.sources.corpus import corpus
 
@@ -74,12 +75,50 @@ def alerts(sources: DataFrame) -> DataFrame:
     return c.unionByName(solidity_rules.solidity_alerts(sources)).unionByName(rust_rules.rust_alerts(sources, functions, code.lines_of(sources)))
 
 
+def _told(found: DataFrame) -> DataFrame:
+    """Alerts with their rule's name, confidence and message."""
+    rules = found.sparkSession.createDataFrame(RULES, "task_id string, rule_id string, confidence string")
+    message = F.concat_ws(": ", "rule_id", F.nullif("function_name", F.lit("")), F.nullif("detail", F.lit("")), F.nullif("statement", F.lit("")))
+    return found.join(F.broadcast(rules), "task_id").withColumn("message", message)
+
+
+def model_index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What messages may name: statements of functions (for evidence.infer: index), and functions of types in their files' order."""
+    plain = code.functions_of(sources).select("path", F.lit(0).alias("type_ord"), "type_name", "fn_ord", "fn_name", "body")
+    contracts = code.solidity_contracts(sources).join(sources.select("path", "content"), "path")
+    at = F.greatest(*[F.instr("content", F.concat(F.lit(f"{word} "), F.col("type_name"))) for word in ("contract", "library", "interface")])
+    both = plain.unionByName(contracts.select("path", at.alias("type_ord"), "type_name", "fn_ord", "fn_name", "body"))
+    key_ord = F.col("type_ord").cast("long") * (1 << 20) + F.col("fn_ord")
+    index = both.select("path", key_ord.alias("key_ord"), "type_name", F.col("fn_name").alias("function_name"), F.posexplode_outer(T.statements(F.col("body"))).alias("ord", "source_statement"), F.lit(None).cast("string").alias("reason"))
+    return index, both.drop("body")
+
+
+def full_findings(sources: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Findings with everything that a report shows: evidences, and title, category, portability and hint of their rule.
+
+    catalog: task_id, title, category, portability, remediation_hint; rules that it lacks have a title made from their name
+    and blanks.
+    """
+    shown = ("title", "category", "portability", "remediation_hint")
+    found = _told(alerts(sources))
+    if catalog is None:
+        found = found.withColumns({c: F.lit(None).cast("string") for c in shown})
+    else:
+        # one row a rule, and there are fewer rules than RULES has
+        known = F.broadcast(catalog.where(F.col("task_id").isin([r[0] for r in RULES])).dropDuplicates(["task_id"]).select("task_id", *shown))
+        found = found.join(known, "task_id", "left")
+    found = found.withColumns({"title": F.coalesce("title", F.initcap(F.replace("rule_id", F.lit("_"), F.lit(" ")))), **{c: F.coalesce(c, F.lit("")) for c in shown[1:]}})
+    order = Window.partitionBy("path").orderBy(F.col("task_id").cast("int"), "fn_ord", "idx", "detail", "statement")
+    found = found.withColumn("alert_id", F.concat("path", F.lit("#"), F.row_number().over(order)))
+    keep = ("alert_id", "path", "task_id", "rule_id", "confidence", "message", *shown)
+    told = evidence.infer(found.select(*keep), *model_index(sources), code.lines_of(sources))
+    one = F.struct(*evidence.EVIDENCE)
+    return told.select("path", "task_id", F.col("task_id").cast("int").alias("legacy_code"), "rule_id", "title", "category", "portability", "confidence", "message", "remediation_hint", F.array(one).alias("evidences"))
+
+
 def findings(sources: DataFrame) -> DataFrame:
     """Alerts with their rule's description and the lines of the file that hold their statement."""
-    rules = sources.sparkSession.createDataFrame(RULES, "task_id string, rule_id string, confidence string")
-    found = alerts(sources).join(F.broadcast(rules), "task_id")
-    message = F.concat_ws(": ", "rule_id", F.nullif("function_name", F.lit("")), F.nullif("detail", F.lit("")), F.nullif("statement", F.lit("")))
-    found = found.withColumn("message", message)
+    found = _told(alerts(sources))
     lines = code.lines_of(sources).select("path", "n", "line")
     held = found.where("statement <> ''").select("path", "statement").distinct().join(lines, "path").where(F.contains("line", F.col("statement")))
     at = held.groupBy("path", "statement").agg(F.sort_array(F.collect_list("n")).alias("line_numbers"))
@@ -96,6 +135,12 @@ def corpus_findings_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts(corpus(spark)).groupBy("task_id").agg(F.count("*").alias("findings"))
 
 
+def corpus_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the findings over the built-in sources are about."""
+    found = full_findings(corpus(spark)).select("path", "task_id", "title", F.explode("evidences").alias("e"))
+    return found.select("path", "task_id", "title", "e.type_name", "e.function_name", "e.statement", "e.confidence_reason", "e.line_number")
+
+
 def corpus_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.functions_of(corpus(spark)).select("path", "fn_ord", "fn_name", "visibility")
 
@@ -110,5 +155,5 @@ def corpus_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.edges(src, code.functions_of(src))
 
 
-QUERIES = {f.__name__: f for f in (corpus_findings, corpus_findings_by_task, corpus_functions, corpus_graph_nodes, corpus_graph_edges)}
+QUERIES = {f.__name__: f for f in (corpus_findings, corpus_findings_by_task, corpus_evidence, corpus_functions, corpus_graph_nodes, corpus_graph_edges)}
 SQL: dict[str, str] = {}

@@ -90,3 +90,20 @@ def test_public_panics_need_a_name_before_the_call(spark):
 
 def test_quoted_comments_stay():
     assert code.without_solidity_comments('string s = "http://x"; // gone\n\'//\' /* a */') .rstrip() == 'string s = "http://x";        \n\'//\''
+
+
+def test_full_findings(spark, found):
+    catalog = spark.createDataFrame([("114", "Keys", "crypto", "node", "check possession"), ("114", "Keys", "crypto", "node", "check possession"), ("999", "x", "x", "x", "x")], "task_id string, title string, category string, portability string, remediation_hint string")
+    rows = audit.full_findings(corpus.corpus(spark), catalog).collect()
+    assert sorted((r.path, r.task_id, r.message) for r in rows) == sorted((r.path, r.task_id, r.message) for r in found)
+    one = next(r for r in rows if r.task_id == "114")
+    assert (one.legacy_code, one.title, one.category, one.portability, one.remediation_hint) == (114, "Keys", "crypto", "node", "check possession")
+    e = one.evidences[0]
+    assert (e.type_name, e.function_name, e.statement, e.confidence_reason) == ("rules", "bad_114", "bls_aggregate( k )", "matched_statement_from_normalized_model")
+    lines = corpus.C_RULES.split("\n")
+    assert e.line_numbers and all("bls_aggregate( k )" in lines[n - 1] for n in e.line_numbers) and e.line_number == e.line_numbers[0]
+    other = next(r for r in rows if r.task_id == "206")
+    assert other.title == "Improper Error Signaling" and other.category == "" and other.evidences[0].function_name == "bad_206"
+    whole = next(r for r in rows if r.task_id == "220")
+    assert whole.evidences[0].confidence_reason == "message_only_fallback" and whole.evidences[0].line_numbers == []
+    assert audit.full_findings(corpus.corpus(spark).limit(0)).collect() == []
