@@ -56,14 +56,14 @@ def clamp(c: Column, low: int, high: int) -> Column:
 def first_braces(c: Column) -> Column:
     """What the first { and its partner enclose, or all that follows where the partner is missing; empty without a {.
 
-    A fold over the characters keeps depth and both ends, so nesting of any depth is right.
+    A fold over the pieces that end with a brace keeps depth and both ends, so nesting of any depth is right.
     """
-    chars = F.split(c, "")
+    pieces = F.split(c, "(?<=[{}])", -1)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(0).alias("close"))
 
-    def step(s: Column, ch: Column) -> Column:
-        up, down = ch == "{", (ch == "}") & (s.depth > 0)
-        at = s.at + 1
+    def step(s: Column, piece: Column) -> Column:
+        up, down = F.endswith(piece, F.lit("{")), F.endswith(piece, F.lit("}")) & (s.depth > 0)
+        at = s.at + F.length(piece)
         live = s.close == 0
         depth = F.when(live & up, s.depth + 1).when(live & down, s.depth - 1).otherwise(s.depth)
         return F.struct(
@@ -77,4 +77,4 @@ def first_braces(c: Column) -> Column:
         stop = F.when(s.close > 0, s.close).otherwise(s.at + 1)
         return F.when(s.open > 0, F.substring(c, s.open + 1, stop - s.open - 1)).otherwise("")
 
-    return F.when(F.contains(c, F.lit("{")), F.aggregate(chars, start, step, body)).otherwise("")
+    return F.when(F.contains(c, F.lit("{")), F.aggregate(pieces, start, step, body)).otherwise("")
