@@ -9,7 +9,7 @@ Features, all hashed: words (once each), shapes of words (letters, capitals, dig
 characters as they are) by share of the words, and how many words repeat the one before.
 
 Ratings here: 0 poor, 1 good but toxic, 2 good and not toxic, from the labels; any number of grades works. Training takes
-at most SAMPLE documents of each grade of at most TRAIN_WORDS words; scoring covers every whole text. ``cutoff`` comes
+at most SAMPLE documents of each grade, of at most sampling.SAMPLE_BYTES bytes together, whole; scoring covers every text. ``cutoff`` comes
 from a part of the sample that is not trained on: the highest that keeps KEEP of its documents of ``least`` or more.
 
 Defined cases: null and empty texts have no words, are scored by the thresholds alone and are never selected. With fewer
@@ -29,7 +29,7 @@ from .sampling import labelled_sample
 from .scratch import bounded_batches
 from .text import SPACE, Texts, chunks, column_bytes
 
-SAMPLE, TRAIN_WORDS, GRADES, LEAST, KEEP = 2500, 6000, 3, 1, 0.99
+SAMPLE, GRADES, LEAST, KEEP = 2500, 3, 1, 0.99
 BITS, EPOCHS, SEED = 18, 8, 5
 _U = np.uint64
 
@@ -123,14 +123,14 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in chunks(offsets):
             texts = Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             index, value, bounds = features(texts)
-            out += [(index[a:b].astype(np.int32).tobytes(), value[a:b].tobytes()) if n <= TRAIN_WORDS else (None, None) for a, b, n in zip(bounds, bounds[1:], texts.counts)]
+            out += [(index[a:b].astype(np.int32).tobytes(), value[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "grade", "index", "value"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = GRADES, least: int = LEAST) -> Ordinal:
     kind = dict(docs.dtypes)["doc_id"]
     sample = labelled_sample(docs, ratings, grade, SAMPLE, ["doc_id", "text"])
-    rows = sample.mapInArrow(_sampled, f"doc_id {kind}, grade int, index binary, value binary").where("index is not null").orderBy(F.xxhash64("doc_id"), "index").collect()
+    rows = sample.mapInArrow(_sampled, f"doc_id {kind}, grade int, index binary, value binary").orderBy(F.xxhash64("doc_id"), "index").collect()
     y = np.array([r.grade for r in rows], dtype=int)
     model = Ordinal(grades)
     if len(set(y.tolist())) < 2:

@@ -4,8 +4,8 @@ A word (a run of letters, digits and characters beyond ASCII, A-Z lower-cased) h
 table, chosen by two hashes. Filters of the widths WIDTHS slide over the whole text, a rectifier and the maximum over
 all positions follow, and a logistic layer gives the score. Labels, language, source and id are no inputs.
 
-Training takes at most SAMPLE labelled documents of each class, of at most TRAIN_WORDS words; the sample is all that
-reaches the driver. Part of it is kept to calibrate: the score's zero is put where the expected F1 under the labels' own
+Training takes at most SAMPLE labelled documents of each class, of at most sampling.SAMPLE_BYTES bytes together, whole;
+the sample is all that reaches the driver. Part of it is kept to calibrate: the score's zero is put where the expected F1 under the labels' own
 shares is best, so that 0.5 is the general threshold; then each language with enough calibration documents gets its own
 threshold, which only ``flagged`` uses. Every document is scored over its whole text.
 
@@ -27,7 +27,7 @@ from .sampling import fold, labelled_sample
 from .scratch import bounded_batches
 from .text import Texts, chunks, column_bytes
 
-SAMPLE, TRAIN_WORDS = 2500, 6000
+SAMPLE = 2500
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 12, (1, 2, 3)
 EPOCHS, BATCH, SEED = 6, 32, 7
 #: Calibration documents of each class that a language needs for a threshold of its own.
@@ -177,11 +177,11 @@ class Model:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
-        blobs: list[bytes | None] = []
+        blobs: list[bytes] = []
         for i, j in chunks(offsets):
             texts = Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], GAPS)
             rows = word_rows(texts)
-            blobs += [rows[a:b].tobytes() if b - a <= TRAIN_WORDS else None for a, b in zip(texts.first[:-1], texts.first[1:])]
+            blobs += [rows[a:b].tobytes() for a, b in zip(texts.first[:-1], texts.first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(blobs, pa.binary())], ["doc_id", "lang", "label", "words"])
 
 
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = usable.where("toxic is not null").agg(F.coalesce(F.avg((F.col("toxic") > 0).cast("double")), F.lit(0.0))).first()[0]
     sample = labelled_sample(docs, usable, (F.col("toxic") > 0).cast("int"), SAMPLE, ["doc_id", "text", F.col("lang").cast("string").alias("lang")])
     kind = dict(docs.dtypes)["doc_id"]
-    rows = sample.mapInArrow(_words, f"doc_id {kind}, lang string, label int, words binary").where("words is not null").orderBy(F.xxhash64("doc_id"), "words").collect()
+    rows = sample.mapInArrow(_words, f"doc_id {kind}, lang string, label int, words binary").orderBy(F.xxhash64("doc_id"), "words").collect()
     y = np.array([r.label for r in rows], dtype=int)
     if len(set(y.tolist())) < 2:
         return Model(None, share)
