@@ -1,14 +1,14 @@
 """Nodes and edges of Solidity code: contracts, functions, state, events, modifiers, and who reads, calls or emits what.
 
-Candidates meet the bodies of their own contract (or of a contract that inherits from it) in equality joins on path and
-contract; names are then looked for in the body. Edges run from the caller to what it calls.
+Candidates meet the bodies of their own contract (or of a contract that inherits from it or names it as an interface) in
+equality joins on path and contract; names are then looked for in the body. Edges run from the caller to what it calls.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.operators import calls, keyed
+from quarry.operators import calls, extract, keyed
 
 # Functions of the system, looked for by name.
 SYSTEM = [
@@ -42,16 +42,24 @@ def events_of(sources: DataFrame) -> DataFrame:
     return sources.where("language = 'solidity'").select("path", F.explode(F.array_distinct(found)).alias("name"))
 
 
+def object_edges(contracts: DataFrame) -> DataFrame:
+    """The columns EDGE and label: each function with the objects of its contract on which it calls the method label."""
+    c = F.col
+    called = contracts.select("path", "type_name", "fn_name", "body", F.explode(F.array_distinct("objects")).alias("name"))
+    called = called.select("path", "type_name", "fn_name", "name", F.explode(extract.object_calls(c("body"), c("name"))).alias("label"))
+    return called.select("path", c("type_name").alias("source_type"), c("fn_name").alias("source_name"), c("type_name").alias("target_type"), c("name").alias("target_name"), F.lit("function_to_object").alias("kind"), "label").distinct()
+
+
 def edges(contracts: DataFrame, events: DataFrame) -> DataFrame:
-    """The columns EDGE for contracts (path, type_name, parents, state, fn_ord, fn_name, body); no edge twice."""
+    """The columns EDGE for contracts (path, type_name, parents, interfaces, objects, state, fn_ord, fn_name, body); no edge twice."""
     c = F.col
-    of = contracts.select("path", "type_name", "parents", "state", "fn_name", "body")
-    body = of.select("path", "type_name", "parents", c("fn_name").alias("caller"), "body")
+    of = contracts.select("path", "type_name", F.array_union("parents", "interfaces").alias("owners"), "state", "fn_name", "body")
+    body = of.select("path", "type_name", "owners", c("fn_name").alias("caller"), "body")
     state = of.select("path", c("type_name").alias("owner"), F.explode("state").alias("name")).distinct()
     named = of.select("path", c("type_name").alias("owner"), c("fn_name").alias("name")).distinct()
     row = lambda df, *cols: df.select("path", *[x.alias(n) for x, n in zip(cols, EDGE[1:])])
     own = lambda names: body.join(names, (body.path == names.path) & (body.type_name == names.owner)).drop(names.path)
-    heirs = body.select("path", "type_name", "caller", "body", F.explode("parents").alias("owner"))
+    heirs = body.select("path", "type_name", "caller", "body", F.explode("owners").alias("owner"))
     reads = row(own(state).where(touches(c("body"), c("name"))), c("owner"), c("name"), c("type_name"), c("caller"), F.lit("state_to_function"))
     target = F.when(c("caller") == c("name"), F.concat(F.lit("super."), "name")).otherwise(c("name"))
     inner = row(own(named).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), target, F.lit("function_to_function"))
@@ -62,7 +70,7 @@ def edges(contracts: DataFrame, events: DataFrame) -> DataFrame:
     past = row(heirs.join(state, ["path", "owner"]).where(touches(c("body"), c("name"))), c("owner"), c("name"), c("type_name"), c("caller"), F.lit("cross_type_state"))
     above = row(heirs.join(named, ["path", "owner"]).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), c("name"), F.lit("cross_type_call"))
     out = reads
-    for part in (inner, system, emitted, past, above):
+    for part in (inner, system, emitted, past, above, object_edges(contracts).select(*EDGE)):
         out = out.unionByName(part)
     return out.distinct()
 

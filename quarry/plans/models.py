@@ -196,6 +196,55 @@ def solidity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solidity_graph.graph(code.solidity_contracts(src), src)[0].select("id", F.col("group").alias("grp"), "parent")
 
 
+OBJECTS = """interface IFeed { function rate(uint x) external; }
+interface ISink is IFeed { function push(uint x) external; }
+contract Store { uint used; function put(uint x) public { used = x; } }
+contract Shop is Store {
+  Store public store;
+  Store old_store = Store(address(1));
+  IFeed feed;
+  function sell(uint x) public { store.put(x); old_store.put(x); store.put (x + 1); store.get(x); rate(x); }
+  function idle() public { my_store.put(1); store = Store(address(2)); }
+  Late late;
+}
+contract Late { Shop shop; function push(uint x) public { shop.sell(x); } }
+"""
+OBJECT_EDGES = [
+    ("Shop", "sell", "Shop", "store", "function_to_object", "put"),
+    ("Shop", "sell", "Shop", "store", "function_to_object", "put "),
+    ("Shop", "sell", "Shop", "store", "function_to_object", "get"),
+    ("Shop", "sell", "Shop", "old_store", "function_to_object", "put"),
+    ("Late", "push", "Late", "shop", "function_to_object", "sell"),
+]
+INTERFACE_EDGES = [
+    ("Store", "used", "Store", "put", "state_to_function"),
+    ("Shop", "sell", "IFeed", "rate", "cross_type_call"),
+    ("Shop", "sell", "Store", "put", "cross_type_call"),
+    ("Shop", "idle", "Store", "put", "cross_type_call"),
+    ("Shop", "sell", "Shop", "store", "function_to_object"),
+    ("Shop", "sell", "Shop", "old_store", "function_to_object"),
+    ("Late", "push", "Late", "shop", "function_to_object"),
+]
+
+
+def _shop(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    src = spark.createDataFrame([("t/Shop.sol", 0, "solidity", OBJECTS)], code.SOURCES)
+    return code.solidity_contracts(src), src
+
+
+@query(f"with {values(OBJECT_EDGES, 'e', 'source_type, source_name, target_type, target_name, kind, label')} select * from e")
+def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods called on objects: a type counts once it is declared, whatever follows an underscore doesn't."""
+    return solidity_graph.object_edges(_shop(spark)[0]).drop("path")
+
+
+@query(f"with {values(INTERFACE_EDGES, 'e', 'source_type, source_name, target_type, target_name, kind')} select * from e")
+def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges of contracts that name an interface without inheriting from it."""
+    contracts, src = _shop(spark)
+    return solidity_graph.edges(contracts, solidity_graph.events_of(src)).drop("path")
+
+
 @query()
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_nationkey") % 5).alias("grp"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))

@@ -124,7 +124,7 @@ for _task, _select in _LINE_RULES.items():
 # --- Solidity -----------------------------------------------------------------------------------------------------------
 
 _TOKEN = corpus.SOLIDITY
-_BODIES = values(list(code.contract_rows(_TOKEN)), "t", "type_name, parents, state, fn_ord, name, visibility, params, modifiers, body")
+_BODIES = values([r[:9] for r in code.contract_rows(_TOKEN)], "t", "type_name, parents, state, fn_ord, name, visibility, params, modifiers, body")
 
 
 def _inner(word: str) -> str:

@@ -107,16 +107,22 @@ def lines_of(sources: DataFrame) -> DataFrame:
     return sources.select("path", "file_ord", "language", F.posexplode(F.split("content", r"\r?\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
 
 
-CONTRACTS = "path string, file_ord int, type_name string, parents array<string>, state array<string>, fn_ord int, fn_name string, visibility string, params string, modifiers string, body string"
+CONTRACTS = "path string, file_ord int, type_name string, parents array<string>, state array<string>, fn_ord int, fn_name string, visibility string, params string, modifiers string, body string, objects array<string>, interfaces array<string>"
 
 #: Types whose variables count as state; longer names such as uint256 don't.
 STATE_TYPES = r"\b(?:string|uint|mapping|address|bytes)\b"
 
 
 def contract_rows(text: str) -> Iterator[tuple]:
-    """(contract, parents, state, place, function, visibility, params, modifiers, body) of each function."""
+    """(contract, parents, state, place, function, visibility, params, modifiers, body, objects, interfaces) of each function.
+
+    objects: variables of a contract whose type is a contract before it; interfaces: those of the file that its code names.
+    """
     clean = without_solidity_comments(text)
-    for m in re.finditer(r"\b(?:contract|library|interface)\s+(\w+)(?:\s+is\s+([^{]*))?\s*\{", clean):
+    heads_of_types = list(re.finditer(r"\b(contract|library|interface)\s+(\w+)(?:\s+is\s+([^{]*))?\s*\{", clean))
+    named = list(dict.fromkeys(m[2] for m in heads_of_types if m[1] == "interface"))
+    before: list[str] = []
+    for m in heads_of_types:
         inside = clean[m.end() : partner(clean, m.end() - 1)]
         heads = list(re.finditer(r"\b(?:function\s+(\w+)|(constructor))\s*\(", inside))
         outer, found, at = [], [], 0
@@ -132,15 +138,20 @@ def contract_rows(text: str) -> Iterator[tuple]:
             outer.append(inside[at : h.start()])
             at = end + 1
         outer.append(inside[at:])
-        state = []
+        state, objects = [], []
         for s in re.split(r"[;{}]", "".join(outer)):
-            if re.match(rf"\s*{STATE_TYPES}", s):
+            word = re.match(r"\s*(\w+)", s)
+            mine = state if re.match(rf"\s*{STATE_TYPES}", s) else objects if word and word[1] in before else None
+            if mine is not None:
                 name = re.search(r"(\w+)\s*$", s.split("=")[0] if "=>" not in s else re.split(r"(?<!=)=(?!>)", s)[0])
                 if name:
-                    state.append(name[1])
-        parents = [p.strip().split("(")[0] for p in (m[2] or "").split(",") if p.strip()]
+                    mine.append(name[1])
+        parents = [p.strip().split("(")[0] for p in (m[3] or "").split(",") if p.strip()]
+        interfaces = [i for i in named if i != m[2] and i in m[0] + inside]
+        if m[1] == "contract":
+            before.append(m[2])
         for k, f in enumerate(found):
-            yield (m[1], parents, state, k, *f)
+            yield (m[2], parents, state, k, *f, objects, interfaces)
 
 
 def solidity_contracts(sources: DataFrame) -> DataFrame:
