@@ -9,6 +9,7 @@ from quarry.plans import audit
 from quarry.sources import code
 
 MODES = ("legacy", "auditor", "explore")
+language_of_task = audit.language_of_task
 
 
 class AuditError(ValueError):
@@ -19,10 +20,6 @@ class AuditError(ValueError):
         self.code = code
 
 
-def language_of_task(task: str) -> str:
-    return "solidity" if int(task) < 100 else "c" if int(task) < 200 else "rust"
-
-
 def list_tasks(spark: SparkSession, language: str | None = None) -> DataFrame:
     """task_id, rule_id, confidence by number, and ``all`` last."""
     if language not in (None, "solidity", "c", "rust"):
@@ -39,8 +36,7 @@ def analyze(sources: DataFrame, task: str = "all", mode: str = "auditor") -> Dat
         raise AuditError("unknown_mode", mode)
     if task != "all":
         sources = sources.where(F.col("language") == language_of_task(task))
-    found = audit.findings(sources)
-    found = found if task == "all" else found.where(F.col("task_id") == task)
+    found = audit.findings(sources, None if task == "all" else task)
     return found.select(F.col("task_id").cast("int").alias("code"), "message") if mode == "legacy" else found
 
 

@@ -86,8 +86,8 @@ def _arguments(c: Column) -> Column:
     return F.when(F.contains(inner, F.lit(",")), whole).otherwise(F.array().cast("array<string>"))
 
 
-def statement_alerts(statements: DataFrame) -> DataFrame:
-    """Alerts of the rules that look at a statement and those around it."""
+def statement_alerts(statements: DataFrame, task: str | None = None) -> DataFrame:
+    """Alerts of the rules that look at a statement and those around it; of one of them, or of all."""
     keys, order = ["path", "fn_ord"], ["idx"]
     s, low = F.col("stmt"), F.col("low")
     near = lambda flag, a, b: frames.frame_flag(flag, keys, order, a, b)
@@ -102,8 +102,8 @@ def statement_alerts(statements: DataFrame) -> DataFrame:
     constants = F.filter(F.regexp_extract_all(s, F.lit(r"(?:>|>=|<|<=)\s*(\d+)\b"), 1), lambda x: x.cast("decimal(38,0)") != TABLE_WINDOW)
     counts = F.filter(F.regexp_extract_all(s, F.lit(r"(?:->|\.)(\w+)\s*(?:\+\+|--)"), 1), lambda x: x.isin(COUNT_FIELDS))
     effects = F.filter(_arguments(s), lambda a: any_token(F.lower(F.regexp_extract(a, r"\b([A-Za-z_]\w*)\s*\(", 1)), EFFECTS))
-    one = lambda task, when: F.when(when, F.array(F.struct(F.lit(task).alias("task_id"), F.lit("").alias("detail"))))
-    each = lambda task, when, found: F.when(when, F.transform(found, lambda x: F.struct(F.lit(task).alias("task_id"), x.alias("detail"))))
+    one = lambda t, when: (t, F.when(when, F.array(F.struct(F.lit(t).alias("task_id"), F.lit("").alias("detail")))))
+    each = lambda t, when, found: (t, F.when(when, F.transform(found, lambda x: F.struct(F.lit(t).alias("task_id"), x.alias("detail")))))
     rules = [
         one("101", s.rlike(UNSIGNED_CAST) & ~any_token(s, SATURATING) & F.exists(operands, lambda o: F.trim(o).rlike(_FLOAT))),
         one("102", s.rlike("<<|>>") & s.rlike(OUTSIDE_POINTER) & ~any_token(s, SHIFT_BOUNDS) & ~near(any_token(s, SHIFT_BOUNDS), -3, -1)),
@@ -123,7 +123,7 @@ def statement_alerts(statements: DataFrame) -> DataFrame:
         one("120", any_token(low, ["vm->mem", "vm_mem"]) & s.rlike(VM_CAST) & ~near(any_token(low, ALIGNED), -3, -1)),
     ]
     none = F.array().cast("array<struct<task_id:string,detail:string>>")
-    found = df.select("*", F.concat(*[F.coalesce(r, none) for r in rules]).alias("alerts")).where(F.size("alerts") > 0)
+    found = df.select("*", F.concat(*[F.coalesce(r, none) for t, r in rules if task in (None, t)]).alias("alerts")).where(F.size("alerts") > 0)
     return found.select("path", "file_ord", "fn_ord", F.concat("type_name", F.lit("."), "fn_name").alias("function_name"), "idx", F.left("stmt", F.lit(120)).alias("statement"), F.inline("alerts")).select(*ALERTS)
 
 
@@ -168,8 +168,11 @@ def guarded_returns(statements: DataFrame) -> DataFrame:
     return pairs.select("path", "file_ord", F.lit("115").alias("task_id"), "fn_ord", F.concat("type_name", F.lit("."), "fn_name").alias("function_name"), F.col("right_index").alias("idx"), "detail", F.left("stmt", F.lit(120)).alias("statement"))
 
 
-def c_alerts(sources: DataFrame, statements: DataFrame) -> DataFrame:
-    out = statement_alerts(statements)
-    for part in (released_then_used(statements), missing_keys(sources), switch_order(statements), guarded_returns(statements)):
-        out = out.unionByName(part)
+def c_alerts(sources: DataFrame, statements: DataFrame, task: str | None = None) -> DataFrame:
+    apart = {"104": lambda: released_then_used(statements), "105": lambda: missing_keys(sources), "113": lambda: switch_order(statements), "115": lambda: guarded_returns(statements)}
+    if task in apart:
+        return apart[task]()
+    out = statement_alerts(statements, task)
+    for part in apart.values() if task is None else ():
+        out = out.unionByName(part())
     return out

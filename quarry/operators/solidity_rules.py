@@ -50,13 +50,14 @@ def _first(c: Column, test) -> Column:
     return F.array_min(F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda x: x.isNotNull()))
 
 
-def function_alerts(df: DataFrame) -> DataFrame:
+def function_alerts(df: DataFrame, task: str | None = None) -> DataFrame:
+    """Alerts of the rules that look at one function; of one of them, or of all."""
     c, low, name = F.col, F.col("low"), F.concat("type_name", F.lit("."), "fn_name")
     has = lambda x, t: F.contains(x, F.lit(t))
     none = F.array().cast("array<struct<task_id:string,detail:string>>")
-    alert = lambda task, detail: F.struct(F.lit(task).alias("task_id"), detail.cast("string").alias("detail"))
-    one = lambda task, when, detail=F.lit(""): F.when(when, F.array(alert(task, detail)))
-    each = lambda task, when, found: F.when(when, F.transform(found, lambda x: alert(task, x)))
+    alert = lambda t, detail: F.struct(F.lit(t).alias("task_id"), detail.cast("string").alias("detail"))
+    one = lambda t, when, detail=F.lit(""): (t, F.when(when, F.array(alert(t, detail))))
+    each = lambda t, when, found: (t, F.when(when, F.transform(found, lambda x: alert(t, x))))
     open_ = (F.size("guards") == 0) & (F.size("permissions") == 0)
     money = F.filter("mutations", lambda m: any_token(F.lower(m), MONEY))
     stake, unstake = has(low, "stake") & ~has(low, "unstake"), has(low, "unstake")
@@ -93,7 +94,7 @@ def function_alerts(df: DataFrame) -> DataFrame:
         one("9", (F.size("guards") == 0) & F.exists("transfers", lambda s: any_token(F.lower(s), ["withdraw", "unstake", "transfer"])), c("transfers")[0]),
         one("11", (c("visibility") == "external") & c("has_inputs") & (F.size("mutations") > 0) & open_),
     ]
-    found = df.select("path", "file_ord", "fn_ord", name.alias("function_name"), F.inline(F.concat(*[F.coalesce(r, none) for r in rules])))
+    found = df.select("path", "file_ord", "fn_ord", name.alias("function_name"), F.inline(F.concat(*[F.coalesce(r, none) for t, r in rules if task in (None, t)])))
     return found.select("path", "file_ord", "task_id", "fn_ord", "function_name", F.lit(0).alias("idx"), "detail", F.lit("").alias("statement"))
 
 
@@ -135,6 +136,14 @@ def name_alerts(df: DataFrame) -> DataFrame:
     return pairs.select("path", "file_ord", F.lit("10").alias("task_id"), F.lit(-1).alias("fn_ord"), F.col("type_name").alias("function_name"), F.lit(0).alias("idx"), F.concat("kind", F.lit(": "), "a_name", F.lit(", "), "b_name").alias("detail"), F.lit("").alias("statement"))
 
 
-def solidity_alerts(sources: DataFrame) -> DataFrame:
+def solidity_alerts(sources: DataFrame, task: str | None = None) -> DataFrame:
     df = contracts_of(sources)
-    return function_alerts(df).unionByName(type_alerts(df)).unionByName(comment_alerts(sources)).unionByName(name_alerts(df))
+    apart = {"1": lambda: comment_alerts(sources), "10": lambda: name_alerts(df)}
+    if task in apart:
+        return apart[task]()
+    out = function_alerts(df, task)
+    if task in (None, "3"):
+        out = out.unionByName(type_alerts(df))
+    for part in apart.values() if task is None else ():
+        out = out.unionByName(part())
+    return out

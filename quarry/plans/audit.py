@@ -68,11 +68,21 @@ RULES = (
 )
 
 
-def alerts(sources: DataFrame) -> DataFrame:
-    """All alerts of the rules of each file's language."""
+def language_of_task(task: str) -> str:
+    return "solidity" if int(task) < 100 else "c" if int(task) < 200 else "rust"
+
+
+def alerts(sources: DataFrame, task: str | None = None) -> DataFrame:
+    """All alerts of the rules of each file's language; with a task those of its rule, and nothing else is computed."""
     functions = code.functions_of(sources)
-    c = c_rules.c_alerts(sources, code.statements_of(functions.where("language = 'c'")))
-    return c.unionByName(solidity_rules.solidity_alerts(sources)).unionByName(rust_rules.rust_alerts(sources, functions, code.lines_of(sources)))
+    by_language = {
+        "c": lambda: c_rules.c_alerts(sources, code.statements_of(functions.where("language = 'c'")), task),
+        "solidity": lambda: solidity_rules.solidity_alerts(sources, task),
+        "rust": lambda: rust_rules.rust_alerts(sources, functions, code.lines_of(sources), task),
+    }
+    if task is not None:
+        return by_language[language_of_task(task)]()
+    return by_language["c"]().unionByName(by_language["solidity"]()).unionByName(by_language["rust"]())
 
 
 def _told(found: DataFrame) -> DataFrame:
@@ -116,9 +126,9 @@ def full_findings(sources: DataFrame, catalog: DataFrame | None = None) -> DataF
     return told.select("path", "task_id", F.col("task_id").cast("int").alias("legacy_code"), "rule_id", "title", "category", "portability", "confidence", "message", "remediation_hint", F.array(one).alias("evidences"))
 
 
-def findings(sources: DataFrame) -> DataFrame:
-    """Alerts with their rule's description and the lines of the file that hold their statement."""
-    found = _told(alerts(sources))
+def findings(sources: DataFrame, task: str | None = None) -> DataFrame:
+    """Alerts with their rule's description and the lines of the file that hold their statement; of one task or of all."""
+    found = _told(alerts(sources, task))
     lines = code.lines_of(sources).select("path", "n", "line")
     held = found.where("statement <> ''").select("path", "statement").distinct().join(lines, "path").where(F.contains("line", F.col("statement")))
     at = held.groupBy("path", "statement").agg(F.sort_array(F.collect_list("n")).alias("line_numbers"))

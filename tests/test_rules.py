@@ -107,3 +107,17 @@ def test_full_findings(spark, found):
     whole = next(r for r in rows if r.task_id == "220")
     assert whole.evidences[0].confidence_reason == "message_only_fallback" and whole.evidences[0].line_numbers == []
     assert audit.full_findings(corpus.corpus(spark).limit(0)).collect() == []
+
+
+def test_one_task_computes_its_rule_alone(spark):
+    src = corpus.corpus(spark)
+    every = defaultdict(list)
+    for r in audit.alerts(src).collect():
+        every[r.task_id].append(tuple(r))
+    for task in ("1", "3", "10", "11", "101", "105", "113", "201", "209", "217"):
+        got = audit.alerts(src, task)
+        names = got.columns
+        assert sorted(tuple(r[n] for n in audit.alerts(src).columns) for r in got.select(*names).collect()) == sorted(every[task]), task
+    plan = lambda task: audit.alerts(src, task)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan("101") and "Window" in plan("108")
+    assert plan("205").count("MapInPandas") == 1 and "MapInPandas" not in plan("217")
