@@ -308,9 +308,12 @@ def min_position(spark, sf_dir):
 @query("""select p_partkey, case when n = 1 then 'inc:' || p_brand else 'inc:' || p_brand || '~' || left(sha256(p_name), 8) end as id
 from (select p_partkey, p_brand, p_name, row_number() over (partition by p_brand order by p_partkey) as n from part)""")
 def disambiguated_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
+    # the first of each brand by a partial aggregation, so no brand is sorted in one task
+    first = parts.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("first"))
     base = F.concat(F.lit("inc:"), "p_brand")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(n == 1, base).otherwise(F.concat(base, F.lit("~"), T.short_digest(F.col("p_name"), 8))).alias("id"))
+    rest = F.concat(base, F.lit("~"), T.short_digest(F.col("p_name"), 8))
+    return parts.join(first, F.col("p_brand").eqNullSafe(F.col("brand"))).select("p_partkey", F.when(F.col("p_partkey") == F.col("first"), base).otherwise(rest).alias("id"))
 
 
 @query("select role, count(*)::bigint as turns, count(distinct conv_id)::bigint as conversations, sum(case when prev = role then 1 else 0 end)::bigint as same_as_before from (select *, lag(role) over (partition by conv_id order by turn) as prev from conversations) group by role")
