@@ -9,8 +9,8 @@ Features, all hashed: words (once each), shapes of words (letters, capitals, dig
 characters as they are) by share of the words, and how many words repeat the one before.
 
 Ratings here: 0 poor, 1 good but toxic, 2 good and not toxic, from the labels; any number of grades works. Training takes
-at most SAMPLE documents of each grade, of at most sampling.SAMPLE_BYTES bytes together, whole; scoring covers every text. ``cutoff`` comes
-from a part of the sample that is not trained on: the highest that keeps KEEP of its documents of ``least`` or more.
+at most SAMPLE whole documents of each grade, of at most sampling.SAMPLE_BYTES bytes together; scoring covers every whole
+text. ``cutoff`` comes from a part of the sample that is not trained on: the highest that keeps KEEP of its documents of ``least`` or more.
 
 Defined cases: null and empty texts have no words, are scored by the thresholds alone and are never selected. With fewer
 than two grades seen every document gets that grade (or 0) and is kept if it has words. Repeated rows get a row each;
