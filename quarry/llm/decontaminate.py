@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .scratch import bounded_batches
+from .scratch import bounded_batches, sieve
 from .text import Texts, chunks, column_bytes, window_hashes
 
 ERROR_EVERY, BLOCK_BYTES = 10, 16 << 20
@@ -205,7 +205,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item occurs, unchanged and without a shuffle."""
     bounded_batches(docs.sparkSession)
     for rows in blocks(benchmark):
-        docs = docs.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(rows), docs.columns.index("text")), docs.schema)
+        docs = sieve(docs, _sieve(docs.sparkSession.sparkContext.broadcast(rows), docs.columns.index("text")))
     return docs
 
 

@@ -34,7 +34,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .scratch import Scratch
@@ -62,11 +62,16 @@ def set_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def size_bands(limit: int) -> np.ndarray:
-    """Least sizes of the bands: sizes 0.8 to 1.25 times each other are in one band or in two that adjoin."""
-    out = [4]
+def least_size(percent: int) -> int:
+    """The size from which a set can link with one that isn't equal: n of n + 1 shingles must be enough."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
+def size_bands(limit: int, percent: int) -> np.ndarray:
+    """Least sizes of the bands: sizes that can link (0.8 to 1.25 times each other at 80 percent) are in one band or in two that adjoin."""
+    out = [least_size(percent)]
     while out[-1] <= limit:
-        out.append(-(-out[-1] * 5 // 4))
+        out.append(-(-out[-1] * 100 // percent))
     return np.array(out)
 
 
@@ -94,7 +99,7 @@ def signatures(n: int, rare: np.ndarray, frequent: np.ndarray, percent: int, ban
     """Signatures of a set of n shingles, of which these are shared with other sets; both ascend."""
     allowed = n - int(overlap_needed(n, percent))
     lone = n - len(rare) - len(frequent)
-    if lone > allowed or n < 4:
+    if lone > allowed or n < least_size(percent):
         return np.empty(0, dtype=_U)
     out = [mix(rare[: allowed + 1 - lone])]
     need = allowed + 1 - lone - len(rare)
@@ -120,7 +125,7 @@ def _doc_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, texts in text_chunks(batch.column(1)):
             grams, bounds = shingle_sets(texts)
             n[i:j], s[i:j] = np.diff(bounds), set_keys(grams, bounds)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s.view(np.int64))], ["doc_id", "n", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(s.view(np.int64))], ["doc_id", "mark", "n", "s"])
 
 
 _INDEX = "bucket int, batch long, tokens binary, counts binary, hot binary, hot_counts binary, keys binary, sizes binary"
@@ -149,7 +154,7 @@ def long_ids(data: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _index(buckets: int, frequent: int):
+def _index(buckets: int, frequent: int, percent: int):
     names = [x.split()[0] for x in _INDEX.split(", ")]
     kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
 
@@ -161,7 +166,7 @@ def _index(buckets: int, frequent: int):
         _, first = np.unique(keys, return_index=True)
         keep = np.zeros(len(keys), dtype=bool)
         keep[first] = True
-        keep &= sizes >= 4
+        keep &= sizes >= least_size(percent)
         if not keep.any():
             return
         grams, keys, sizes = grams[np.repeat(keep, sizes)], keys[keep], sizes[keep]
@@ -281,7 +286,7 @@ def _assemble(percent: int):
         owner, ids, often = owner[keep], ids[keep], often[keep]
         order = np.lexsort((ids, owner))
         owner, ids, often = owner[order], ids[order], often[order]
-        bands = size_bands(int(sizes.max(initial=4)))
+        bands = size_bands(int(sizes.max(initial=0)), percent)
         s, n, lone, held, blobs, sigs = [], [], [], [], [], []
         cuts = np.searchsorted(owner, np.arange(len(keys) + 1))
         for k in np.flatnonzero(alive):
@@ -379,7 +384,7 @@ def resolve(sigs: DataFrame, sizes: DataFrame, fetch: Callable[[DataFrame], Data
 def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total: int, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
     """Rows (node, label): sets with links, by key, and the least key of their component. total: of shingles."""
     buckets = max(32, min(1 << 23, -(-total // BUCKET_TOKENS)))
-    index = docs.select("text").mapInArrow(_index(buckets, frequent), _INDEX)
+    index = docs.select("text").mapInArrow(_index(buckets, frequent, percent), _INDEX)
     shared = index.groupBy("bucket").applyInArrow(_classify(frequent), _SHARED)
     held = scratch.save(shared.groupBy("batch").applyInArrow(_assemble(percent), _SETS), "held")
     sigs = held.select("s", "n", "lone", F.explode("sigs").alias("sig")).distinct()
@@ -391,25 +396,51 @@ def similar_sets(spark: SparkSession, docs: DataFrame, scratch: Scratch, total:
     return resolve(sigs, held.select("s", "shared").distinct(), fetch, scratch, percent)
 
 
-def ngram_components(docs: DataFrame, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id. See the module for the rules."""
+def _classes(docs: DataFrame, mark: Column, scratch: Scratch, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n, s) of docs, s being their sets' keys, and s, label (of its component), component_id of all sets."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    rows = scratch.save(docs.mapInArrow(_doc_sets, f"doc_id {kind}, n long, s long"), "docs")
+    rows = scratch.save(docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(_doc_sets, f"doc_id {kind}, mark long, n long, s long"), "docs")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    full = rows.where("n > 0")
-    least = full.groupBy("s").agg(F.min("doc_id").alias("least"))
-    if total:
-        labels = similar_sets(spark, docs, scratch, total, percent, frequent)
-        named = least.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
-        ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-        least = scratch.save(named.select("s", "label").join(ids, "label").select("s", "component_id"), "classes")
-        scratch.keep("docs", "classes")
-    else:
-        least = least.withColumnRenamed("least", "component_id")
-    return rows.join(least, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
+    if not total:
+        return rows, least.select("s", F.col("s").alias("label"), F.col("least").alias("component_id"))
+    labels = similar_sets(spark, docs.select("text"), scratch, total, percent, frequent)
+    named = least.join(labels.withColumnRenamed("node", "s"), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = scratch.save(named.select("s", "label").join(ids, "label"), "classes")
+    scratch.keep("docs", "classes")
+    return rows, classes
+
+
+def ngram_components(docs: DataFrame, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id. See the module for the rules."""
+    rows, classes = _classes(docs, F.lit(0).cast("long"), Scratch(docs.sparkSession, "ngram-join"), percent, frequent)
+    return rows.join(classes, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """One row of each component of docs, whole and unchanged; rows without words all stay.
+
+    Decisions are about rows, not ids, so a text that shares its id with another's copy stays. The row with the least
+    doc_id stays (rows without an id come last); of rows of that id in the component the one with the least set key and then
+    the least hash of all columns, so nothing is left to chance; of rows equal in all columns one. Ids and hashes decide;
+    texts are shuffled once, to meet the decisions.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, classes = _classes(docs, mark, scratch, percent, frequent)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "s", "mark")
+    chosen = rows.where("n > 0").join(classes.select("s", "label"), "s").groupBy("label").agg(F.min(order).alias("c"))
+    ident = lambda c: (c.isNull().alias("no"), F.coalesce(c.cast("string"), F.lit("")).alias("id"))
+    chosen = scratch.save(chosen.select(*ident(F.col("c.doc_id")), F.col("c.mark").alias("mark")), "chosen")
+    scratch.keep("chosen")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *ident(F.col("doc_id")), mark.alias("mark"))
+    key = ["no", "id", "mark"]
+    found = whole.join(chosen.hint("merge"), key, "left_semi").dropDuplicates(key).select("row.*")
+    return found.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

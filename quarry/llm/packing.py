@@ -39,7 +39,6 @@ CAPACITY, END_ID = 2048, 0
 #: Distinct pre-tokens whose ids a worker keeps.
 CACHE = 1 << 20
 #: Patterns leave no more than this many places free.
-SLACK = 0
 
 
 def default_tokenizer() -> str:

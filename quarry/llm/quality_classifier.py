@@ -129,7 +129,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = GRADES, least: int = LEAST) -> Ordinal:
     kind = dict(docs.dtypes)["doc_id"]
-    sample = labelled_sample(docs, ratings, grade, SAMPLE, ["doc_id", "text"])
+    inside = F.when(grade.isNotNull(), F.least(F.greatest(grade.cast("int"), F.lit(0)), F.lit(grades - 1)))
+    sample = labelled_sample(docs, ratings, inside, SAMPLE, ["doc_id", "text"])
     rows = sample.mapInArrow(_sampled, f"doc_id {kind}, grade int, index binary, value binary").orderBy(F.xxhash64("doc_id"), "index").collect()
     y = np.array([r.grade for r in rows], dtype=int)
     model = Ordinal(grades)

@@ -9,7 +9,7 @@ what is rejected of a stratum's good documents to max_false_rejection. Among cer
 balance of bad against good documents is taken, the loosest in a tie. A stratum with too few labelled documents to
 certify a rule takes the cutoff of the pooled stratum, which is certified for all documents together.
 
-Only counts by stratum, rule and grid step reach the driver: at most MAX_STRATA * rules * steps rows.
+Only counts by stratum, rule and grid step reach the driver: 1 / LEAST_SHARE strata by rules by steps.
 
 Defined cases: null or empty texts have no words and fail the base rules. Texts shorter than a window have no repeats.
 A null or unseen stratum takes the pooled cutoffs. Documents without labels, labels without documents and null
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sieve
 from .text import _CASED, SPACE, Texts, _powers, mix, text_chunks
 
 _U = np.uint64
@@ -34,7 +34,7 @@ BASE_MIN_WORDS, BASE_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: All of a stratum's good documents that the rules may reject, and the chance that the bound fails.
 MAX_FALSE_REJECTION, DELTA = 0.02, 0.05
 #: Strata get their own cutoffs if they hold at least this share of the labelled documents; so there are at most 1000.
-LEAST_SHARE, MAX_STRATA = 0.001, 1000
+LEAST_SHARE = 0.001
 #: The weight of a good document that is rejected against that of a bad one.
 GOOD_WEIGHT = 10
 #: Rules: name, what it divides, by what.
@@ -259,7 +259,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_fal
     stats = scratch.save(measure(docs, stratum).select("doc_id", "stratum", "base_failed", *[r[0] for r in RULES]), "stats")
     cutoffs = learn_cutoffs(stats, labels, max_false_rejection, delta)
     scratch.drop("stats")
-    return docs.mapInArrow(_sieve(cutoffs, docs.columns.index("text"), docs.columns.index(stratum)), docs.schema)
+    return sieve(docs, _sieve(cutoffs, docs.columns.index("text"), docs.columns.index(stratum)))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,12 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, rows:
     return big.join(hot, on).unionByName(cold)
 
 
+def sieve(df: DataFrame, keep) -> DataFrame:
+    """The rows of df that ``keep``, a function of mapInArrow, lets through; names of columns may hold anything, dots as well."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)
+
+
 class Scratch:
     """A private folder of Parquet tables that cut lineage and survive the loss of executors.
 

@@ -93,3 +93,21 @@ def test_equal_partitions(spark):
         whole = spark.createDataFrame(rows[: len(texts)], "doc_id long, text string").coalesce(1)
         whole = whole.unionAll(spark.createDataFrame(rows[len(texts) :], "doc_id long, text string").coalesce(1))
         assert sorted(map(tuple, ngram_components(whole).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [51, 60, 75, 90, 100])
+def test_other_thresholds(spark, percent):
+    """Small sets too: of three shingles two, or of four three, can be enough."""
+    r = random.Random(percent)
+    rows = []
+    for k in range(60):
+        base = [f"v{r.randrange(12)}" for _ in range(r.choice([5, 6, 7, 8, 9, 12, 30]))]
+        for _ in range(3):
+            w = list(base)
+            if r.random() < 0.6:
+                w = w[: len(w) - r.randrange(3)] + [f"e{r.randrange(5)}"] * r.randrange(2)
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in ngram_components(df, percent, frequent=4).collect()) == brute(rows, percent)
+    with pytest.raises(ValueError):
+        ngram_components(df, 50)

@@ -86,3 +86,13 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.kept for r in q.grade_documents(docs, none, q.label_grade()).collect()} == {1: True, 2: False}
     assert q.grade_documents(docs.limit(0), none, q.label_grade()).collect() == []
+
+
+def test_grades_outside_of_the_range_count_as_its_ends(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(f"w{r.randrange(50)}" + ("$$" if i % 2 else "") for _ in range(30))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wild = spark.createDataFrame([(i, -4 if i % 2 else 9) for i in range(60)], "doc_id long, grade int")
+    plain = spark.createDataFrame([(i, 0 if i % 2 else 2) for i in range(60)], "doc_id long, grade int")
+    got, want = ([tuple(x) for x in q.grade_documents(docs, t, q.F.col("grade")).orderBy("doc_id").collect()] for t in (wild, plain))
+    assert got == want
