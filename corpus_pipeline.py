@@ -1,18 +1,18 @@
 """A training-data pipeline from the operators of quarry.llm.
 
 STAGES are run in order over the table of documents: documents that the quality rules reject go; one document of each
-group of near duplicates stays (the one with the least id; of rows that repeat its id the one with the least text;
-documents without an id all stay, since no decision can name them); documents with a benchmark item go; secrets are
+group of near duplicates stays (the row with the least id, rows without an id last; of rows that repeat that id in the group
+the one with the least hashes of its shingles and then of its columns, so two texts of one id are told apart); documents with a benchmark item go; secrets are
 masked; what is left is packed into sequences. All but the last stage return the columns of documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import scratch
 from quarry.llm.decontaminate import drop_leaks
-from quarry.llm.ngram_join import ngram_components
+from quarry.llm.ngram_join import keep_first
 from quarry.llm.packing import pack
 from quarry.llm.quality_rules import keep_good
 from quarry.llm.secret_scan import redact_secrets
@@ -23,11 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stays = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays.hint("merge"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.select(F.struct(*docs.columns).alias("row"), first.alias("nth")).where("nth = 1").select("row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
