@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.operators.shared import Rounds
+
 #: How a literal begins, besides quotes, digits and 0x.
 LITERAL = r"""^(?:true|false|['"].*|\d+|0x[0-9a-fA-F]+|(?:address\(|uint|int|bytes|string\().*)$"""
 LOCAL = r"^[A-Za-z_][A-Za-z0-9_]*(?:\[[^\]]+\])?$"
@@ -58,15 +58,6 @@ def write_paths(functions: DataFrame, edges: DataFrame, own: int = 3, args: int
     return first.select("id", "path", F.col("f.confidence").alias("confidence"), F.col("f.ord").alias("ord"), F.col("f.at").alias("at"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that plans of rounds don't pile up."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_parent_cycles(nodes: DataFrame) -> DataFrame:
     """nodes (id, parent, ord) with ``kept``: the parent, or null where keeping it would leave a chain that returns to itself.
 
@@ -77,10 +68,11 @@ def drop_parent_cycles(nodes: DataFrame) -> DataFrame:
     known = nodes.select(F.col("id").alias("up"), F.col("ord").cast("long").alias("low"))
     state = nodes.select("id", F.nullif("parent", F.lit("")).alias("up")).join(known, "up", "left")
     # a parent that is no node ends a chain
-    state = cut_lineage(state.select("id", F.when(F.col("low").isNotNull(), F.col("up")).alias("up"), "low"))
+    rounds = Rounds(nodes.sparkSession, "parent-cycles")
+    state = rounds.save(state.select("id", F.when(F.col("low").isNotNull(), F.col("up")).alias("up"), "low"))
     for _ in range(max(1, nodes.count()).bit_length()):
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
-        state = cut_lineage(state.join(far, "up", "left").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low")))
+        state = rounds.save(state.join(far, "up", "left").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low")))
         if not state.where("up is not null").limit(1).count():
             break
     lost = F.col("up").isNotNull() & (F.col("ord") <= F.col("low"))

@@ -23,11 +23,8 @@ SIMILAR, LENGTH_GAP = 0.9, 0.2
 _NEST = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
 
 
-def contracts_of(sources: DataFrame) -> DataFrame:
-    """A row for each function of a Solidity contract with its facts: state, statements, mutations, guards, transfers, computations."""
-    from quarry.sources.code import solidity_contracts
-
-    df = solidity_contracts(sources)
+def contracts_of(df: DataFrame) -> DataFrame:
+    """The functions of Solidity contracts with their facts: state, statements, mutations, guards, transfers, computations."""
     body = F.col("body")
     df = df.withColumn("stmts", F.filter(F.transform(F.split(body, ";", -1), collapse), lambda x: x != ""))
     touched = lambda s: F.exists("state", lambda v: F.contains(s, v))
@@ -136,8 +133,9 @@ def name_alerts(df: DataFrame) -> DataFrame:
     return pairs.select("path", "file_ord", F.lit("10").alias("task_id"), F.lit(-1).alias("fn_ord"), F.col("type_name").alias("function_name"), F.lit(0).alias("idx"), F.concat("kind", F.lit(": "), "a_name", F.lit(", "), "b_name").alias("detail"), F.lit("").alias("statement"))
 
 
-def solidity_alerts(sources: DataFrame, task: str | None = None) -> DataFrame:
-    df = contracts_of(sources)
+def solidity_alerts(sources: DataFrame, task: str | None, contracts: DataFrame) -> DataFrame:
+    """Alerts over sources and the functions of their contracts; of one rule, or of all."""
+    df = contracts_of(contracts)
     apart = {"1": lambda: comment_alerts(sources), "10": lambda: name_alerts(df)}
     if task in apart:
         return apart[task]()

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T
 from quarry.operators import c_rules, code_graph, evidence, rust_rules, solidity_rules
-from quarry.sources import code
-from quarry.sources.corpus import corpus
+from quarry.operators.shared import Rounds
+from quarry.sources import code, derived
+from quarry.sources.facts import Facts
 
 #: task, slug, confidence
 RULES = (
@@ -74,10 +75,11 @@ def language_of_task(task: str) -> str:
 
 def alerts(sources: DataFrame, task: str | None = None) -> DataFrame:
     """All alerts of the rules of each file's language; with a task those of its rule, and nothing else is computed."""
-    functions = code.functions_of(sources)
+    kept = Facts(sources.sparkSession)
+    functions = kept.functions(sources)
     by_language = {
         "c": lambda: c_rules.c_alerts(sources, code.statements_of(functions.where("language = 'c'")), task),
-        "solidity": lambda: solidity_rules.solidity_alerts(sources, task),
+        "solidity": lambda: solidity_rules.solidity_alerts(sources, task, kept.contracts(sources)),
         "rust": lambda: rust_rules.rust_alerts(sources, functions, code.lines_of(sources), task),
     }
     if task is not None:
@@ -94,8 +96,9 @@ def _told(found: DataFrame) -> DataFrame:
 
 def model_index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What messages may name: statements of functions (for evidence.infer: index), and functions of types in their files' order."""
-    plain = code.functions_of(sources).select("path", F.lit(0).alias("type_ord"), "type_name", "fn_ord", "fn_name", "body")
-    contracts = code.solidity_contracts(sources).join(sources.select("path", "content"), "path")
+    kept = Facts(sources.sparkSession)
+    plain = kept.functions(sources).select("path", F.lit(0).alias("type_ord"), "type_name", "fn_ord", "fn_name", "body")
+    contracts = kept.contracts(sources).join(sources.select("path", "content"), "path")
     at = F.greatest(*[F.instr("content", F.concat(F.lit(f"{word} "), F.col("type_name"))) for word in ("contract", "library", "interface")])
     both = plain.unionByName(contracts.select("path", at.alias("type_ord"), "type_name", "fn_ord", "fn_name", "body"))
     key_ord = F.col("type_ord").cast("long") * (1 << 20) + F.col("fn_ord")
@@ -121,14 +124,16 @@ def full_findings(sources: DataFrame, catalog: DataFrame | None = None) -> DataF
     order = Window.partitionBy("path").orderBy(F.col("task_id").cast("int"), "fn_ord", "idx", "detail", "statement")
     found = found.withColumn("alert_id", F.concat("path", F.lit("#"), F.row_number().over(order)))
     keep = ("alert_id", "path", "task_id", "rule_id", "confidence", "message", *shown)
-    told = evidence.infer(found.select(*keep), *model_index(sources), code.lines_of(sources))
+    # alerts meet statements, names and lines; they are computed once
+    found = Rounds(sources.sparkSession, "findings").save(found.select(*keep))
+    told = evidence.infer(found, *model_index(sources), code.lines_of(sources))
     one = F.struct(*evidence.EVIDENCE)
     return told.select("path", "task_id", F.col("task_id").cast("int").alias("legacy_code"), "rule_id", "title", "category", "portability", "confidence", "message", "remediation_hint", F.array(one).alias("evidences"))
 
 
 def findings(sources: DataFrame, task: str | None = None) -> DataFrame:
     """Alerts with their rule's description and the lines of the file that hold their statement; of one task or of all."""
-    found = _told(alerts(sources, task))
+    found = Rounds(sources.sparkSession, "findings").save(_told(alerts(sources, task)))
     lines = code.lines_of(sources).select("path", "n", "line")
     held = found.where("statement <> ''").select("path", "statement").distinct().join(lines, "path").where(F.contains("line", F.col("statement")))
     at = held.groupBy("path", "statement").agg(F.sort_array(F.collect_list("n")).alias("line_numbers"))
@@ -137,33 +142,40 @@ def findings(sources: DataFrame, task: str | None = None) -> DataFrame:
 
 
 def corpus_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings over the built-in sources."""
-    return findings(corpus(spark))
+    """All findings over the sources derived from suppliers."""
+    return findings(derived.sources(spark, sf_dir))
 
 
 def corpus_findings_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts(corpus(spark)).groupBy("task_id").agg(F.count("*").alias("findings"))
+    return alerts(derived.sources(spark, sf_dir)).groupBy("task_id").agg(F.count("*").alias("findings"))
 
 
 def corpus_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the findings over the built-in sources are about."""
-    found = full_findings(corpus(spark)).select("path", "task_id", "title", F.explode("evidences").alias("e"))
+    """What the findings over the sources derived from suppliers are about."""
+    found = full_findings(derived.sources(spark, sf_dir)).select("path", "task_id", "title", F.explode("evidences").alias("e"))
     return found.select("path", "task_id", "title", "e.type_name", "e.function_name", "e.statement", "e.confidence_reason", "e.line_number")
 
 
 def corpus_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.functions_of(corpus(spark)).select("path", "fn_ord", "fn_name", "visibility")
+    return Facts(spark).functions(derived.sources(spark, sf_dir)).select("path", "fn_ord", "fn_name", "visibility")
 
 
 def corpus_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = corpus(spark)
-    return code_graph.nodes(src, code.functions_of(src))
+    src = derived.sources(spark, sf_dir)
+    return code_graph.nodes(src, Facts(spark).functions(src))
 
 
 def corpus_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = corpus(spark)
-    return code_graph.edges(src, code.functions_of(src))
+    src = derived.sources(spark, sf_dir)
+    return code_graph.edges(src, Facts(spark).functions(src))
 
 
 QUERIES = {f.__name__: f for f in (corpus_findings, corpus_findings_by_task, corpus_evidence, corpus_functions, corpus_graph_nodes, corpus_graph_edges)}
-SQL: dict[str, str] = {}
+
+
+def _functions_sql(kind: str) -> str:
+    order = "row_number() over (partition by path order by i)"
+    return f"with {derived.sql(kind)}, {derived.functions_sql(kind)} select path, ({order} - 1)::int as fn_ord, name as fn_name, visibility from t"
+
+
+SQL: dict[str, str] = {"corpus_functions": f"select * from ({_functions_sql('c')}) union all select * from ({_functions_sql('contract')})"}

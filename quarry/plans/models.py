@@ -1,12 +1,10 @@
-"""Queries over small models given as rows, each with SQL over the same rows, and rules of C one by one with their SQL."""
+"""Queries over small models given as rows, each with SQL over the same rows."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import c_rules, calls, evidence, solidity_graph, solidity_rules
+from quarry.operators import calls, evidence, solidity_graph, solidity_rules
 from quarry.sources import code, corpus
 
 QUERIES: dict = {}
@@ -249,83 +247,3 @@ def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_nationkey") % 5).alias("grp"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
     return solidity_rules.similar_names(s, ["grp"]).select("grp", "a_name", "b_name")
-
-
-# --- rules of C, one by one ---------------------------------------------------------------------------------------------
-
-
-def _statements() -> list[tuple]:
-    """The statements of the rules' corpus as rows, cut by plain Python."""
-    out = []
-    for ord_, (name, _, _, _, body) in enumerate(code.c_functions(corpus.C_RULES)):
-        parts = [re.sub(r"[\t\n\x0b\f\r ]+", " ", p).strip(" ") for p in re.split("[;\n]", body)]
-        out += [(ord_, "rules." + name, i, p) for i, p in enumerate(p for p in parts if len(p) > 2)]
-    return out
-
-
-def _any(c: str, tokens: list[str]) -> str:
-    return "(" + " or ".join(f"contains({c}, {literal(t)})" for t in tokens) + ")"
-
-
-def _re(c: str, pattern: str) -> str:
-    return f"regexp_matches({c}, {literal(pattern)})"
-
-
-def _near(flag: str, low: int, high: int) -> str:
-    side = lambda n: "current row" if n == 0 else f"{abs(n)} {'preceding' if n < 0 else 'following'}"
-    return f"coalesce(bool_or({flag}) over (partition by fn order by idx rows between {side(low)} and {side(high)}), false)"
-
-
-_R = c_rules
-_BARE = "regexp_extract(s, '^(\\w+)\\s*\\(', 1)"
-_MASK = "regexp_extract(s, '\\b(\\w+)\\s*&\\s*(?:0x1|1)(?:\\D|$)', 1)"
-_RING = "trim(regexp_extract(s, '\\bio_uring_submit\\s*\\(\\s*([^),]*)', 1))"
-_IN = lambda c, xs: f"{c} in ({', '.join(map(literal, xs))})"
-#: task: condition on a statement s (low: in small letters), detail (a list gives a row for each element)
-CONDITIONS = {
-    "102": (f"{_re('s', '<<|>>')} and {_re('s', _R.OUTSIDE_POINTER)} and not {_any('s', _R.SHIFT_BOUNDS)} and not {_near(_any('s', _R.SHIFT_BOUNDS), -3, -1)}", "['']"),
-    "103": (f"{_any('s', _R.CRITICAL_CALLS)} and not {_re('s', '=' + chr(92) + 's*' + chr(92) + 'w+' + chr(92) + 's*' + chr(92) + '(')} and not ({' or '.join(f'starts_with(s, {literal(g)})' for g in _R.CALL_GUARDS)}) and {_any(_BARE, _R.CRITICAL_CALLS)}", f"[{_BARE}]"),
-    "106": (f"{_re('s', '->' + chr(92) + 's*decode' + chr(92) + 's*=')} and {_re('s', _R.DECODE_CAST)}", "['']"),
-    "107": (f"{_IN(_MASK, _R.FLAG_FIELDS)} and not {_any('s', _R.FLAG_SAFE)}", f"[{_MASK}]"),
-    "108": (f"{_re('s', _R.FRAME_WORK)} and {_near(_re('s', chr(92) + 'b(?:while|for)' + chr(92) + 'b'), -5, -1)} and not {_near(_any('s', _R.FRAME_BUDGET), -5, 2)}", "['']"),
-    "109": (f"{_re('s', _R.HANDSHAKE_POOL)} and {_near(_re('s', _R.POOL_FULL), -1, 5)} and not {_near(_any('low', _R.EVICTION), -1, 5)}", "['']"),
-    "110": (f"not {_any('s', _R.ATOMICS)}", f"list_filter(regexp_extract_all(s, '(?:->|\\.)(\\w+)\\s*(?:\\+\\+|--)', 1), lambda x: {_IN('x', _R.COUNT_FIELDS)})"),
-    "111": (f"{_re('s', chr(92) + 'bio_uring_submit' + chr(92) + 's*' + chr(92) + '([^)]*' + chr(92) + ')')} and not {_any(f'lower({_RING})', _R.RING_PRIVATE)} and not {_near(_any('low', _R.LOCKS), -2, 0)} and ({_any(f'lower({_RING})', _R.RING_SHARED)} or bool_or({_any('low', _R.TILES)}) over (partition by fn))", f"[{_RING}]"),
-    "112": (_any("s", _R.TABLE_WORDS), f"list_filter(regexp_extract_all(s, '(?:>|>=|<|<=)\\s*(\\d+)\\b', 1), lambda x: x::hugeint <> {_R.TABLE_WINDOW})"),
-    "114": (f"{_re('s', _R.AGGREGATE)} and not {_near(_any('s', _R.POSSESSION), -6, 6)}", "['']"),
-    "116": (f"{_any('s', _R.SIGNED)} and {_re('s', '[+' + chr(92) + '-*]')} and not {_any('s', _R.OVERFLOW_SAFE)} and {_any('low', _R.CONSENSUS)}", "['']"),
-    "118": (f"contains(low, 'struct') and contains(s, '{{') and not contains(low, '__attribute__((packed))') and not contains(low, 'alignas(') and {_near('contains(low, ' + literal('(struct') + ') and ' + _any('low', _R.WIRE), 0, 3)} and not {_near('contains(low, ' + literal('static_assert') + ') and contains(low, ' + literal('sizeof') + ')', 0, 3)}", "['']"),
-    "119": (f"{_re('s', '[/%]')} and not {_any('low', _R.ROUNDING_SAFE)} and {_any('low', _R.SIGNED_MATH)} and {_any('low', _R.CONSENSUS)}", "['']"),
-    "120": (f"{_any('low', ['vm->mem', 'vm_mem'])} and {_re('s', _R.VM_CAST)} and not {_near(_any('low', _R.ALIGNED), -3, -1)}", "['']"),
-}
-_TABLE = values(_statements(), "t", "fn, function_name, idx, s")
-
-
-def _rule_sql(condition: str, detail: str) -> str:
-    return f"with {_TABLE}, r as (select fn, function_name, idx, s, {detail} as details, {condition} as hit from (select *, lower(s) as low from t)) select function_name, idx::int as idx, unnest(details) as detail, left(s, 120) as statement from r where hit"
-
-
-_ORDER = f"""with {_TABLE}, k as (select fn, function_name, idx, lower(regexp_extract(s, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) as call from t),
-p as (select function_name, min(idx) filter ({_any('call', _R.UPDATE)}) as u, min(idx) filter ({_any('call', _R.HALT)}) as h, min(idx) filter ({_any('call', _R.FLUSH)}) as f from k group by all)
-select function_name, u::int as idx, case when h is null or f is null then 'incomplete' else 'order' end as detail, '' as statement from p where u is not null and (h is null or f is null or u < h or u < f)"""
-_RETURNS = f"""with {_TABLE}, k as (select *, lower(s) as low, regexp_extract(s, '\\breturn\\s+([A-Z_][A-Z0-9_]*)\\b', 1) as code from t)
-select r.function_name, r.idx::int as idx, r.code as detail, left(r.s, 120) as statement from k g join k r on g.fn = r.fn and r.idx between g.idx and g.idx + 2
-where contains(g.low, 'program') and (contains(g.low, 'id') or contains(g.low, 'exists')) and (contains(g.low, 'if') or contains(g.low, 'switch')) and {_IN('r.code', _R.WRONG_CODES)}"""
-
-
-def _rule(task: str, f):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        src = spark.createDataFrame([("node/rules.c", 0, "c", corpus.C_RULES)], code.SOURCES)
-        return f(code.statements_of(code.functions_of(src))).where(F.col("task_id") == task).select("function_name", "idx", "detail", "statement")
-
-    run.__name__ = f"rule_{task}"
-    return run
-
-
-for _task, (_condition, _detail) in CONDITIONS.items():
-    QUERIES[f"rule_{_task}"], SQL[f"rule_{_task}"] = _rule(_task, c_rules.statement_alerts), _rule_sql(_condition, _detail)
-QUERIES["rule_113"], SQL["rule_113"] = _rule("113", c_rules.switch_order), _ORDER
-QUERIES["rule_115"], SQL["rule_115"] = _rule("115", c_rules.guarded_returns), _RETURNS
-QUERIES["rule_101"] = _rule("101", c_rules.statement_alerts)
-QUERIES["rule_104"] = _rule("104", c_rules.released_then_used)
-QUERIES["rule_117"] = _rule("117", c_rules.statement_alerts)

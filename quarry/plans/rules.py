@@ -1,42 +1,123 @@
-"""Rules of Rust and Solidity one by one, over our own corpus, each with its SQL.
+"""Rules one by one over the sources derived from suppliers, each with its SQL.
 
-The SQL starts from the functions that the parsers find, or from the text of a file, as rows; it shares word lists and
-patterns with the rules and nothing else.
+The rules read files through the parsers; the SQL knows the functions of a file from how it was put together and reads no
+parser's output. It shares word lists and patterns with the rules and nothing else.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import rust_rules as R, solidity_rules as S
-from quarry.plans.models import _any, _re, literal, values
-from quarry.sources import code, corpus
+from quarry.operators import c_rules as _R, rust_rules as R, solidity_rules as S
+from quarry.plans.models import literal
+from quarry.sources import code, derived
+from quarry.sources.facts import Facts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_OUT = ("function_name", "idx", "detail", "statement")
+_OUT = ("path", "function_name", "idx", "detail", "statement")
 
 
-def _add(task: str, run, sql: str) -> None:
+def _add(task: str, kind: str, run, sql: str | None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark).where(F.col("task_id") == task).select(*_OUT)
+        return run(derived.sources(spark, sf_dir, kind)).where(F.col("task_id") == task).select(*_OUT)
 
     query.__name__ = f"rule_{task}"
-    QUERIES[query.__name__], SQL[query.__name__] = query, sql
+    QUERIES[query.__name__] = query
+    if sql:
+        SQL[query.__name__] = f"with {derived.sql(kind)}, {sql}"
 
 
-def _pieces(text: str, longer_than: int) -> str:
-    """The statements of a body between semicolons, in order."""
-    collapsed = f"list_transform(string_split({text}, ';'), lambda x: trim(regexp_replace(x, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')))"
+def _pieces(text: str, longer_than: int, cut: str = ";") -> str:
+    """The statements of a body between separators, in order."""
+    collapsed = f"list_transform(regexp_split_to_array({text}, '{cut}'), lambda x: trim(regexp_replace(x, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')))"
     return f"list_filter({collapsed}, lambda x: length(x) > {longer_than})"
 
 
+# --- C ------------------------------------------------------------------------------------------------------------------
+
+
+def _any(c: str, tokens: list[str]) -> str:
+    return "(" + " or ".join(f"contains({c}, {literal(t)})" for t in tokens) + ")"
+
+
+def _re(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, {literal(pattern)})"
+
+
+def _near(flag: str, low: int, high: int) -> str:
+    side = lambda n: "current row" if n == 0 else f"{abs(n)} {'preceding' if n < 0 else 'following'}"
+    return f"coalesce(bool_or({flag}) over (partition by path, fn order by idx rows between {side(low)} and {side(high)}), false)"
+
+
+_BARE = "regexp_extract(s, '^(\\w+)\\s*\\(', 1)"
+_MASK = "regexp_extract(s, '\\b(\\w+)\\s*&\\s*(?:0x1|1)(?:\\D|$)', 1)"
+_RING = "trim(regexp_extract(s, '\\bio_uring_submit\\s*\\(\\s*([^),]*)', 1))"
+_IN = lambda c, xs: f"{c} in ({', '.join(map(literal, xs))})"
+#: task: condition on a statement s (low: in small letters), detail (a list gives a row for each element)
+CONDITIONS = {
+    "102": (f"{_re('s', '<<|>>')} and {_re('s', _R.OUTSIDE_POINTER)} and not {_any('s', _R.SHIFT_BOUNDS)} and not {_near(_any('s', _R.SHIFT_BOUNDS), -3, -1)}", "['']"),
+    "103": (f"{_any('s', _R.CRITICAL_CALLS)} and not {_re('s', '=' + chr(92) + 's*' + chr(92) + 'w+' + chr(92) + 's*' + chr(92) + '(')} and not ({' or '.join(f'starts_with(s, {literal(g)})' for g in _R.CALL_GUARDS)}) and {_any(_BARE, _R.CRITICAL_CALLS)}", f"[{_BARE}]"),
+    "106": (f"{_re('s', '->' + chr(92) + 's*decode' + chr(92) + 's*=')} and {_re('s', _R.DECODE_CAST)}", "['']"),
+    "107": (f"{_IN(_MASK, _R.FLAG_FIELDS)} and not {_any('s', _R.FLAG_SAFE)}", f"[{_MASK}]"),
+    "108": (f"{_re('s', _R.FRAME_WORK)} and {_near(_re('s', chr(92) + 'b(?:while|for)' + chr(92) + 'b'), -5, -1)} and not {_near(_any('s', _R.FRAME_BUDGET), -5, 2)}", "['']"),
+    "109": (f"{_re('s', _R.HANDSHAKE_POOL)} and {_near(_re('s', _R.POOL_FULL), -1, 5)} and not {_near(_any('low', _R.EVICTION), -1, 5)}", "['']"),
+    "110": (f"not {_any('s', _R.ATOMICS)}", f"list_filter(regexp_extract_all(s, '(?:->|\\.)(\\w+)\\s*(?:\\+\\+|--)', 1), lambda x: {_IN('x', _R.COUNT_FIELDS)})"),
+    "111": (f"{_re('s', chr(92) + 'bio_uring_submit' + chr(92) + 's*' + chr(92) + '([^)]*' + chr(92) + ')')} and not {_any(f'lower({_RING})', _R.RING_PRIVATE)} and not {_near(_any('low', _R.LOCKS), -2, 0)} and ({_any(f'lower({_RING})', _R.RING_SHARED)} or bool_or({_any('low', _R.TILES)}) over (partition by path, fn))", f"[{_RING}]"),
+    "112": (_any("s", _R.TABLE_WORDS), f"list_filter(regexp_extract_all(s, '(?:>|>=|<|<=)\\s*(\\d+)\\b', 1), lambda x: x::hugeint <> {_R.TABLE_WINDOW})"),
+    "114": (f"{_re('s', _R.AGGREGATE)} and not {_near(_any('s', _R.POSSESSION), -6, 6)}", "['']"),
+    "116": (f"{_any('s', _R.SIGNED)} and {_re('s', '[+' + chr(92) + '-*]')} and not {_any('s', _R.OVERFLOW_SAFE)} and {_any('low', _R.CONSENSUS)}", "['']"),
+    "118": (f"contains(low, 'struct') and contains(s, '{{') and not contains(low, '__attribute__((packed))') and not contains(low, 'alignas(') and {_near('contains(low, ' + literal('(struct') + ') and ' + _any('low', _R.WIRE), 0, 3)} and not {_near('contains(low, ' + literal('static_assert') + ') and contains(low, ' + literal('sizeof') + ')', 0, 3)}", "['']"),
+    "119": (f"{_re('s', '[/%]')} and not {_any('low', _R.ROUNDING_SAFE)} and {_any('low', _R.SIGNED_MATH)} and {_any('low', _R.CONSENSUS)}", "['']"),
+    "120": (f"{_any('low', ['vm->mem', 'vm_mem'])} and {_re('s', _R.VM_CAST)} and not {_near(_any('low', _R.ALIGNED), -3, -1)}", "['']"),
+}
+
+_C = f"""{derived.functions_sql('c')}, t0 as (select path, i as fn, 'rules.' || name as function_name, {_pieces('body', 2, '[;' + chr(92) + 'n]')} as xs from t),
+s as (select path, fn, function_name, generate_subscripts(xs, 1) - 1 as idx, unnest(xs) as s from t0)"""
+
+
+def _rule_sql(condition: str, detail: str) -> str:
+    return f"{_C}, r as (select path, fn, function_name, idx, s, {detail} as details, {condition} as hit from (select *, lower(s) as low from s)) select path, function_name, idx::int as idx, unnest(details) as detail, left(s, 120) as statement from r where hit"
+
+
+_ORDER = f"""{_C}, k as (select path, fn, function_name, idx, lower(regexp_extract(s, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) as call from s),
+p as (select path, function_name, min(idx) filter ({_any('call', _R.UPDATE)}) as u, min(idx) filter ({_any('call', _R.HALT)}) as h, min(idx) filter ({_any('call', _R.FLUSH)}) as f from k group by all)
+select path, function_name, u::int as idx, case when h is null or f is null then 'incomplete' else 'order' end as detail, '' as statement from p where u is not null and (h is null or f is null or u < h or u < f)"""
+_RETURNS = f"""{_C}, k as (select *, lower(s) as low, regexp_extract(s, '\\breturn\\s+([A-Z_][A-Z0-9_]*)\\b', 1) as code from s)
+select r.path, r.function_name, r.idx::int as idx, r.code as detail, left(r.s, 120) as statement from k g join k r on g.path = r.path and g.fn = r.fn and r.idx between g.idx and g.idx + 2
+where contains(g.low, 'program') and (contains(g.low, 'id') or contains(g.low, 'exists')) and (contains(g.low, 'if') or contains(g.low, 'switch')) and {_IN('r.code', _R.WRONG_CODES)}"""
+_EDGE = "[^A-Za-z0-9_]"
+_FLOATS = rf"(?:^|{_EDGE})(?:\d+[eE][+-]?\d+|\d+\.\d*|\d*\.\d+)[fFlL]?(?:{_EDGE}|$)|\b\w*_(?:double|float)\b|^[df]$|(?i:\b(?:double|float)\b)"
+_CASTS = f"{_C} select path, function_name, idx::int as idx, '' as detail, left(s, 120) as statement from s where {_re('s', _R.UNSIGNED_CAST)} and not {_any('s', _R.SATURATING)} and len(list_filter(regexp_extract_all(s, {literal(_R.UNSIGNED_CAST + r'\s*(' + _R._OPERAND + ')')}, 1), lambda o: regexp_matches(trim(o), {literal(_FLOATS)}))) > 0"
+_FREED = f"""{_C}, k as (select *, regexp_extract(s, {literal(_R.RELEASE)}, 1) as freed from s),
+e as (select a.path, a.fn, a.function_name, a.freed as name, a.idx as began, b.idx, b.s, case when b.freed = a.freed then 'release' when b.freed <> '' then null when regexp_matches(b.s, '\\b' || a.freed || '\\s*=') then 'set' when regexp_matches(b.s, '\\b' || a.freed || '\\s*(?:->|\\[)') or contains(b.s, '*' || a.freed) then 'use' end as event
+  from k a join k b on a.path = b.path and a.fn = b.fn and b.idx > a.idx where a.freed <> ''),
+d as (select * from e where event is not null qualify row_number() over (partition by path, fn, began, name order by idx) = 1)
+select path, function_name, idx::int as idx, name as detail, left(s, 120) as statement from d where event = 'use'"""
+_EFFECTS = f"""{_C}, n as (select path, fn, function_name, idx, s, string_split(regexp_extract(s, '\\((.*)\\)', 1), '') as cs from s),
+h as (select path, fn, function_name, idx, s, generate_subscripts(cs, 1) as i, unnest(cs) as ch from n where list_contains(cs, ',')),
+d as (select *, sum(case ch when '(' then 1 when ')' then -1 else 0 end) over (partition by path, fn, idx order by i) as depth from h),
+g as (select *, count(*) filter (ch = ',' and depth = 0) over (partition by path, fn, idx order by i) as arg from d),
+a as (select path, fn, function_name, idx, s, arg, coalesce(string_agg(ch, '' order by i) filter (not (ch = ',' and depth = 0)), '') as text from g group by all),
+u as (select path, function_name, idx, s, count(*) as n from a where {_any("lower(regexp_extract(text, '" + chr(92) + "b([A-Za-z_]" + chr(92) + "w*)" + chr(92) + "s*" + chr(92) + "(', 1))", _R.EFFECTS)} group by path, fn, function_name, idx, s)
+select path, function_name, idx::int as idx, '' as detail, left(s, 120) as statement from u where n >= 2"""
+_KEYS = f"select f.path, '' as function_name, (-1)::int as idx, r.k as detail, '' as statement from f, (select unnest({literal(_R.RESERVED_KEYS)}) as k) r where not contains(content, chr(34) || r.k || chr(34))"
+
+
+def _statements(sources: DataFrame) -> DataFrame:
+    return code.statements_of(Facts(sources.sparkSession).functions(sources))
+
+
+for _task, (_condition, _detail) in CONDITIONS.items():
+    _add(_task, "c", lambda src, t=_task: _R.statement_alerts(_statements(src), t), _rule_sql(_condition, _detail))
+for _task, _run, _select in (("101", lambda s: _R.statement_alerts(s, "101"), _CASTS), ("104", _R.released_then_used, _FREED), ("113", _R.switch_order, _ORDER), ("115", _R.guarded_returns, _RETURNS), ("117", lambda s: _R.statement_alerts(s, "117"), _EFFECTS)):
+    _add(_task, "c", lambda src, f=_run: f(_statements(src)), _select)
+_add("105", "registry", _R.missing_keys, _KEYS)
+
 # --- Rust: public functions ---------------------------------------------------------------------------------------------
 
-_CONTRACT = corpus.RUST_CONTRACT
-_FUNCTIONS = values([(k, *f) for k, f in enumerate(code.rust_functions(_CONTRACT))], "t", "fn_ord, name, visibility, params, signature, body")
-_FACTS = f"""with {_FUNCTIONS}, s as (select *, {literal(_CONTRACT)} as content, {_re(literal(_CONTRACT), r'#\s*\[\s*contractimpl\b')} as contract, lower(body) as low,
+_FACTS = f"""{derived.functions_sql('contract')}, s as (select *, {_re('content', r'#\s*\[\s*contractimpl\b')} as contract, lower(body) as low,
   lower(array_to_string(list_transform({_pieces('body', 2)}, lambda x: x || ';'), ';')) as u from t),
 w as (select *, contract and visibility = 'external' as entry, contains(u, '.set(') as sets,
   {_re('u', r'\.instance\s*\([^)]*\)\s*\.(?:set|replace|append|extend_ttl)')} or (contains(u, '.instance()') and contains(u, '.set(')) as inst,
@@ -44,7 +125,7 @@ w as (select *, contract and visibility = 'external' as entry, contains(u, '.set
   strpos(content, nullif(regexp_extract(content, '\\bpub\\s*(?:\\([^)]*\\)\\s*)?fn\\s+' || name || '\\s*\\('), '')) as pos,
   least(nullif(strpos(body, 'for '), 0), nullif(strpos(body, 'while '), 0)) as loop_at from s),
 v as (select *, inst or pers or temp as mutates, case when pos > 1 then substr(content, greatest(pos - 500, 1)::int, least(pos - 1, 500)::int) else '' end as ahead from w)
-select 'lib.' || name as function_name, 0::int as idx, '' as detail, '' as statement from v where """
+select path, 'lib.' || name as function_name, 0::int as idx, '' as detail, '' as statement from v where """
 
 _FUNCTION_RULES = {
     "201": f"entry and mutates and not {_re('u', r'\.require_auth\s*\(|require_auth_for_args\s*\(')}",
@@ -60,18 +141,16 @@ _FUNCTION_RULES = {
 }
 
 
-def _rust_functions(spark: SparkSession) -> DataFrame:
-    src = spark.createDataFrame([("vault/src/lib.rs", 0, "rust", _CONTRACT)], code.SOURCES)
-    return R.function_alerts(R.with_facts(code.functions_of(src), src))
+def _rust_functions(task: str):
+    return lambda src: R.function_alerts(R.with_facts(Facts(src.sparkSession).functions(src), src), task)
 
 
 for _task, _where in _FUNCTION_RULES.items():
-    _add(_task, _rust_functions, _FACTS + _where)
+    _add(_task, "contract", _rust_functions(_task), _FACTS + _where)
 
 # --- Rust: whole files --------------------------------------------------------------------------------------------------
 
-_FILE = corpus.RUST_FILE
-_SOURCE = f"with f as (select {literal(_FILE)} as c), g as (select c, replace(c, chr(10), ' ') as flat, regexp_replace(c, '//[^\\n]*', '', 'g') as code from f)"
+_SOURCE = "g as (select path, content as c, replace(content, chr(10), ' ') as flat, regexp_replace(content, '//[^\\n]*', '', 'g') as code from f)"
 _FILE_RULES = {
     "211": f"{_re('flat', R.THREADS)} and {_re('flat', R.CELLS)}",
     "214": f"not contains(replace(c, ' ', ''), 'AsyncFn') and {_re('c', R.OLD_ASYNC)}",
@@ -89,44 +168,31 @@ _FILE_LISTS = {
 }
 
 
-def _rust_file(spark: SparkSession) -> DataFrame:
-    return R.file_alerts(spark.createDataFrame([("base/main.rs", 0, "rust", _FILE)], code.SOURCES))
-
-
 for _task, _where in _FILE_RULES.items():
-    _add(_task, _rust_file, f"{_SOURCE} select '' as function_name, 0::int as idx, '' as detail, '' as statement from g where {_where}")
+    _add(_task, "file", R.file_alerts, f"{_SOURCE} select path, '' as function_name, 0::int as idx, '' as detail, '' as statement from g where {_where}")
 for _task, _list in _FILE_LISTS.items():
-    _add(_task, _rust_file, f"{_SOURCE}, l as (select {_list} as xs from g) select '' as function_name, (generate_subscripts(xs, 1) - 1)::int as idx, unnest(xs) as detail, '' as statement from l")
+    _add(_task, "file", R.file_alerts, f"{_SOURCE}, l as (select path, {_list} as xs from g) select path, '' as function_name, (generate_subscripts(xs, 1) - 1)::int as idx, unnest(xs) as detail, '' as statement from l")
 
 # --- Rust: lines and their neighbours -----------------------------------------------------------------------------------
 
-_LINES = f"""with f as (select {literal(_FILE)} as c), l as (select regexp_split_to_array(c, '\\r?\\n') as xs, c from f),
-r as (select generate_subscripts(xs, 1) as n, unnest(xs) as line, c from l), k as (select *, string_split(line, '//')[1] as code from r),
-q as (select *, string_agg(line, chr(10)) over (order by n rows between 15 preceding and current row) as before, string_agg(line, chr(10)) over (order by n rows between 42 preceding and current row) as above,
-  string_agg(code, chr(10)) over (order by n rows between current row and 159 following) as after from k)
-select '' as function_name, n::int as idx, """
+_LINES = """l as (select path, regexp_split_to_array(content, '\\r?\\n') as xs, content as c from f),
+r as (select path, generate_subscripts(xs, 1) as n, unnest(xs) as line, c from l), k as (select *, string_split(line, '//')[1] as code from r),
+q as (select *, string_agg(line, chr(10)) over (partition by path order by n rows between 15 preceding and current row) as before, string_agg(line, chr(10)) over (partition by path order by n rows between 42 preceding and current row) as above,
+  string_agg(code, chr(10)) over (partition by path order by n rows between current row and 159 following) as after from k)
+select path, '' as function_name, n::int as idx, """
 _TESTED = _re("above", R.CFG_TEST_LINE)
 _LINE_RULES = {
     "209": f"left(trim(line), 120) as detail, '' as statement from q where {_re('code', R.UNSAFE)} and not {_re('before', R.SAFETY)} and not {_TESTED}",
-    "216": rf"left(trim(code), 120) as detail, '' as statement from q where {_re('left(c, 8000)', r'#!\[\s*no_std\s*\]')} and not {_re('line', R.CFG_STD)} and {_re('trim(code)', r'\bstd\s*::')} and not starts_with(trim(code), '#[') qualify row_number() over (order by n) <= {R.CAPS['216']}",
-    "218": f"'' as detail, '' as statement from q where {_re('code', R.SPAWN)} and not {_TESTED} and {_re('after', R.SPAWN_PANICS)} qualify row_number() over (order by n) <= {R.CAPS['218']}",
+    "216": rf"left(trim(code), 120) as detail, '' as statement from q where {_re('left(c, 8000)', r'#!\[\s*no_std\s*\]')} and not {_re('line', R.CFG_STD)} and {_re('trim(code)', r'\bstd\s*::')} and not starts_with(trim(code), '#[') qualify row_number() over (partition by path order by n) <= {R.CAPS['216']}",
+    "218": f"'' as detail, '' as statement from q where {_re('code', R.SPAWN)} and not {_TESTED} and {_re('after', R.SPAWN_PANICS)} qualify row_number() over (partition by path order by n) <= {R.CAPS['218']}",
 }
 
 
-def _rust_lines(spark: SparkSession) -> DataFrame:
-    src = spark.createDataFrame([("base/main.rs", 0, "rust", _FILE)], code.SOURCES)
-    return R.line_alerts(src, code.lines_of(src))
-
-
 for _task, _select in _LINE_RULES.items():
-    _add(_task, _rust_lines, _LINES + _select)
+    _add(_task, "file", lambda src: R.line_alerts(src, code.lines_of(src)), _LINES + _select)
 
 # --- Solidity -----------------------------------------------------------------------------------------------------------
 
-_TOKEN = corpus.SOLIDITY
-_BODIES = values([r[:9] for r in code.contract_rows(_TOKEN)], "t", "type_name, parents, state, fn_ord, name, visibility, params, modifiers, body")
-
-
 def _inner(word: str) -> str:
     return f"list_transform(regexp_extract_all(body, {literal(rf'\b{word}\s*({S._NEST})')}, 1), lambda x: x[2:-2])"
 
@@ -135,7 +201,7 @@ def _places(tokens: list[str]) -> str:
     return f"list_filter(range(len(stmts)), lambda i: {_any('stmts[i + 1]', tokens)})"
 
 
-_SOL = f"""with {_BODIES}, a as (select *, {_pieces('body', 0)} as stmts, {_inner('if')} || {_inner('require')} || {_inner('assert')} as guards, {_inner('assert')} as asserts,
+_SOL = f"""{derived.functions_sql('solidity')}, a as (select *, {_pieces('body', 0)} as stmts, {_inner('if')} || {_inner('require')} || {_inner('assert')} as guards, {_inner('assert')} as asserts,
   lower(name) as low, lower(body) as lbody, trim(params) <> '' as has_inputs, list_filter(regexp_split_to_array(trim(modifiers), '[\\s(),]+'), lambda m: {_re('lower(m)', 'only|owner|admin|role')}) as permissions from t),
 b as (select *, list_filter(stmts, lambda s: contains(s, '=') and len(list_filter(state, lambda v: contains(s, v))) > 0) as mutations, list_filter(stmts, lambda s: {_any('s', S.TRANSFERS)}) as transfers,
   list_filter(stmts, lambda s: len(list_filter({literal(S.MATH)}, lambda t: contains(s, t))) >= 2) as computations, len(guards) = 0 and len(permissions) = 0 as is_open,
@@ -166,26 +232,18 @@ _SOL_RULES = {
     "9": [(f"len(guards) = 0 and len(list_filter(transfers, lambda s: {_any('lower(s)', ['withdraw', 'unstake', 'transfer'])})) > 0", "[transfers[1]]")],
     "11": [("visibility = 'external' and has_inputs and len(mutations) > 0 and is_open", "['']")],
 }
-_NO_UNSTAKE = "select type_name as function_name, 0::int as idx, 'no unstake' as detail, '' as statement from b group by type_name having bool_or(stakes) and not bool_or(unstakes)"
-
-
-def _sol_source(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("vault/Vault.sol", 0, "solidity", _TOKEN)], code.SOURCES)
-
-
-def _sol_functions(spark: SparkSession) -> DataFrame:
-    return S.function_alerts(S.contracts_of(_sol_source(spark)))
+_NO_UNSTAKE = "select path, type_name as function_name, 0::int as idx, 'no unstake' as detail, '' as statement from b group by path, type_name having bool_or(stakes) and not bool_or(unstakes)"
 
 
-def _sol_staking(spark: SparkSession) -> DataFrame:
-    facts = S.contracts_of(_sol_source(spark))
-    return S.function_alerts(facts).unionByName(S.type_alerts(facts))
+def _sol_functions(task: str):
+    return lambda src: S.solidity_alerts(src, task, Facts(src.sparkSession).contracts(src))
 
 
 for _task, _parts in _SOL_RULES.items():
-    _rows = [f"select type_name || '.' || name as function_name, 0::int as idx, unnest({d}) as detail, '' as statement from b where {c}" for c, d in _parts]
-    _add(_task, _sol_staking if _task == "3" else _sol_functions, _SOL + " union all ".join(_rows + [_NO_UNSTAKE] * (_task == "3")))
+    _rows = [f"select path, type_name || '.' || name as function_name, 0::int as idx, unnest({d}) as detail, '' as statement from b where {c}" for c, d in _parts]
+    _add(_task, "solidity", _sol_functions(_task), _SOL + " union all ".join(_rows + [_NO_UNSTAKE] * (_task == "3")))
 
-_COMMENTS = f"""with f as (select unnest(regexp_extract_all({literal(_TOKEN)}, '(?s)/\\*.*?\\*/|(?m:^[ \\t]*//[^\\n]*)')) as x), w as (select x, unnest({literal(S.COMMENT_WORDS)}) as word from f)
-select '' as function_name, 0::int as idx, trim(word) as detail, '' as statement from w where contains(x, word)"""
-_add("1", lambda spark: S.comment_alerts(_sol_source(spark)), _COMMENTS)
+_COMMENTS = f"""c as (select path, unnest(regexp_extract_all(content, '(?s)/\\*.*?\\*/|(?m:^[ \\t]*//[^\\n]*)')) as x from f), w as (select path, x, unnest({literal(S.COMMENT_WORDS)}) as word from c)
+select path, '' as function_name, 0::int as idx, trim(word) as detail, '' as statement from w where contains(x, word)"""
+_add("1", "solidity", S.comment_alerts, _COMMENTS)
+_add("10", "solidity", _sol_functions("10"), None)

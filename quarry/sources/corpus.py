@@ -56,11 +56,11 @@ void bad_117( void ) { combine( update_hash( a ), push_item( b ) ); }
 void ok_117( void ) { combine( update_hash( a, push_item( b ) ), plain( c ) ); }
 void bad_118( uchar * buf ) {
   struct wire_hdr { uchar a
-  hdr = (struct wire_hdr *)buf; }
+  hdr = (struct wire_hdr *)buf; } }
 void ok_118( uchar * buf ) {
   struct wire_hdr { uchar a
   hdr = (struct wire_hdr *)buf;
-  static_assert( sizeof(hdr)==8 ); }
+  static_assert( sizeof(hdr)==8 ); } }
 void bad_119( void ) { long part = stake_total / 3; }
 void ok_119( void ) { long part = fd_long_div_euclidean( stake_total / 1, 3 ); }
 ulong bad_120( vm_t * vm ) { return *(ulong *)( vm->mem + addr ); }
