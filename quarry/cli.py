@@ -11,7 +11,7 @@ import os
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry import api
 from quarry.operators import code_graph
@@ -21,6 +21,7 @@ from quarry.sources import code
 OK, FAILED, USAGE = 0, 1, 2
 MODES, FORMATS = ("legacy", "auditor", "explore"), ("text", "json")
 GRAPH, EVERYTHING = "12", "13"
+SEPARATOR = "\n    ----------------------      \n"
 
 
 class UsageError(ValueError):
@@ -69,10 +70,11 @@ def run(spark: SparkSession, path: str, task: str, mode: str = "legacy", form: s
         for r in api.summary(src).collect():
             print(f"{r.path}: {r.functions} functions, {r.statements} statements")
     if task != GRAPH:
-        found = api.analyze(src, "all" if task == EVERYTHING else task).orderBy("task_id", "function_name", "idx", "message").collect()
+        rows = api.analyze(src, "all" if task == EVERYTHING else task, mode)
+        found = (rows.orderBy("code", "message") if mode == "legacy" else api.render(rows).orderBy(F.col("task_id").cast("int"), "card")).collect()
     if form == "text":
         for r in found:
-            print({"code": int(r.task_id), "message": r.message} if mode == "legacy" else f"[Task {r.task_id}] {r.rule_id}\nConfidence: {r.confidence}\nMessage: {r.message}\nFunction: {r.function_name}\nLines: {r.line_numbers}\n")
+            print(r.asDict() if mode == "legacy" else r.card, SEPARATOR, sep="\n")
         if not found and task != GRAPH:
             print("No findings.")
     if task in (GRAPH, EVERYTHING) and form == "text":

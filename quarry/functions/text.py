@@ -78,3 +78,29 @@ def first_braces(c: Column) -> Column:
         return F.when(s.open > 0, F.substring(c, s.open + 1, stop - s.open - 1)).otherwise("")
 
     return F.when(F.contains(c, F.lit("{")), F.aggregate(pieces, start, step, body)).otherwise("")
+
+
+def balanced(c: Column, pair: str = "()") -> Column:
+    """c up to the bracket that closes its first one, whatever the nesting; empty if there is none or it stays open."""
+    pieces = F.split(c, f"(?<=[\\{pair[0]}\\{pair[1]}])", -1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("close"))
+
+    def step(s: Column, piece: Column) -> Column:
+        at = s.at + F.length(piece)
+        depth = s.depth + F.when(F.endswith(piece, F.lit(pair[0])), 1).when(F.endswith(piece, F.lit(pair[1])) & (s.depth > 0), -1).otherwise(0)
+        ends = (s.close == 0) & (s.depth == 1) & (depth == 0)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(ends, at).otherwise(s.close).alias("close"))
+
+    return F.when(F.contains(c, F.lit(pair[0])), F.aggregate(pieces, start, step, lambda s: F.left(c, s.close))).otherwise("")
+
+
+def after_each(c: Column, pattern: str, mark: str) -> Column:
+    """What follows each match of a pattern, to the end; later matches show as ``mark``."""
+    pieces = F.split(c, pattern, -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda _, i: F.array_join(F.slice(pieces, i + 2, F.size(pieces)), mark))
+
+
+def called_with(c: Column, word: str) -> Column:
+    """What stands between the parentheses after each ``word``, of any nesting."""
+    spans = F.transform(after_each(c, rf"\b{word}\s*(?=\()", word), lambda x: balanced(x))
+    return F.transform(F.filter(spans, lambda x: x != ""), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.functions.text import any_token
+from quarry.functions.text import after_each, any_token, balanced
 from quarry.operators import frames
 
 ALERTS = ("path", "file_ord", "task_id", "fn_ord", "function_name", "idx", "detail", "statement")
@@ -67,11 +67,17 @@ SIGNED_MATH = [*SIGNED, "debt", "offset", "balance"]
 VM_CAST = r"\*\s*\([^)]*\*\)\s*\([^)]*(?:addr|offset)[^)]*\)"
 ALIGNED = ["& 0x7", "& 7", "% 8", "unaligned", "is_aligned", "align_check"]
 
-_NEST = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
-_OPERAND = rf"(?:{_NEST}|\(.*|[A-Za-z_]\w*(?:->[A-Za-z_]\w*)*(?:{_NEST})?)"
 _FLOAT = r"(?<![A-Za-z0-9_])(?:\d+[eE][+-]?\d+|\d+\.\d*|\d*\.\d+)[fFlL]?(?![A-Za-z0-9_])|\b\w*_(?:double|float)\b|^[df]$|(?i:\b(?:double|float)\b)"
 
 
+def _operand(rest: Column) -> Column:
+    """What a cast applies to: a parenthesis, of any nesting, or a name with its members and call."""
+    inner = balanced(rest)
+    name = F.regexp_extract(rest, r"^[A-Za-z_]\w*(?:->[A-Za-z_]\w*)*", 0)
+    tail = F.substring(rest, F.length(name) + 1, F.length(rest))
+    return F.when(F.startswith(rest, F.lit("(")), F.when(inner != "", inner).otherwise(rest)).when((name != "") & F.startswith(tail, F.lit("(")), F.concat(name, balanced(tail))).otherwise(name)
+
+
 def _arguments(c: Column) -> Column:
     """The arguments between the first ( and the last ), parted at commas outside inner parentheses."""
     inner = F.regexp_extract(c, r"\((.*)\)", 1)
@@ -95,7 +101,7 @@ def statement_alerts(statements: DataFrame, task: str | None = None) -> DataFram
     ring = F.trim(F.regexp_extract(s, r"\bio_uring_submit\s*\(\s*([^),]*)", 1))
     bare = F.regexp_extract(s, r"^(\w+)\s*\(", 1)
     mask = F.regexp_extract(s, FLAG_MASK, 1)
-    operands = F.regexp_extract_all(s, F.lit(rf"{UNSIGNED_CAST}\s*({_OPERAND})"), 1)
+    operands = F.transform(after_each(s, UNSIGNED_CAST + r"\s*", "(unsigned)"), _operand)
     guarded = F.lit(False)
     for g in CALL_GUARDS:
         guarded = guarded | F.startswith(s, F.lit(g))

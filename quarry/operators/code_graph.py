@@ -54,19 +54,26 @@ IMPORTS = {
 }
 
 
-def bundle_edges(sources: DataFrame) -> DataFrame:
-    """id, source, target, kind between files of one bundle: a file that names another by its base name, whatever the case.
+def imports(sources: DataFrame) -> DataFrame:
+    """consumer, provider, kind: a file of a bundle that names another by its base name, whatever the case.
 
     An equality join on lower-cased base names; a file doesn't import itself, and each pair counts once.
     """
     base = F.lower(T.basename(F.col("path")))
-    members = sources.select("language", base.alias("wanted"), F.concat(F.lit("type:"), T.basename(F.col("path"))).alias("target"), F.col("path").alias("provider"))
+    members = sources.select("language", base.alias("wanted"), F.col("path").alias("provider"))
     out = None
     for language, (pattern, suffixes, kind) in IMPORTS.items():
         content = F.regexp_replace("content", r"//[^\n]*", "") if language != "c" else F.col("content")
         named = F.filter(F.concat(F.regexp_extract_all(content, F.lit(pattern), 1), F.regexp_extract_all(content, F.lit(pattern), 2) if language == "rust" else F.array().cast("array<string>")), lambda x: x != "")
-        files = sources.where(F.col("language") == language).select("language", F.col("path").alias("consumer"), F.concat(F.lit("type:"), T.basename(F.col("path"))).alias("source"), F.explode(F.array_distinct(F.transform(named, lambda x: F.lower(T.basename(x))))).alias("name"))
+        files = sources.where(F.col("language") == language).select("language", F.col("path").alias("consumer"), F.explode(F.array_distinct(F.transform(named, lambda x: F.lower(T.basename(x))))).alias("name"))
         for suffix in suffixes:
-            part = files.withColumn("wanted", F.concat("name", F.lit(suffix))).join(members, ["language", "wanted"]).where("consumer <> provider").select("source", "target", F.lit(kind).alias("kind")).distinct()
+            part = files.withColumn("wanted", F.concat("name", F.lit(suffix))).join(members, ["language", "wanted"]).where("consumer <> provider").select("consumer", "provider", F.lit(kind).alias("kind")).distinct()
             out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bundle_edges(sources: DataFrame) -> DataFrame:
+    """id, source, target, kind of imports, between types that are named after files."""
+    anchor = lambda c: F.concat(F.lit("type:"), T.basename(F.col(c)))
+    out = imports(sources).select(anchor("consumer").alias("source"), anchor("provider").alias("target"), "kind").distinct()
     return out.select(T.short_digest(F.concat_ws(">", "source", "kind", "target"), 12).alias("id"), "source", "target", "kind")

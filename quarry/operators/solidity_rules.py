@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from quarry.functions.text import any_token, collapse
+from quarry.functions.text import any_token, called_with, collapse
 
 # Fixed values of the rules.
 MONEY = ["totalsupply", "balance", "fee", "amount", "supply"]
@@ -20,20 +20,16 @@ MATH = [".mul", ".div", ".add", ".sub", "math.", "+", "-", "*", "/"]
 COMMENT_WORDS = [" version ", " new ", " old "]
 SIMILAR, LENGTH_GAP = 0.9, 0.2
 
-_NEST = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
-
-
 def contracts_of(df: DataFrame) -> DataFrame:
     """The functions of Solidity contracts with their facts: state, statements, mutations, guards, transfers, computations."""
     body = F.col("body")
     df = df.withColumn("stmts", F.filter(F.transform(F.split(body, ";", -1), collapse), lambda x: x != ""))
     touched = lambda s: F.exists("state", lambda v: F.contains(s, v))
-    inner = lambda word: F.transform(F.regexp_extract_all(body, F.lit(rf"\b{word}\s*({_NEST})"), 1), lambda x: F.substring(x, 2, F.length(x) - 2))
     return df.withColumns({
         "mutations": F.array_distinct(F.filter("stmts", lambda s: F.contains(s, F.lit("=")) & touched(s))),
-        "conditionals": inner("if"),
-        "requires": inner("require"),
-        "asserts": inner("assert"),
+        "conditionals": called_with(body, "if"),
+        "requires": called_with(body, "require"),
+        "asserts": called_with(body, "assert"),
         "transfers": F.array_distinct(F.filter("stmts", lambda s: any_token(s, TRANSFERS))),
         "computations": F.array_distinct(F.filter("stmts", lambda s: F.size(F.filter(F.array(*[F.lit(t) for t in MATH]), lambda t: F.contains(s, t))) >= 2)),
         "permissions": F.filter(F.split(F.trim("modifiers"), r"[\s(),]+"), lambda m: F.lower(m).rlike("only|owner|admin|role")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T
-from quarry.operators import c_rules, code_graph, evidence, rust_rules, solidity_rules
+from quarry.operators import adapters, c_rules, evidence, payload, rust_rules, solidity_rules
 from quarry.operators.shared import Rounds
 from quarry.sources import code, derived
 from quarry.sources.facts import Facts
@@ -106,14 +106,14 @@ def model_index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, both.drop("body")
 
 
-def full_findings(sources: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def full_findings(sources: DataFrame, catalog: DataFrame | None = None, task: str | None = None) -> DataFrame:
     """Findings with everything that a report shows: evidences, and title, category, portability and hint of their rule.
 
     catalog: task_id, title, category, portability, remediation_hint; rules that it lacks have a title made from their name
     and blanks.
     """
     shown = ("title", "category", "portability", "remediation_hint")
-    found = _told(alerts(sources))
+    found = _told(alerts(sources, task))
     if catalog is None:
         found = found.withColumns({c: F.lit(None).cast("string") for c in shown})
     else:
@@ -161,13 +161,15 @@ def corpus_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = derived.sources(spark, sf_dir)
-    return code_graph.nodes(src, Facts(spark).functions(src))
+    """Checked nodes of the derived files of all languages."""
+    nodes, _ = payload.payload(*adapters.model(derived.sources(spark, sf_dir)))
+    return nodes.select("path", "id", "group", "label", "parent", "kind", "is_entrypoint", F.size("write_paths").alias("write_paths"))
 
 
 def corpus_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = derived.sources(spark, sf_dir)
-    return code_graph.edges(src, Facts(spark).functions(src))
+    """Checked edges of the derived files of all languages."""
+    _, edges = payload.payload(*adapters.model(derived.sources(spark, sf_dir)))
+    return edges.select("path", "source", "target", "kind", "label", "callsite", F.size("args_map").alias("args"), "confidence")
 
 
 QUERIES = {f.__name__: f for f in (corpus_findings, corpus_findings_by_task, corpus_evidence, corpus_functions, corpus_graph_nodes, corpus_graph_edges)}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import c_rules as _R, rust_rules as R, solidity_rules as S
+from quarry.operators import adapters, c_rules as _R, rust_rules as R, solidity_rules as S
 from quarry.plans.models import literal
 from quarry.sources import code, derived
 from quarry.sources.facts import Facts
@@ -87,9 +87,12 @@ select path, function_name, u::int as idx, case when h is null or f is null then
 _RETURNS = f"""{_C}, k as (select *, lower(s) as low, regexp_extract(s, '\\breturn\\s+([A-Z_][A-Z0-9_]*)\\b', 1) as code from s)
 select r.path, r.function_name, r.idx::int as idx, r.code as detail, left(r.s, 120) as statement from k g join k r on g.path = r.path and g.fn = r.fn and r.idx between g.idx and g.idx + 2
 where contains(g.low, 'program') and (contains(g.low, 'id') or contains(g.low, 'exists')) and (contains(g.low, 'if') or contains(g.low, 'switch')) and {_IN('r.code', _R.WRONG_CODES)}"""
+#: The derived files nest no deeper than this.
+_NEST = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_OPERAND = rf"(?:{_NEST}|\(.*|[A-Za-z_]\w*(?:->[A-Za-z_]\w*)*(?:{_NEST})?)"
 _EDGE = "[^A-Za-z0-9_]"
 _FLOATS = rf"(?:^|{_EDGE})(?:\d+[eE][+-]?\d+|\d+\.\d*|\d*\.\d+)[fFlL]?(?:{_EDGE}|$)|\b\w*_(?:double|float)\b|^[df]$|(?i:\b(?:double|float)\b)"
-_CASTS = f"{_C} select path, function_name, idx::int as idx, '' as detail, left(s, 120) as statement from s where {_re('s', _R.UNSIGNED_CAST)} and not {_any('s', _R.SATURATING)} and len(list_filter(regexp_extract_all(s, {literal(_R.UNSIGNED_CAST + r'\s*(' + _R._OPERAND + ')')}, 1), lambda o: regexp_matches(trim(o), {literal(_FLOATS)}))) > 0"
+_CASTS = f"{_C} select path, function_name, idx::int as idx, '' as detail, left(s, 120) as statement from s where {_re('s', _R.UNSIGNED_CAST)} and not {_any('s', _R.SATURATING)} and len(list_filter(regexp_extract_all(s, {literal(_R.UNSIGNED_CAST + r'\s*(' + _OPERAND + ')')}, 1), lambda o: regexp_matches(trim(o), {literal(_FLOATS)}))) > 0"
 _FREED = f"""{_C}, k as (select *, regexp_extract(s, {literal(_R.RELEASE)}, 1) as freed from s),
 e as (select a.path, a.fn, a.function_name, a.freed as name, a.idx as began, b.idx, b.s, case when b.freed = a.freed then 'release' when b.freed <> '' then null when regexp_matches(b.s, '\\b' || a.freed || '\\s*=') then 'set' when regexp_matches(b.s, '\\b' || a.freed || '\\s*(?:->|\\[)') or contains(b.s, '*' || a.freed) then 'use' end as event
   from k a join k b on a.path = b.path and a.fn = b.fn and b.idx > a.idx where a.freed <> ''),
@@ -194,7 +197,7 @@ for _task, _select in _LINE_RULES.items():
 # --- Solidity -----------------------------------------------------------------------------------------------------------
 
 def _inner(word: str) -> str:
-    return f"list_transform(regexp_extract_all(body, {literal(rf'\b{word}\s*({S._NEST})')}, 1), lambda x: x[2:-2])"
+    return f"list_transform(regexp_extract_all(body, {literal(rf'\b{word}\s*({_NEST})')}, 1), lambda x: x[2:-2])"
 
 
 def _places(tokens: list[str]) -> str:
@@ -247,3 +250,27 @@ _COMMENTS = f"""c as (select path, unnest(regexp_extract_all(content, '(?s)/\\*.
 select path, '' as function_name, 0::int as idx, trim(word) as detail, '' as statement from w where contains(x, word)"""
 _add("1", "solidity", S.comment_alerts, _COMMENTS)
 _add("10", "solidity", _sol_functions("10"), None)
+
+# --- Solidity: what functions read, write and check ---------------------------------------------------------------------
+
+_READS = f"""with {derived.sql('solidity')}, {derived.functions_sql('solidity')}, a as (select *, list_distinct({_pieces('body', 0)}) as stmts from t), b as (select path, type_name, name, state, unnest(stmts) as s from a), c as (select *, unnest(state) as v from b)
+select path, type_name, name as fn_name, v as entity_name, case when contains(s, '=') then 'write' else 'read' end as access_kind, s as source_statement from c where contains(s, v)"""
+_GUARDS = [f"select path, type_name, name as fn_name, '{kind}' as guard_type, unnest({_inner(word)}) as expression, '{reason}' as confidence_reason from t" for kind, word, reason in (("conditional", "if", "parsed_function_conditional"), ("require", "require", "parsed_require_statement"), ("assert", "assert", "parsed_assert_statement"))]
+
+
+def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.contracts_of(Facts(spark).contracts(derived.sources(spark, sf_dir, "solidity")))
+
+
+def state_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each function of the derived contracts reads and writes, with the statement."""
+    return adapters.state_accesses(_contracts(spark, sf_dir)).drop("fn_ord")
+
+
+def guard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each function of the derived contracts checks, and how."""
+    return adapters.guard_facts(_contracts(spark, sf_dir)).drop("fn_ord", "ord")
+
+
+QUERIES |= {"state_accesses": state_accesses, "guard_facts": guard_facts}
+SQL |= {"state_accesses": _READS, "guard_facts": f"with {derived.sql('solidity')}, {derived.functions_sql('solidity')} " + " union all ".join(_GUARDS)}
