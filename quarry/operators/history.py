@@ -1,7 +1,8 @@
 """A history of artifacts and scans as append-only Parquet tables.
 
 Nothing is rewritten: a soft deletion appends a tombstone, and reads take it into account. Ids follow the ones there are, in
-an order that the rows decide, so the same upload twice gives the same table.
+an order that the rows decide, so the same upload twice gives the same table. Every change is a commit (commits.Log), so
+several writers can work at once: no id is given twice and no content is stored twice.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T
 from quarry.operators import keyed
+from quarry.operators.commits import Log
+from quarry.operators.frames import ranked
 from quarry.sources.code import LANGUAGES
 
 ARTIFACT = "id long, sha256 string, filename string, language string, size_bytes long, created_at string"
@@ -97,18 +100,10 @@ def bundle_members(manifest: DataFrame, files: DataFrame) -> DataFrame:
 class History:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        self.log = Log(spark, self.root)
 
     def table(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        if path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            return self.spark.read.schema(schema).parquet(self._path(name))
-        return self.spark.createDataFrame([], schema)
-
-    def _append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self._path(name))
+        return self.log.read(name, schema)
 
     @property
     def artifacts(self) -> DataFrame:
@@ -123,12 +118,17 @@ class History:
         """Takes uploads (ord, filename, content): per upload its status, digest and artifact id; known contents are not stored again."""
         df = uploads.select("ord", F.coalesce(F.nullif(T.basename(F.col("filename")), F.lit("")), F.lit("source")).alias("filename"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), upload_status("content", "filename").alias("status"), language_of(F.col("filename")).alias("language"))
         first = keyed.first_wins(df.where("status = 'ok'"), ["sha256"], ["ord"], "ord", "filename", "language", "size_bytes")
-        new = first.join(self.artifacts.select("sha256"), "sha256", "left_anti")
-        last = self.artifacts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        ids = F.row_number().over(Window.orderBy("ord", "sha256"))  # one small batch of uploads
-        kept = uploads.select(F.sha2("content", 256).alias("sha256"), F.col("content").cast("binary").alias("content")).join(new.select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
-        self._append("content", kept)  # before the artifact, so that each artifact has its content
-        self._append("artifact", new.select((ids + last).cast("long").alias("id"), "sha256", "filename", "language", "size_bytes", F.lit(now).alias("created_at")))
+
+        def change(ids: dict[str, int]) -> dict[str, DataFrame]:
+            new = ranked(first.join(self.artifacts.select("sha256"), "sha256", "left_anti"), ["ord", "sha256"], "nth")
+            last, n = ids.get("artifact", 0), new.count()
+            if not n:
+                return {}
+            ids["artifact"] = last + n
+            kept = uploads.select(F.sha2("content", 256).alias("sha256"), F.col("content").cast("binary").alias("content")).join(new.select("sha256"), "sha256", "left_semi").dropDuplicates(["sha256"])
+            return {"content": kept, "artifact": new.select((F.col("nth") + last).cast("long").alias("id"), "sha256", "filename", "language", "size_bytes", F.lit(now).alias("created_at"))}
+
+        self.log.commit(change)
         return df.join(self.artifacts.select("sha256", F.col("id").alias("artifact_id")), "sha256", "left").select("ord", "status", "sha256", F.when(F.col("status") == "ok", F.col("artifact_id")).alias("artifact_id"))
 
     def record(self, scan: DataFrame, findings: DataFrame) -> None:
@@ -136,9 +136,12 @@ class History:
         blank = " or ".join(f"{c} is null" for c in ("id", "artifact_id", "mode", "task", "status", "created_at"))
         if not {*names} <= {*scan.columns} or scan.where(blank).limit(1).count():
             raise ValueError("missing_field")
-        # findings first: a scan that can be read has all of its own
-        self._append("finding", findings.select(*[x.split()[0] for x in FINDING.split(", ")]))
-        self._append("scan", scan.select(*names))
+
+        def change(ids: dict[str, int]) -> dict[str, DataFrame]:
+            ids["scan"] = max(ids.get("scan", 0), scan.agg(F.max("id")).first()[0] or 0)
+            return {"finding": findings.select(*[x.split()[0] for x in FINDING.split(", ")]), "scan": scan.select(*names)}
+
+        self.log.commit(change)
 
     def artifact(self, ident: int) -> DataFrame:
         """The artifact of an id; an error (``not_found``) where there is none."""
@@ -153,33 +156,32 @@ class History:
     def source(self, artifact_id: int) -> DataFrame:
         """The stored content of an artifact as a table of sources."""
         found = self.artifact(artifact_id).join(self.table("content", CONTENT), "sha256")
-        return found.select(F.col("filename").alias("path"), F.lit(0).alias("file_ord"), "language", F.make_valid_utf8(F.col("content").cast("string")).alias("content")).limit(1)
+        return found.select(F.col("filename").alias("path"), F.lit(0).alias("file_ord"), "language", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
-    def _next_scan(self) -> int:
-        return self.scans(True).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+    def _save(self, scan: tuple, findings: DataFrame, graph: tuple[DataFrame, DataFrame] | None = None) -> int:
+        """Keeps a scan (the fields of SCAN but id) with what belongs to it, under the next id."""
+        names = [x.split()[0] for x in FINDING.split(", ")]
 
-    def save_ok(self, artifact_id: int, mode: str, task: str, findings: DataFrame, now: str, rules_run: list[str], version: str = "unknown", catalog: str = "", duration_ms: int = 0, graph: tuple[DataFrame, DataFrame] | None = None) -> int:
-        """Keeps a scan that went well, with its findings (the columns of FINDING but scan_id) and its graph if there is one; its id.
+        def change(ids: dict[str, int]) -> dict[str, DataFrame]:
+            ids["scan"] = ident = ids.get("scan", 0) + 1
+            own = F.lit(ident).cast("long").alias("scan_id")
+            out = {"finding": findings.withColumn("scan_id", F.lit(ident).cast("long")).select(*names), "scan": self.spark.createDataFrame([(ident, *scan)], SCAN)}
+            if graph:
+                parts = [df.select(own, F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("body")) for part, df in zip(("node", "edge"), graph)]
+                out["graph"] = parts[0].unionByName(parts[1])
+            return out
+
+        return self.log.commit(change)["scan"]
 
-        Ids follow the greatest there is: one writer at a time.
-        """
+    def save_ok(self, artifact_id: int, mode: str, task: str, findings: DataFrame, now: str, rules_run: list[str], version: str = "unknown", catalog: str = "", duration_ms: int = 0, graph: tuple[DataFrame, DataFrame] | None = None) -> int:
+        """Keeps a scan that went well, with its findings (the columns of FINDING but scan_id) and its graph if there is one; its id."""
         self.artifact(artifact_id)
-        ident = self._next_scan()
-        rows = findings.withColumn("scan_id", F.lit(ident).cast("long"))
-        if graph:
-            parts = [df.select(F.lit(ident).cast("long").alias("scan_id"), F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("body")) for part, df in zip(("node", "edge"), graph)]
-            self._append("graph", parts[0].unionByName(parts[1]))
-        scan = [(ident, artifact_id, mode, task, json.dumps(rules_run), findings.count(), duration_ms, version, "ok", "", now, catalog, "")]
-        self.record(self.spark.createDataFrame(scan, SCAN), rows)
-        return ident
+        return self._save((artifact_id, mode, task, json.dumps(rules_run), findings.count(), duration_ms, version, "ok", "", now, catalog, ""), findings, graph)
 
     def save_failed(self, artifact_id: int, mode: str, task: str, error: Exception, now: str, version: str = "unknown", catalog: str = "") -> int:
         """Keeps that a scan failed, with the error's code and text and no findings; its id."""
         self.artifact(artifact_id)
-        ident = self._next_scan()
-        scan = [(ident, artifact_id, mode, task, "[]", 0, 0, version, "error", getattr(error, "code", "internal_error"), now, catalog, str(error))]
-        self.record(self.spark.createDataFrame(scan, SCAN), self.spark.createDataFrame([], FINDING))
-        return ident
+        return self._save((artifact_id, mode, task, "[]", 0, 0, version, "error", getattr(error, "code", "internal_error"), now, catalog, str(error)), self.spark.createDataFrame([], FINDING))
 
     def _live(self, scan_id: int) -> None:
         if not self.scans().where(F.col("id") == scan_id).limit(1).count():
@@ -202,10 +204,14 @@ class History:
 
     def soft_delete(self, scan_id: int, now: str) -> bool:
         """Whether there was such a scan, not yet deleted."""
-        if not self.scans().where(F.col("id") == scan_id).limit(1).count():
-            return False
-        self._append("tombstone", self.spark.createDataFrame([(scan_id, now)], TOMBSTONE))
-        return True
+        done = []
+
+        def change(ids: dict[str, int]) -> dict[str, DataFrame]:
+            done[:] = [self.scans().where(F.col("id") == scan_id).limit(1).count() == 1]
+            return {"tombstone": self.spark.createDataFrame([(scan_id, now)], TOMBSTONE)} if done[0] else {}
+
+        self.log.commit(change)
+        return done[0]
 
     def list_artifacts(self, n: int = 50) -> DataFrame:
         return keyed.newest(self.artifacts, "created_at", "id", n)

@@ -1,11 +1,12 @@
 import hashlib
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import calls, code_graph, graph
-from quarry.operators.history import FINDING, SCAN, History, bundle_members, bundles, catalog_hash, tool_version
+from quarry.operators.history import ARTIFACT, FINDING, SCAN, History, bundle_members, bundles, catalog_hash, tool_version
 from quarry.api import AuditError
 from quarry.plans import audit
 from quarry.sources import code
@@ -34,6 +35,45 @@ def test_history(spark, tmp_path):
     assert h.scan_details(1).first().filename == "a.c"
 
 
+def test_two_writers(spark, tmp_path):
+    """Two writers take the same and other files and keep scans at once: ids are given once, contents are stored once."""
+    root = str(tmp_path / "h")
+    writers = [History(spark, root), History(spark, root)]
+    out, errors = [[], []], []
+
+    def work(k):
+        try:
+            for i in range(3):
+                up = [(0, "both.c", f"int both{i};".encode()), (1, f"own{k}.c", f"int own{k}_{i};".encode())]
+                got = writers[k].ingest(spark.createDataFrame(up, "ord int, filename string, content binary"), f"2024-01-0{i + 1}").collect()
+                ident = next(r.artifact_id for r in got if r.ord == 1)
+                rows = spark.createDataFrame([(0, f"r{k}", "T", "f", "s", "s", f"m{i}")], "ord int, rule_id string, type_name string, function_name string, source_statement string, statement string, message string")
+                out[k].append((writers[k].save_ok(ident, "auditor", "all", rows, "2024-02-01", []), f"r{k}", f"m{i}"))
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in (0, 1)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    h = History(spark, root)
+    artifacts = h.artifacts.collect()
+    assert sorted(a.id for a in artifacts) == list(range(1, 10)) and len({a.sha256 for a in artifacts}) == 9
+    assert sorted(i for i, _, _ in out[0] + out[1]) == [1, 2, 3, 4, 5, 6]
+    for ident, rule, message in out[0] + out[1]:
+        assert [(r.rule_id, r.message) for r in h.get_findings(ident).collect()] == [(rule, message)]
+    log = h.log.entries()
+    assert len(log) >= 9 and log[-1]["ids"] == {"artifact": 9, "scan": 6}
+    # a draft that was never claimed doesn't show, and a number is given once
+    spark.createDataFrame([(99, "x", "x.c", "c", 1, "t")], ARTIFACT).write.parquet(f"{root}/artifact/stray")
+    assert h.artifacts.count() == 9 and not h.log._claim(len(log), {})
+    (tmp_path / "h" / "_log" / "999999999999.json").write_text('{"schema": 2, "stage": "s", "tables": [], "ids": {}}')
+    with pytest.raises(ValueError, match="newer"):
+        History(spark, root)
+
+
 def test_bundles(spark):
     parts = [("x", "a.c", b"1"), ("x", "d/a.c", b"2"), ("y", "d/a.c", b"2"), ("y", "a.c", b"1"), ("z", "a.c", b"1"), ("z", "b.rs", b"1"), ("w", "a.txt", b"1")]
     got = {r.bundle: r for r in bundles(spark.createDataFrame(parts, "bundle string, filename string, content binary")).collect()}
