@@ -1,11 +1,14 @@
-"""Queries over small models given as rows, each with SQL over the same rows."""
+"""Queries over models that every supplier has a copy of, marked with its key, each with SQL over the same rows or worked out by hand."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.operators import calls, evidence, solidity_graph, solidity_rules
-from quarry.sources import code, corpus
+from quarry.sources import code
+from quarry.sources.facts import Facts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,6 +37,21 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
 
 
+def spread(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str, **changes: str) -> DataFrame:
+    """The rows once for each supplier, with its key as k; changes: by column what it becomes, in SQL of both engines."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    copies = F.explode(F.from_json(F.lit(text), f"array<struct<{schema}>>")).alias("r")
+    out = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), copies).select("k", "r.*")
+    return out.select("k", *[F.expr(changes.get(c, c)).alias(c) for c in names])
+
+
+def spread_sql(rows: list[tuple], name: str, columns: str, **changes: str) -> str:
+    """The same as a relation of SQL."""
+    shown = ", ".join(f"{changes[c]} as {c}" if c in changes else c for c in columns.split(", "))
+    return f"{values(rows, name + '_', columns)}, {name} as (select k, {shown} from {name}_, (select s_suppkey as k from supplier))"
+
+
 # --- evidence ---------------------------------------------------------------------------------------------------------
 
 MESSAGES = [
@@ -48,10 +66,11 @@ MESSAGES = [
 ]
 INDEX = [("a.sol", 0, "Base", "init", 0, "owner = who", None), ("a.sol", 1, "Vault", "take", 0, "total = total - x", "guard"), ("a.sol", 1, "Vault", "take", 1, "paid[who] = 0", None), ("a.sol", 2, "Vault", "give", 0, "", None)]
 NAMES = [("a.sol", 0, "Base", 0, "init"), ("a.sol", 1, "Vault", 0, "take"), ("a.sol", 1, "Vault", 1, "give"), ("b.sol", 0, "Other", 0, "run")]
+_ID, _AT = "k * 100 + alert_id", "concat(k, '/', path)"
 LINES = [("a.sol", 3, "  total = total - x;"), ("a.sol", 4, "paid[who] = 0;"), ("a.sol", 9, "if (a) { paid[who] = 0; }"), ("b.sol", 1, "total = total - x;")]
 
 
-@query(f"""with {values(MESSAGES, 'a', 'alert_id, path, message')}, {values(INDEX, 'i', 'path, key_ord, t, f, ord, stmt, reason')}, {values(NAMES, 'n', 'path, type_ord, t, fn_ord, f')}, {values(LINES, 'l', 'path, n, line')},
+@query(f"""with {spread_sql(MESSAGES, 'a', 'alert_id, path, message', alert_id=_ID, path=_AT)}, {spread_sql(INDEX, 'i', 'path, key_ord, t, f, ord, stmt, reason', path=_AT)}, {spread_sql(NAMES, 'n', 'path, type_ord, t, fn_ord, f', path=_AT)}, {spread_sql(LINES, 'l', 'path, n, line', path=_AT)},
 c as (select alert_id, 0 as r0, key_ord as r1, 0 as r2, ord as r3, t, f, stmt, coalesce(reason, 'matched_statement_from_normalized_model') as reason from a join i using (path) where stmt <> '' and contains(message, stmt)
   union all select alert_id, 0, key_ord, 1, 0, t, f, null, 'matched_qualified_function_name' from a join (select distinct path, key_ord, t, f from i) using (path) where contains(message, t || '.' || f)
   union all select alert_id, 1, type_ord, fn_ord, 0, t, f, null, 'matched_function_name' from a join n using (path) where contains(message, f)
@@ -61,10 +80,11 @@ s as (select a.alert_id, a.path, coalesce(t, '') as type_name, coalesce(f, '') a
   coalesce(stmt, case when contains(message, 'line:') then trim(substr(message, instr(message, 'line:') + 5)) else coalesce(regexp_extract_all(message, '''([^'']+)''', 1)[-1], '') end) as statement from a left join b using (alert_id))
 select alert_id::bigint as alert_id, type_name, function_name, statement, confidence_reason, coalesce((select string_agg(l.n, ',' order by l.n) from l where l.path = s.path and s.statement <> '' and contains(l.line, s.statement)), '') as line_numbers from s""")
 def evidence_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = spark.createDataFrame(MESSAGES, "alert_id long, path string, message string")
-    index = spark.createDataFrame(INDEX, "path string, key_ord int, type_name string, function_name string, ord int, source_statement string, reason string")
-    names = spark.createDataFrame(NAMES, "path string, type_ord int, type_name string, fn_ord int, fn_name string")
-    out = evidence.infer(alerts, index, names, spark.createDataFrame(LINES, "path string, n int, line string"))
+    copies = lambda rows, schema, **changes: spread(spark, sf_dir, rows, schema, path=_AT, **changes).drop("k")
+    alerts = copies(MESSAGES, "alert_id long, path string, message string", alert_id=_ID)
+    index = copies(INDEX, "path string, key_ord int, type_name string, function_name string, ord int, source_statement string, reason string")
+    names = copies(NAMES, "path string, type_ord int, type_name string, fn_ord int, fn_name string")
+    out = evidence.infer(alerts, index, names, copies(LINES, "path string, n int, line string"))
     return out.select("alert_id", "type_name", "function_name", "statement", "confidence_reason", F.array_join(F.col("line_numbers").cast("array<string>"), ",").alias("line_numbers"))
 
 
@@ -102,11 +122,11 @@ ARGUMENTS = [
 ]
 
 
-@query(f"with {values(ARGUMENTS, 'a', 'call, i, param, value, source_kind')} select call, i::int as i, param, value, source_kind from a")
+@query(f"with {spread_sql(ARGUMENTS, 'a', 'call, i, param, value, source_kind')} select k, call, i::int as i, param, value, source_kind from a")
 def positional_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CALLS, "call string, args string, callee array<string>, caller array<string>, state array<string>")
+    rows = spread(spark, sf_dir, CALLS, "call string, args string, callee array<string>, caller array<string>, state array<string>")
     mapped = calls.positional_args(F.col("args"), F.col("callee"), F.col("caller"), F.col("state"))
-    return rows.select("call", F.posexplode(mapped).alias("i", "a")).select("call", "i", "a.param", "a.value", "a.source_kind")
+    return rows.select("k", "call", F.posexplode(mapped).alias("i", "a")).select("k", "call", "i", "a.param", "a.value", "a.source_kind")
 
 
 WRITERS = [("f:a", "a", ["x = 1", "y = 2", "x = 1", "z = 3"]), ("f:b", "b", [" t += 1 ", "u = 0"]), ("f:c", "c", []), ("f:d", "d", ["d = 4"])]
@@ -117,10 +137,11 @@ PATHS = [
 ]
 
 
-@query(f"with {values(PATHS, 'p', 'id, path, confidence')} select * from p")
+@query(f"with {spread_sql(PATHS, 'p', 'id, path, confidence', id='concat(k, id)')} select id, path, confidence from p")
 def callee_write_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    functions = spark.createDataFrame(WRITERS, "id string, label string, writes array<string>")
-    edges = spark.createDataFrame([(*r[:3], "function_to_function", r[3]) for r in CALLED], "source string, target string, ord int, kind string, args_map array<struct<param:string,value:string,source_kind:string>>")
+    functions = spread(spark, sf_dir, WRITERS, "id string, label string, writes array<string>", id="concat(k, id)")
+    called = [(*r[:3], "function_to_function", [dict(zip(("param", "value", "source_kind"), a)) for a in r[3]]) for r in CALLED]
+    edges = spread(spark, sf_dir, called, "source string, target string, ord int, kind string, args_map array<struct<param:string,value:string,source_kind:string>>", source="concat(k, source)", target="concat(k, target)")
     return calls.write_paths(functions, edges).select("id", "path", "confidence")
 
 
@@ -170,14 +191,25 @@ SOLIDITY_EDGES = [
 ]
 
 
-def _token(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("t/Bank.sol", 0, "solidity", TOKEN)], code.SOURCES)
+def _own(c: str, *names: str) -> str:
+    """SQL that puts the key behind some names."""
+    for n in names:
+        c = f"replace({c}, '{n}', concat('{n}', k))"
+    return c
+
+
+def _bank(c: str) -> str:
+    return _own(c, "Bank", "Base")
 
 
-@query(f"with {values(SOLIDITY_EDGES, 'e', 'source, target, kind')} select source, target, kind, left(sha256(source || '>' || kind || '>' || target), 12) as id from e")
+def _token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, [("t/Bank.sol", 0, "solidity", TOKEN)], code.SOURCES, path=_AT, content=_bank("content")).drop("k")
+
+
+@query(f"with {spread_sql(SOLIDITY_EDGES, 'e', 'source, target, kind', source=_bank('source'), target=_bank('target'))} select source, target, kind, left(sha256(source || '>' || kind || '>' || target), 12) as id from e")
 def solidity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _token(spark)
-    return solidity_graph.graph(code.solidity_contracts(src), src)[1]
+    src = _token(spark, sf_dir)
+    return solidity_graph.graph(Facts(spark).contracts(src), src)[1]
 
 
 SOLIDITY_NODES = [
@@ -188,10 +220,10 @@ SOLIDITY_NODES = [
 ]
 
 
-@query(f"with {values(SOLIDITY_NODES, 'n', 'id, grp, parent')} select id, grp, parent from n")
+@query(f"with {spread_sql(SOLIDITY_NODES, 'n', 'id, grp, parent', id=_bank('id'), parent=_bank('parent'))} select distinct id, grp, parent from n")
 def solidity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _token(spark)
-    return solidity_graph.graph(code.solidity_contracts(src), src)[0].select("id", F.col("group").alias("grp"), "parent")
+    src = _token(spark, sf_dir)
+    return solidity_graph.graph(Facts(spark).contracts(src), src)[0].select("id", F.col("group").alias("grp"), "parent")
 
 
 OBJECTS = """interface IFeed { function rate(uint x) external; }
@@ -225,21 +257,28 @@ INTERFACE_EDGES = [
 ]
 
 
-def _shop(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    src = spark.createDataFrame([("t/Shop.sol", 0, "solidity", OBJECTS)], code.SOURCES)
-    return code.solidity_contracts(src), src
+def _types(c: str) -> str:
+    return _own(c, "Store", "Shop", "Late", "IFeed", "ISink")
+
+
+_TYPED = {"source_type": _types("source_type"), "target_type": _types("target_type")}
+
+
+def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    src = spread(spark, sf_dir, [("t/Shop.sol", 0, "solidity", OBJECTS)], code.SOURCES, path=_AT, content=_types("content")).drop("k")
+    return Facts(spark).contracts(src), src
 
 
-@query(f"with {values(OBJECT_EDGES, 'e', 'source_type, source_name, target_type, target_name, kind, label')} select * from e")
+@query(f"with {spread_sql(OBJECT_EDGES, 'e', 'source_type, source_name, target_type, target_name, kind, label', **_TYPED)} select * exclude (k) from e")
 def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods called on objects: a type counts once it is declared, whatever follows an underscore doesn't."""
-    return solidity_graph.object_edges(_shop(spark)[0]).drop("path")
+    return solidity_graph.object_edges(_shop(spark, sf_dir)[0]).drop("path")
 
 
-@query(f"with {values(INTERFACE_EDGES, 'e', 'source_type, source_name, target_type, target_name, kind')} select * from e")
+@query(f"with {spread_sql(INTERFACE_EDGES, 'e', 'source_type, source_name, target_type, target_name, kind', **_TYPED)} select * exclude (k) from e")
 def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges of contracts that name an interface without inheriting from it."""
-    contracts, src = _shop(spark)
+    contracts, src = _shop(spark, sf_dir)
     return solidity_graph.edges(contracts, solidity_graph.events_of(src)).drop("path")
 
 

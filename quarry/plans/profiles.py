@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.operators import extract, views
-from quarry.plans import audit
-from quarry.plans.models import literal, values
-from quarry.sources import corpus
+from quarry.plans.models import literal, spread, spread_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,18 +88,19 @@ def modifier_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.rings(_functions(spark, sf_dir).withColumnRenamed("p_brand", "parent")).withColumnRenamed("group", "grp")
 
 
-@query(f"with {values(list(audit.RULES), 'r', 'task_id, rule_id, confidence')} select * from r where confidence = 'high'")
+@query("select p_partkey, case when p_size % 3 = 0 then 'high' else 'low' end as confidence from part where p_size % 3 = 0")
 def confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.with_confidence(spark.createDataFrame(audit.RULES, "task_id string, rule_id string, confidence string"), "high")
+    """Parts as findings, of which those that are sure stay."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return views.with_confidence(parts.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "high").otherwise("low").alias("confidence")), "high")
 
 
-@query(f"""with {values(list(audit.RULES), 'r', 'task_id, rule_id, confidence')}, d as (select distinct unnest(regexp_extract_all({literal(corpus.C_RULES)}, '\\b(?:bad|new)_(\\d+)\\b', 1)) as task_id), k as (select task_id from r where task_id::int between 100 and 199)
-select task_id, 'undeclared' as drift from (select task_id from k except select task_id from d) union all select task_id, 'unregistered' from (select task_id from d except select task_id from k)""")
+@query("""with d as (select distinct l_partkey % 3000 as k from lineitem), r as (select distinct p_partkey as k from part where p_size > 10)
+select k, 'unregistered' as drift from (select k from d except select k from r) union all select k, 'undeclared' from (select k from r except select k from d)""")
 def registry_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of C against those that have a pair of functions in the corpus."""
-    declared = spark.createDataFrame([(corpus.C_RULES,)], "c string").select(F.explode(F.regexp_extract_all("c", F.lit(r"\b(?:bad|new)_(\d+)\b"), 1)).alias("task_id"))
-    registered = spark.createDataFrame(audit.RULES, "task_id string, rule_id string, confidence string").where("cast(task_id as int) between 100 and 199")
-    return views.drift(declared, registered, "task_id")
+    """Parts that are sold and those that are listed: what only one side has."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return views.drift(t("lineitem").select((F.col("l_partkey") % 3000).alias("k")), t("part").where("p_size > 10").select(F.col("p_partkey").alias("k")), "k")
 
 
 # --- formatted values ---------------------------------------------------------------------------------------------------
@@ -128,10 +127,10 @@ PLACES = [(1, "Vault", "take", [3, 5], 3), (2, "Vault", "", [], None), (3, "", N
 PLACED = [(1, "Vault.take (lines: 3, 5)"), (2, "Vault"), (3, "lines: 7"), (4, "f (lines: 0)"), (5, "unknown"), (6, "lines: 2")]
 
 
-@query(f"with {values(PLACED, 'p', 'id, place')} select id::bigint as id, place from p")
+@query(f"with {spread_sql(PLACED, 'p', 'id, place')} select k, id::bigint as id, place from p")
 def finding_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PLACES, "id long, t string, f string, lines array<int>, line int")
-    return rows.select("id", views.location(F.col("t"), F.col("f"), F.col("lines"), F.col("line")).alias("place"))
+    rows = spread(spark, sf_dir, PLACES, "id long, t string, f string, lines array<int>, line int")
+    return rows.select("k", "id", views.location(F.col("t"), F.col("f"), F.col("lines"), F.col("line")).alias("place"))
 
 
 # --- declarations -------------------------------------------------------------------------------------------------------
@@ -149,15 +148,18 @@ UNIFIED = """import "./First.sol"; --.--import "./Base.sol"; --.--import {A, B}
 DECLARED = [("import", '"./Base.sol"', ""), ("import", '{A, B} from "./Two.sol"', ""), ("using", "using SafeMath for uint256;", ""), ("event", "Paid", "(address who, uint sum);"), ("event", "Closed", "();"), ("call", "read", "")]
 
 
-@query(f"select {literal(UNIFIED)} as text")
+_NAMED_BANK = "replace({}, 'Bank', concat('Bank', k))"
+
+
+@query(f"with {spread_sql([(UNIFIED,)], 'u', 'text', text=_NAMED_BANK.format('text'))} select text from u")
 def unified_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(TOKEN,)], "c string").select(extract.unified("c").alias("text"))
+    return spread(spark, sf_dir, [(TOKEN,)], "c string", c=_NAMED_BANK.format("c")).select(extract.unified("c").alias("text"))
 
 
-@query(f"with {values(DECLARED, 'd', 'kind, name, params')} select * from d")
+@query(f"with {spread_sql(DECLARED, 'd', 'kind, name, params')} select * from d")
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c")
-    text = spark.createDataFrame([(TOKEN,)], "c string").select(extract.unified("c").alias("c"))
+    text = spread(spark, sf_dir, [(TOKEN,)], "c string").select("k", extract.unified("c").alias("c"))
     row = lambda kind, name, params=F.lit(""): F.struct(F.lit(kind).alias("kind"), name.alias("name"), params.alias("params"))
     words = extract.using(c)
     found = F.concat(
@@ -166,7 +168,7 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(extract.events(c), lambda e: row("event", e["name"], e["params"])),
         F.transform(extract.object_calls(c, F.lit("oracle")), lambda x: row("call", x)),
     )
-    return text.select(F.inline(found))
+    return text.select("k", F.inline(found))
 
 
 PARAMS = [
@@ -181,28 +183,29 @@ FIELDS = [("f", "pool", "head", "p"), ("f", "txn_t", "size", "t"), ("f", "txn_t"
 NAMED = [("f", "p,t,n"), ("g", ""), ("h", "s,arg1"), ("k", "p,p2,unsigned"), ("none", "")]
 
 
-def _params(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(PARAMS, "fn string, params string, body string")
+def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(spark, sf_dir, PARAMS, "fn string, params string, body string")
     return rows.withColumn("inputs", extract.inputs(F.col("params")))
 
 
-@query(f"with {values(NAMED, 'n', 'fn, names')} select * from n")
+@query(f"with {spread_sql(NAMED, 'n', 'fn, names')} select * from n")
 def param_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _params(spark).select("fn", F.array_join(extract.param_names(F.col("inputs")), ",").alias("names"))
+    return _params(spark, sf_dir).select("k", "fn", F.array_join(extract.param_names(F.col("inputs")), ",").alias("names"))
 
 
-@query(f"with {values(FIELDS, 'f', 'fn, struct_name, field, via')} select * from f")
+@query(f"with {spread_sql(FIELDS, 'f', 'fn, struct_name, field, via')} select * from f")
 def field_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = _params(spark).withColumn("bindings", extract.struct_bindings(F.col("inputs"), F.array(*[F.lit(s) for s in STRUCTS])))
-    return extract.field_hints(bound, ["fn"]).withColumnRenamed("struct", "struct_name")
+    bound = _params(spark, sf_dir).withColumn("bindings", extract.struct_bindings(F.col("inputs"), F.array(*[F.lit(s) for s in STRUCTS])))
+    return extract.field_hints(bound, ["k", "fn"]).withColumnRenamed("struct", "struct_name")
 
 
 HEADER = "typedef struct { int a; union { int b; } u; } pool_t;\ntypedef struct node { int v; } node;\ntypedef struct big { int v; } big_t;\ntypedef struct { int v; } x; typedef struct { int v; } size_t; typedef struct later later_t;"
 
 
-@query("select unnest(['big_t', 'pool_t']) as name")
+@query("select s_suppkey as k, unnest(['big' || s_suppkey || '_t', 'pool' || s_suppkey || '_t']) as name from supplier")
 def typedef_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(HEADER,)], "c string").select(F.explode(extract.typedef_structs(F.col("c"), F.array(F.lit("node"), F.lit("big")))).alias("name"))
+    named = "replace(replace(c, 'pool_t', concat('pool', k, '_t')), 'big_t', concat('big', k, '_t'))"
+    return spread(spark, sf_dir, [(HEADER,)], "c string", c=named).select("k", F.explode(extract.typedef_structs(F.col("c"), F.array(F.lit("node"), F.lit("big")))).alias("name"))
 
 
 @query("""with l as (select conv_id, turn, unnest(string_split(text, ' ')) as w from conversations), s as (select distinct conv_id, w from l where turn = 0 and length(w) > 6)
