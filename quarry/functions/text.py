@@ -49,10 +49,6 @@ def short_digest(c: Column, n: int) -> Column:
     return F.left(F.sha2(c, 256), F.lit(n))
 
 
-def clamp(c: Column, low: int, high: int) -> Column:
-    return F.greatest(F.lit(low), F.least(c, F.lit(high)))
-
-
 def first_braces(c: Column) -> Column:
     """What the first { and its partner enclose, or all that follows where the partner is missing; empty without a {.
 

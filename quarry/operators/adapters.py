@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import text as T
 from quarry.operators import calls, code_graph, extract, payload, rust_rules, solidity_graph, solidity_rules
+from quarry.operators.shared import Rounds
 from quarry.sources.facts import Facts
 
 #: Orders inside a file: types, then functions, state, events and modifiers of each type.
@@ -60,9 +61,8 @@ def modifiers_of(contracts: DataFrame) -> Column:
 
 def solidity(sources: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = solidity_rules.contracts_of(contracts)
-    body = contracts.join(sources.select("path", "content"), "path")
-    at = F.greatest(*[F.regexp_instr("content", F.concat(F.lit(rf"\b{word}\s+"), F.col("type_name"), F.lit(r"\b"))) for word in ("contract", "library", "interface")])
-    types = body.select("path", "type_name", at.cast("long").alias("at")).distinct()
+    own = solidity_graph.own_texts(sources, contracts)
+    types = own.select("path", "type_name", "at")
     df = df.join(types, ["path", "type_name"]).withColumn("used", modifiers_of(df))
     base = F.col("at") * _TYPE
     reads = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("stmts", lambda s: ~F.contains(s, F.lit("="))), lambda s: F.filter("state", lambda v: F.contains(s, v))))))
@@ -71,19 +71,14 @@ def solidity(sources: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataF
     nodes.append(_node(df, language="solidity", ord=base + 1 + F.col("fn_ord"), group="function", label=F.col("fn_name"), is_entrypoint=entry, state_reads=reads, state_writes=F.col("mutations"), guards=F.array_distinct(F.filter(F.transform("guards", lambda g: F.trim(g)), lambda g: g != "")), modifiers=F.col("used")))
     state = df.select("path", "type_name", "at", F.posexplode(F.array_union("state", "objects")).alias("k", "name")).distinct()
     nodes.append(_node(state, language="solidity", ord=base + _STATE + F.col("k"), group="state", label=F.col("name"), kind="state_variable"))
-    # a contract's own text reaches to the next contract of the file
-    spans = types.join(sources.select("path", "content"), "path").select("path", "type_name", "at", "content")
-    ends = spans.select("path", F.col("at").alias("from")).join(types.select("path", F.col("at").alias("to")), "path").where("to > from").groupBy("path", "from").agg(F.min("to").alias("to"))
-    own = spans.join(ends.withColumnRenamed("from", "at"), ["path", "at"], "left").select("path", "type_name", "at", F.substring("content", F.col("at").cast("int"), (F.coalesce("to", F.length("content") + 1) - F.col("at")).cast("int")).alias("own"))
-    found = lambda pattern: F.array_distinct(F.regexp_extract_all("own", F.lit(pattern), 1))
-    events = own.select("path", "type_name", "at", F.posexplode(found(r"\bevent\s+(\w+)\s*\(")).alias("k", "name"))
+    events = solidity_graph.events_of(own)
     nodes.append(_node(events, language="solidity", ord=base + _EVENT + F.col("k"), group="event", label=F.col("name")))
-    declared = own.select("path", "type_name", "at", F.explode(found(r"\bmodifier\s+(\w+)")).alias("name"), F.lit("declared").alias("origin"))
+    declared = own.select("path", "type_name", "at", F.explode(F.array_distinct(F.regexp_extract_all("own", F.lit(r"\bmodifier\s+(\w+)"), 1))).alias("name"), F.lit("declared").alias("origin"))
     used = df.select("path", "type_name", "at", F.explode("used").alias("name"), F.lit("inherited_or_external").alias("origin"))
     each = declared.unionByName(used).groupBy("path", "type_name", "at", "name").agg(F.min("origin").alias("kind"))
     nodes.append(_node(each, language="solidity", ord=base + _MODIFIER, group="modifier", label=F.col("name")))
     # edges by names, with the arguments of calls between functions of a contract
-    links = solidity_graph.edges(contracts, solidity_graph.events_of(sources)).where("kind <> 'function_to_object'").withColumn("label", F.lit(""))
+    links = solidity_graph.edges(contracts, events).where("kind <> 'function_to_object'").withColumn("label", F.lit(""))
     links = links.unionByName(solidity_graph.object_edges(contracts))
     params = contracts.select("path", "type_name", "fn_name", "body", "state", extract.param_names(extract.inputs(F.col("params"))).alias("names"))
     caller = params.select("path", F.col("type_name").alias("source_type"), F.col("fn_name").alias("source_name"), "body", "state", F.col("names").alias("caller_params")).dropDuplicates(["path", "source_type", "source_name"])
@@ -179,7 +174,8 @@ def rust(sources: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame
 
 def model(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of payload.NODE and payload.EDGE of all files of sources."""
-    kept = Facts(sources.sparkSession)
-    functions = kept.functions(sources)
-    parts = [solidity(sources.where("language = 'solidity'"), kept.contracts(sources)), c(sources, functions), rust(sources, functions)]
+    kept, spark = Facts(sources.sparkSession), sources.sparkSession
+    # many joins read them: found once, by files
+    functions, contracts = Rounds(spark, "functions").save(kept.functions(sources)), Rounds(spark, "contracts").save(kept.contracts(sources))
+    parts = [solidity(sources.where("language = 'solidity'"), contracts), c(sources, functions), rust(sources, functions)]
     return _union([n for n, _ in parts]), _union([e for _, e in parts])

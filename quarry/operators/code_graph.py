@@ -1,11 +1,10 @@
-"""Nodes and edges of C and Rust code: files, functions, structures and who calls or uses what."""
+"""Patterns of C, Graphviz text of any graph, and edges between the files of a bundle."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions import text as T
-from quarry.operators import keyed
 
 # Words before a parenthesis that are no calls.
 NO_CALLS = ["if", "for", "while", "switch", "case", "do", "else", "return", "sizeof", "alignof", "offsetof", "typeof", "__typeof", "_Generic", "_Static_assert", "static_assert", "FD_LIKELY", "FD_UNLIKELY", "FD_TEST"]
@@ -13,33 +12,6 @@ STRUCT_HEAD = r"\bstruct\s+([A-Za-z_]\w*)\s*\{"
 INCLUDE = r'#include\s+[<"]([^>"]+\.c)[>"]'
 
 
-def nodes(sources: DataFrame, functions: DataFrame) -> DataFrame:
-    """id, group, label, parent, path; an id that comes twice keeps its first row."""
-    files = sources.where("language in ('c', 'rust')").select(F.concat(F.lit("type:"), T.basename(F.col("path"))).alias("id"), F.lit("type").alias("group"), T.basename(F.col("path")).alias("label"), F.lit("").alias("parent"), "path", F.lit(0).alias("ord"))
-    parent = F.concat(F.lit("type:"), T.basename(F.col("path")))
-    fns = functions.select(F.concat(F.lit("function:"), "type_name", F.lit("."), "fn_name").alias("id"), F.lit("function"), F.col("fn_name"), parent, "path", F.col("fn_ord"))
-    structs = sources.where("language = 'c'").select("path", F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(STRUCT_HEAD), 1))).alias("ord", "name"))
-    states = structs.select(F.concat(F.lit("state:"), F.col("name")), F.lit("state"), F.col("name"), parent, "path", "ord")
-    includes = sources.where("language = 'c'").select("path", F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(INCLUDE), 1))).alias("ord", "name"))
-    templates = includes.select(F.concat(F.lit("inc:"), T.basename(F.col("name"))), F.lit("include"), F.col("name"), parent, "path", "ord")
-    return keyed.first_wins(files.union(fns).union(states).union(templates), ["id"], ["path", "ord"], "group", "label", "parent", "path")
-
-
-def edges(sources: DataFrame, functions: DataFrame) -> DataFrame:
-    """id, source, target, kind: calls between functions of a file, uses of structures, includes; without repeats."""
-    own = F.concat(F.lit("function:"), "type_name", F.lit("."), F.col("fn_name"))
-    calls = functions.select("path", "type_name", own.alias("source"), "fn_name", F.explode(T.call_tokens(F.col("body"), NO_CALLS)).alias("callee"))
-    known = functions.select("path", F.col("fn_name").alias("callee")).distinct()
-    calls = calls.join(known, ["path", "callee"]).where("callee <> fn_name").select("source", F.concat(F.lit("function:"), "type_name", F.lit("."), "callee").alias("target"), F.lit("function_to_function").alias("kind"))
-    structs = sources.where("language = 'c'").select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(STRUCT_HEAD), 1))).alias("name"))
-    uses = functions.where("language = 'c'").select("path", own.alias("source"), F.concat_ws(" ", "params", "body").alias("text")).select("path", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\*|\bstruct\s+([A-Za-z_]\w*)"), 0))).alias("use"))
-    uses = uses.select("path", "source", F.regexp_extract("use", r"(\w+)\s*\*?$", 1).alias("name")).distinct().join(structs, ["path", "name"]).select("source", F.concat(F.lit("state:"), "name").alias("target"), F.lit("state_to_function").alias("kind"))
-    includes = sources.where("language = 'c'").select(F.concat(F.lit("type:"), T.basename(F.col("path"))).alias("source"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(INCLUDE), 1), T.basename))).alias("name"))
-    includes = includes.select("source", F.concat(F.lit("inc:"), "name").alias("target"), F.lit("function_to_include_template").alias("kind"))
-    every = calls.union(uses).union(includes).distinct()
-    return every.select(T.short_digest(F.concat_ws(">", "source", "kind", "target"), 12).alias("id"), "source", "target", "kind")
-
-
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One line of Graphviz text for each node and edge."""
     q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit("")), F.lit('"'))

@@ -30,8 +30,3 @@ def color(name: Column, fixed: dict[str, str]) -> Column:
     for k, v in fixed.items():
         out = F.when(F.lower(name) == k, v).otherwise(out)
     return out
-
-
-def prefixed(tag: Column, df: DataFrame, *ids: str) -> DataFrame:
-    """Ids of one bundle member, told apart by its name."""
-    return df.withColumns({c: F.concat(tag, F.lit("::"), F.col(c)) for c in ids})

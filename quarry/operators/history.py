@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -82,21 +81,6 @@ def catalog_hash(*catalogs) -> str:
     return hashlib.sha256("".join(json.dumps(c, sort_keys=True, separators=(",", ":")) for c in catalogs).encode()).hexdigest()
 
 
-def bundle_members(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """The files (path, content) that a manifest (members: array of structures with a path) names, in order of their paths.
-
-    Blank paths are passed over. A member without a file, or no member at all, is an error (``invalid_path``).
-    """
-    wanted = manifest.select(F.explode("members.path").alias("path")).where("coalesce(path, '') <> ''").distinct()
-    both = wanted.join(files.withColumn("_found", F.lit(True)), "path", "left")
-    missing = both.where("_found is null").agg(F.min("path")).first()[0]
-    if missing is not None:
-        raise ValueError(f"invalid_path: bundle member is missing: {missing}")
-    if not wanted.limit(1).count():
-        raise ValueError("invalid_path: the manifest names no files")
-    return both.drop("_found").orderBy("path")
-
-
 class History:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -15,10 +15,6 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column | str], n: int
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def sorted_join(c: Column | str, by: str = ",") -> Column:
-    return F.array_join(F.sort_array(F.collect_set(c)), by)
-
-
 def set_digest(name: Column, content: Column) -> Column:
     """sha256 over the sorted (name, NUL, digest of the content) of a group: independent of the order of its rows."""
     return F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat(name, F.lit("\0"), F.sha2(content, 256)))), ""), 256)
@@ -43,19 +39,34 @@ def newest(df: DataFrame, stamp: str, ident: str, n: int) -> DataFrame:
 def contains_join(texts: DataFrame, text: str, parts: DataFrame, part: str, ids: list[str], part_ids: list[str], words: int = 5) -> DataFrame:
     """Rows of texts with the rows of parts that occur in them as substrings.
 
-    A part's second to sixth words (all delimited inside the part) must be words of the text, so the join is on a hash
-    of them, over ids and hashes alone; texts come back for the pairs found, each once. Shorter parts are tested against
-    every text.
+    A part's inner words (all but the first and last, which may go on in the text; ``words`` at most) must be words of the
+    text, so the join is on a hash of them, over ids and hashes alone; texts come back for the pairs found, each once. There
+    are a few numbers of inner words, and texts are cut for those that occur. Only parts of one or two words are tested
+    against every text. Null ids are ids like others; null texts and parts hold and are nothing.
     """
     split = lambda c: F.split(c, "[ \n]", -1)
-    parts = parts.withColumn("_w", split(F.col(part)))
-    long_parts = parts.where(F.size("_w") >= words + 2).withColumn("_k", F.xxhash64(F.slice("_w", 2, words)))
+    inner = F.least(F.size("_w") - 2, F.lit(words))
+    parts = parts.where(F.col(part).isNotNull()).withColumn("_w", split(F.col(part))).withColumn("_m", F.greatest(inner, F.lit(0)))
     texts = texts.where(F.col(text).isNotNull())
-    windows = texts.withColumn("_t", split(F.col(text)))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_t", i, words))))
-    windows = windows.select(*ids, F.explode(keys).alias("_k"))
-    pairs = windows.join(long_parts.select(*part_ids, "_k"), "_k").select(*ids, *part_ids).distinct()
-    found = pairs.join(parts.drop("_w"), part_ids).join(texts, ids).where(F.contains(text, F.col(part)))
-    found = found.select(*texts.columns, *[c for c in parts.columns if c != "_w"])
-    short = parts.where(F.size("_w") < words + 2).drop("_w")
-    return found.unionByName(texts.join(short, F.contains(text, F.col(part))))
+    same = lambda a, b, names: F.expr(" and ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in names))
+    pairs = None
+    for m in sorted(r["_m"] for r in parts.select("_m").distinct().where("_m > 0").collect()):
+        wanted = parts.where(F.col("_m") == m).select(*part_ids, F.xxhash64(F.slice("_w", 2, m)).alias("_k"))
+        windows = texts.withColumn("_t", split(F.col(text)))
+        keys = _word_windows(m)
+        found = windows.select(*ids, F.explode(keys).alias("_k")).join(wanted, "_k").select(*ids, *part_ids)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    names = [c for c in parts.columns if c not in ("_w", "_m")]
+    short = parts.where("_m = 0").select(*names)
+    out = texts.join(short, F.contains(text, F.col(part)))
+    if pairs is None:
+        return out
+    pairs = pairs.distinct().alias("p")
+    met = pairs.join(parts.select(*names).alias("q"), same("p", "q", part_ids)).select(*[F.col(f"p.`{c}`") for c in ids], *[F.col(f"q.`{c}`") for c in names]).alias("r")
+    whole = met.join(texts.alias("t"), same("r", "t", ids)).select(*[F.col(f"t.`{c}`") for c in texts.columns], *[F.col(f"r.`{c}`") for c in names])
+    return whole.where(F.contains(text, F.col(part))).unionByName(out)
+
+
+def _word_windows(m: int) -> Column:
+    """Hashes of all runs of m words of _t."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - (m - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_t", i, m))))

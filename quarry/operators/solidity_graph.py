@@ -1,4 +1,4 @@
-"""Nodes and edges of Solidity code: contracts, functions, state, events, modifiers, and who reads, calls or emits what.
+"""Edges of Solidity code by names: who reads, calls or emits what.
 
 Candidates meet the bodies of their own contract (or of a contract that inherits from it or names it as an interface) in
 equality joins on path and contract; names are then looked for in the body. Edges run from the caller to what it calls.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.operators import calls, extract, keyed
+from quarry.operators import extract
 
 # Functions of the system, looked for by name.
 SYSTEM = [
@@ -36,10 +36,23 @@ def calls_of(body: Column, name: Column) -> Column:
     return F.contains(body, F.concat(name, F.lit("("))) & ~F.contains(body, F.concat(F.lit("_"), name))
 
 
-def events_of(sources: DataFrame) -> DataFrame:
-    """path, name of each event that a file declares."""
-    found = F.regexp_extract_all("content", F.lit(r"\bevent\s+(\w+)\s*\("), 1)
-    return sources.where("language = 'solidity'").select("path", F.explode(F.array_distinct(found)).alias("name"))
+def own_texts(sources: DataFrame, contracts: DataFrame) -> DataFrame:
+    """path, type_name, at, own: each type's place in its file and its text, which reaches to the next type."""
+    texts = sources.where("language = 'solidity'").select("path", "content")
+    named = contracts.select("path", "type_name").distinct().join(texts, "path")
+    at = F.greatest(*[F.regexp_instr("content", F.concat(F.lit(rf"\b{word}\s+"), F.col("type_name"), F.lit(r"\b"))) for word in ("contract", "library", "interface")])
+    spans = named.select("path", "type_name", at.cast("long").alias("at"), "content")
+    # the types of a file are few: their places meet in one row
+    places = spans.groupBy("path").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    following = F.get(F.filter("places", lambda x: x > F.col("at")), F.lit(0))
+    end = F.coalesce(following, F.length("content") + 1)
+    return spans.join(places, "path").select("path", "type_name", "at", F.substring("content", F.col("at").cast("int"), (end - F.col("at")).cast("int")).alias("own"))
+
+
+def events_of(own: DataFrame) -> DataFrame:
+    """path, type_name, at, k, name of the events that each type declares, in their order."""
+    found = F.array_distinct(F.regexp_extract_all("own", F.lit(r"\bevent\s+(\w+)\s*\("), 1))
+    return own.select("path", "type_name", "at", F.posexplode(found).alias("k", "name"))
 
 
 def object_edges(contracts: DataFrame) -> DataFrame:
@@ -51,7 +64,7 @@ def object_edges(contracts: DataFrame) -> DataFrame:
 
 
 def edges(contracts: DataFrame, events: DataFrame) -> DataFrame:
-    """The columns EDGE for contracts (path, type_name, parents, interfaces, objects, state, fn_ord, fn_name, body); no edge twice."""
+    """The columns EDGE for contracts (path, type_name, parents, interfaces, objects, state, fn_ord, fn_name, body) and events_of; no edge twice."""
     c = F.col
     of = contracts.select("path", "type_name", F.array_union("parents", "interfaces").alias("owners"), "state", "fn_name", "body")
     body = of.select("path", "type_name", "owners", c("fn_name").alias("caller"), "body")
@@ -65,7 +78,7 @@ def edges(contracts: DataFrame, events: DataFrame) -> DataFrame:
     inner = row(own(named).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), target, F.lit("function_to_function"))
     system = body.select("*", F.explode(F.filter(F.array(*[F.lit(x) for x in SYSTEM]), lambda x: calls_of(c("body"), x))).alias("name"))
     system = row(system, c("type_name"), c("caller"), F.lit(""), c("name"), F.lit("function_to_system"))
-    emitted = body.select("*", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\bemit\s+(\w+)\s*\("), 1))).alias("name")).join(events, ["path", "name"], "left_semi")
+    emitted = body.select("*", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\bemit\s+(\w+)\s*\("), 1))).alias("name")).join(events, ["path", "type_name", "name"], "left_semi")
     emitted = row(emitted, c("type_name"), c("caller"), c("type_name"), c("name"), F.lit("function_to_event"))
     past = row(heirs.join(state, ["path", "owner"]).where(touches(c("body"), c("name"))), c("owner"), c("name"), c("type_name"), c("caller"), F.lit("cross_type_state"))
     above = row(heirs.join(named, ["path", "owner"]).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), c("name"), F.lit("cross_type_call"))
@@ -73,32 +86,3 @@ def edges(contracts: DataFrame, events: DataFrame) -> DataFrame:
     for part in (inner, system, emitted, past, above, object_edges(contracts).select(*EDGE)):
         out = out.unionByName(part)
     return out.distinct()
-
-
-def nodes(contracts: DataFrame, sources: DataFrame) -> DataFrame:
-    """id, group, type_name, label, parent, path, ord; modifiers are those declared and those in heads of functions."""
-    c = F.col
-    of = lambda group, t, label: F.concat(F.lit(f"{group}:"), t, F.lit("."), label)
-    row = lambda df, id_, group, t, label, parent, ord_: df.select(id_.alias("id"), F.lit(group).alias("group"), t.alias("type_name"), label.alias("label"), parent.alias("parent"), "path", ord_.cast("int").alias("ord"))
-    home = F.concat(F.lit("type:"), "type_name")
-    out = row(contracts.select("path", "type_name").distinct(), home, "type", c("type_name"), c("type_name"), F.lit(""), F.lit(0))
-    out = out.unionByName(row(contracts, of("function", c("type_name"), c("fn_name")), "function", c("type_name"), c("fn_name"), home, c("fn_ord")))
-    state = contracts.select("path", "type_name", F.posexplode("state").alias("at", "name")).distinct()
-    out = out.unionByName(row(state, of("state", c("type_name"), c("name")), "state", c("type_name"), c("name"), home, c("at")))
-    first = contracts.groupBy("path").agg(F.min("type_name").alias("type_name"))
-    declared = sources.where("language = 'solidity'").select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\bmodifier\s+(\w+)"), 1))).alias("name")).join(first, "path")
-    used = contracts.select("path", "type_name", F.explode(F.split(F.regexp_replace("modifiers", r"\([^)]*\)", " "), r"[\s,]+", -1)).alias("name")).where(~c("name").isin(NO_MODIFIERS) & c("name").rlike(r"^[A-Za-z_]\w*$"))
-    modifiers = declared.select("path", "type_name", "name").union(used.select("path", "type_name", "name")).distinct()
-    out = out.unionByName(row(modifiers, of("modifier", c("type_name"), c("name")), "modifier", c("type_name"), c("name"), home, F.lit(0)))
-    events = events_of(sources).join(first, "path")
-    out = out.unionByName(row(events, of("event", c("type_name"), c("name")), "event", c("type_name"), c("name"), home, F.lit(0)))
-    return keyed.first_wins(out, ["id"], ["path", "ord"], "group", "type_name", "label", "parent", "path", "ord")
-
-
-def graph(contracts: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with those outside of the code, and edges with ids; ends are looked up in their type first."""
-    inner = nodes(contracts, sources)
-    links, externals = calls.resolve_endpoints(edges(contracts, events_of(sources)).withColumn("ord", F.lit(0)), inner)
-    outside = externals.select("id", "group", F.lit("").alias("type_name"), "label", F.lit("").alias("parent"), F.lit("").alias("path"), F.lit(0).alias("ord"))
-    named = links.select(F.left(F.sha2(F.concat_ws(">", "source", "kind", "target"), 256), F.lit(12)).alias("id"), "source", "target", "kind").distinct()
-    return inner.unionByName(outside), named

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.operators import calls, evidence, solidity_graph, solidity_rules
+from quarry.operators import adapters, calls, evidence, payload, solidity_graph, solidity_rules
 from quarry.sources import code
 from quarry.sources.facts import Facts
 
@@ -166,7 +166,7 @@ contract Base {
   address owner;
   event Moved(address a);
   modifier onlyOwner() { require(msg.sender == owner); _; }
-  function init(address who) public { owner = who; check(who); }
+  function init(address who) public { owner = who; check(who); emit Moved(who); }
   function check(address who) internal { assert(who != address(0)); }
 }
 contract Bank is Base {
@@ -182,7 +182,7 @@ SOLIDITY_EDGES = [
     ("function:Base.init", "function:Base.check", "function_to_function"),
     ("function:Base.check", "external:assert", "function_to_system"),
     ("state:Bank.total", "function:Bank.give", "state_to_function"),
-    ("function:Bank.give", "event:Bank.Moved", "function_to_event"),
+    ("function:Base.init", "event:Base.Moved", "function_to_event"),
     ("state:Bank.paid", "function:Bank.take", "state_to_function"),
     ("function:Bank.take", "function:Bank.give", "function_to_function"),
     ("function:Bank.take", "function:Base.check", "cross_type_call"),
@@ -206,24 +206,24 @@ def _token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, [("t/Bank.sol", 0, "solidity", TOKEN)], code.SOURCES, path=_AT, content=_bank("content")).drop("k")
 
 
-@query(f"with {spread_sql(SOLIDITY_EDGES, 'e', 'source, target, kind', source=_bank('source'), target=_bank('target'))} select source, target, kind, left(sha256(source || '>' || kind || '>' || target), 12) as id from e")
+@query(f"with {spread_sql(SOLIDITY_EDGES, 'e', 'source, target, kind', source=_bank('source'), target=_bank('target'))} select source, target, kind from e")
 def solidity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _token(spark, sf_dir)
-    return solidity_graph.graph(Facts(spark).contracts(src), src)[1]
+    """Edges of contracts, whose events and modifiers are their own."""
+    return payload.payload(*adapters.model(_token(spark, sf_dir)))[1].select("source", "target", "kind")
 
 
 SOLIDITY_NODES = [
     ("type:Base", "type", ""), ("type:Bank", "type", ""), ("function:Base.init", "function", "type:Base"), ("function:Base.check", "function", "type:Base"),
     ("function:Bank.give", "function", "type:Bank"), ("function:Bank.take", "function", "type:Bank"), ("function:Bank.old_give", "function", "type:Bank"),
     ("state:Base.owner", "state", "type:Base"), ("state:Bank.total", "state", "type:Bank"), ("state:Bank.paid", "state", "type:Bank"),
-    ("event:Bank.Moved", "event", "type:Bank"), ("modifier:Bank.onlyOwner", "modifier", "type:Bank"), ("external:assert", "external", ""), ("external:revert", "external", ""),
+    ("event:Base.Moved", "event", "type:Base"), ("modifier:Base.onlyOwner", "modifier", "type:Base"), ("modifier:Bank.onlyOwner", "modifier", "type:Bank"), ("external:assert", "external", ""), ("external:revert", "external", ""),
 ]
 
 
 @query(f"with {spread_sql(SOLIDITY_NODES, 'n', 'id, grp, parent', id=_bank('id'), parent=_bank('parent'))} select distinct id, grp, parent from n")
 def solidity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _token(spark, sf_dir)
-    return solidity_graph.graph(Facts(spark).contracts(src), src)[0].select("id", F.col("group").alias("grp"), "parent")
+    nodes, _ = payload.payload(*adapters.model(_token(spark, sf_dir)))
+    return nodes.select("id", F.col("group").alias("grp"), "parent").distinct()
 
 
 OBJECTS = """interface IFeed { function rate(uint x) external; }
@@ -279,7 +279,7 @@ def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges of contracts that name an interface without inheriting from it."""
     contracts, src = _shop(spark, sf_dir)
-    return solidity_graph.edges(contracts, solidity_graph.events_of(src)).drop("path")
+    return solidity_graph.edges(contracts, solidity_graph.events_of(solidity_graph.own_texts(src, contracts))).drop("path")
 
 
 @query()

@@ -274,3 +274,22 @@ def guard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"state_accesses": state_accesses, "guard_facts": guard_facts}
 SQL |= {"state_accesses": _READS, "guard_facts": f"with {derived.sql('solidity')}, {derived.functions_sql('solidity')} " + " union all ".join(_GUARDS)}
+
+
+#: The common tables of _FACTS up to w, which the rules read on.
+_RUST_FACTS = _FACTS[: _FACTS.index("v as (select")].rstrip().rstrip(",")
+_TIGHT = "replace(u, ' ', '')"
+SQL["rust_facts"] = f"""with {derived.sql('contract')}, {_RUST_FACTS} select path, name as function_name, visibility, contract and visibility in ('external', 'crate') as is_entrypoint, {_re('u', r'\.require_auth\s*\(|require_auth_for_args\s*\(')} as calls_require_auth,
+  contains(low, 'extend_ttl') as calls_extend_ttl, inst as writes_instance, pers as writes_persistent, temp as writes_temporary, inst or pers or temp as mutates, contains(u, '.storage()') as reads_any_storage,
+  contains(replace({_TIGHT}, 'try_invoke_contract', ''), 'invoke_contract(') as invoke_contract_plain, contains({_TIGHT}, 'try_invoke_contract') as try_invoke_contract, contains({_TIGHT}, 'invoke_contract(') as invoke_or_try,
+  {_re('u', r'\bpanic\s*!\s*\(')} as panic_bare, {_re('u', r'\b(?:assert|debug_assert)\s*!\s*\(')} as panic_assert, contains({_TIGHT}, 'panic_with_error!(') as panic_with_error, {_any('u', ['for ', '.iter()', ' while '])} and contains(u, '.storage()') and {_any('u', ['.get(', '.has('])} as reads_storage_in_loop,
+  {_any('u', ['.get(', '.has('])} as reads_storage_flat, starts_with(name, '__constructor') as constructor_like, {_re('signature', r'\bVec\s*<|\bMap\s*<')} as params_have_vec_map, contract as within_contractimpl from w"""
+
+
+def rust_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of the public functions of the derived contracts."""
+    src = derived.sources(spark, sf_dir, "contract")
+    return R.all_facts(R.with_facts(Facts(spark).functions(src), src))
+
+
+QUERIES["rust_facts"] = rust_facts

@@ -80,12 +80,16 @@ def call_edges(spark, sf_dir):
     return edges.groupBy("callee").agg(F.min("p_partkey").alias("first_caller"), F.count_distinct("p_partkey").alias("callers")).withColumn("edge_id", T.short_digest(F.col("callee"), 12))
 
 
-@query("""select page_id, case when o = 0 then '' when c = 0 then substr(html, o + 1) else substr(html, o + 1, c - 1) end as body
-from (select page_id, html, instr(html, '{') as o, instr(substr(html, instr(html, '{') + 1), '}') as c from pages)
-where not contains(case when c = 0 then substr(html, o + 1) else substr(html, o + 1, greatest(c - 1, 0)) end, '{') or o = 0""")
+@query("""with p as (select page_id, repeat('{a', (page_id % 7)::int) || coalesce(html, '') || repeat('}', (page_id % 5)::int) as t from pages), c as (select page_id, unnest(range(1, length(t) + 1)) as pos, unnest(string_split(t, '')) as ch from p),
+m as (select page_id, pos, ch, sum(case ch when '{' then 1 else -1 end) over (partition by page_id order by pos) as total from c where ch in ('{', '}')),
+o as (select page_id, min(pos) as o from m where ch = '{' group by page_id),
+l as (select m.page_id, pos, o, total - least(0, min(total) over (partition by m.page_id order by pos)) as level from m join o on o.page_id = m.page_id),
+e as (select page_id, o, min(pos) filter (level = 0 and pos > o) as z from l group by page_id, o)
+select p.page_id, coalesce(case when z is null then substr(t, o + 1) else substr(t, o + 1, z - o - 1) end, '') as body from p left join e using (page_id)""")
 def brace_bodies(spark, sf_dir):
-    body = table(spark, sf_dir, "pages").select("page_id", T.first_braces(F.coalesce("html", F.lit(""))).alias("body"))
-    return body.where(~F.contains("body", F.lit("{")))
+    """What the first brace of pages, inside up to six more, encloses, with all that is nested in it."""
+    text = F.expr("repeat('{a', int(page_id % 7)) || coalesce(html, '') || repeat('}', int(page_id % 5))")
+    return table(spark, sf_dir, "pages").select("page_id", T.first_braces(text).alias("body"))
 
 
 @query("""with f as (select event_id, user_id, event_type, bool_or(event_type = 'signup') over (partition by user_id order by ts, event_id rows between 3 preceding and 1 preceding) as seen from events)

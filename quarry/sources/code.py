@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions import text as T
+from quarry.operators import shared
+from quarry.operators.frames import ranked
 
 SOURCES = "path string, file_ord int, language string, content string"
 FUNCTIONS = "path string, file_ord int, language string, type_name string, fn_ord int, fn_name string, visibility string, params string, signature string, body string"
@@ -20,14 +22,53 @@ LANGUAGES = {".sol": "solidity", ".c": "c", ".h": "c", ".rs": "rust"}
 NOT_FUNCTIONS = {"if", "for", "while", "switch", "do", "else", "return", "case", "typedef", "struct", "enum", "union", "sizeof", "alignof", "offsetof", "assert", "FD_TEST", "FD_LIKELY", "FD_UNLIKELY", "defined", "extern"}
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """All source files below a path that Spark can list; bytes that are no UTF-8 are replaced."""
+def read_sources(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """All source files below a path that Spark can list, numbered in order of their paths.
+
+    Bytes that are no UTF-8 are replaced; strict: they fail the read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     language = F.lit(None).cast("string")
     for suffix, name in LANGUAGES.items():
         language = F.when(T.extension(F.col("path")) == suffix, name).otherwise(language)
-    files = files.select("path", language.alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).where("language is not null")
-    return files.select("path", F.pmod(F.xxhash64("path"), F.lit(1 << 31)).cast("int").alias("file_ord"), "language", "content")
+    text = (F.validate_utf8 if strict else F.make_valid_utf8)(F.col("content").cast("string"))
+    files = files.select("path", language.alias("language"), text.alias("content")).where("language is not null")
+    # paths alone are put in order, contents stay where they are
+    places = ranked(files.select("path"), ["path"], "nth").select("path", (F.col("nth") - 1).cast("int").alias("file_ord"))
+    return files.join(places, "path").select("path", "file_ord", "language", "content")
+
+
+#: Fixed value: the file that names the members of a bundle.
+MANIFEST = "bundle_manifest.json"
+
+
+def read_target(spark: SparkSession, path: str) -> DataFrame:
+    """The files of what is to be analysed: those that a bundle's manifest names, in order of their paths, or what lies below the path.
+
+    A member without a file, or a manifest without members, is an error (``invalid_path``).
+    """
+    manifest = f"{path.rstrip('/')}/{MANIFEST}"
+    if not shared.exists(spark, manifest):
+        return read_sources(spark, path)
+    files = read_sources(spark, path)
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("^" + re.escape(re.sub("^file:/+", "/", path.rstrip("/"))) + "/"), F.lit(""))
+    named = spark.read.option("multiLine", True).json(manifest)
+    return bundle_members(named, files.withColumn("path", below)).select("path", "file_ord", "language", "content")
+
+
+def bundle_members(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The files (path, ...) that a manifest (members: array of structures with a path) names, in order of their paths.
+
+    Blank paths are passed over. A member without a file, or no member at all, is an error (``invalid_path``).
+    """
+    wanted = manifest.select(F.explode("members.path").alias("path")).where("coalesce(path, '') <> ''").distinct()
+    both = wanted.join(files.withColumn("_found", F.lit(True)), "path", "left")
+    missing = both.where("_found is null").agg(F.min("path")).first()[0]
+    if missing is not None:
+        raise ValueError(f"invalid_path: bundle member is missing: {missing}")
+    if not wanted.limit(1).count():
+        raise ValueError("invalid_path: the manifest names no files")
+    return both.drop("_found").orderBy("path")
 
 
 def stem(path: str) -> str:

@@ -3,14 +3,13 @@ import json
 import threading
 
 import pytest
-from pyspark.sql import functions as F
 
+from quarry import api
 from quarry.operators import calls, code_graph, graph
-from quarry.operators.history import ARTIFACT, FINDING, SCAN, History, bundle_members, bundles, catalog_hash, tool_version
+from quarry.operators.history import ARTIFACT, FINDING, SCAN, History, bundles, catalog_hash, tool_version
 from quarry.api import AuditError
 from quarry.plans import audit
-from quarry.sources import code
-from quarry.sources.code import SOURCES
+from quarry.sources.code import SOURCES, bundle_members, read_sources, read_target
 
 
 def test_history(spark, tmp_path):
@@ -102,15 +101,14 @@ def test_scans_are_kept(spark, tmp_path):
     source = h.source(1)
     found = audit.findings(source)
     kept = found.selectExpr("row_number() over (order by task_id, idx) - 1 as ord", "rule_id", "'' as type_name", "function_name", "message as source_statement", "'' as statement", "message")
-    fns = code.functions_of(source)
-    ok = h.save_ok(1, "auditor", "all", kept, "2024-01-02", ["114"], tool_version("v7"), catalog_hash([list(r) for r in audit.RULES]), 5, (code_graph.nodes(source, fns), code_graph.edges(source, fns)))
+    ok = h.save_ok(1, "auditor", "all", kept, "2024-01-02", ["114"], tool_version("v7"), catalog_hash([list(r) for r in audit.RULES]), 5, api.graph(source))
     plain = h.save_ok(1, "legacy", "114", kept, "2024-01-03", ["114"])
     bad = h.save_failed(1, "auditor", "9", AuditError("unknown_task", "9"), "2024-01-04")
     assert (ok, plain, bad) == (1, 2, 3)
     rows = {r.id: r for r in h.list_scans(1).collect()}
     assert rows[1].findings_count == len(h.get_findings(1).collect()) == 1 and rows[1].tool_version == "v7" and len(rows[1].rules_catalog_hash) == 64
     assert (rows[3].status, rows[3].error_code, rows[3].error_message, rows[3].findings_count) == ("error", "unknown_task", "unknown_task: 9", 0)
-    assert {json.loads(r.body)["id"] for r in h.get_graph(1).where("part = 'node'").collect()} == {"type:a.c", "function:a.f"}
+    assert {json.loads(r.body)["id"] for r in h.get_graph(1).where("part = 'node'").collect()} == {"tile:a", "function:a.c.f", "external:unresolved_symbol:bls_aggregate"}
     assert h.get_graph(2) is None and h.export_graph(2, "t") is None and json.loads(h.export_graph(1, "t").first().line)["exported_at"] == "t"
     h.soft_delete(1, "2024-01-05")
     for read in (h.get_findings, h.get_graph):
@@ -125,14 +123,13 @@ def test_scans_are_kept(spark, tmp_path):
 
 
 def test_graph(spark):
-    text = '#include "lib/pool.c"\nstruct w { int v; };\nstatic int get( struct w * x ) { return x->v; }\nint sum( w * x ) { return get( x ) + get( x ) + other( x ); }\n'
-    src = spark.createDataFrame([("m.c", 0, "c", text)], SOURCES)
-    fns = code.functions_of(src)
-    nodes, edges = code_graph.nodes(src, fns), code_graph.edges(src, fns)
-    assert sorted(r.id for r in nodes.collect()) == ["function:m.get", "function:m.sum", "inc:pool.c", "state:w", "type:m.c"]
-    assert sorted((r.source, r.target) for r in edges.collect()) == [("function:m.get", "state:w"), ("function:m.sum", "function:m.get"), ("function:m.sum", "state:w"), ("type:m.c", "inc:pool.c")]
-    assert graph.drop_dangling(nodes, edges.union(spark.createDataFrame([("i", "type:m.c", "gone", "k")], edges.schema))).count() == 4
-    assert code_graph.dot(nodes, edges).count() == 9
+    text = '#include "lib/pool.c"\nstruct w { int v; };\nstatic int get( struct w * x ) { return x->v; }\nint sum( struct w * x ) { return get( x ) + get( x ) + other( x ); }\n'
+    nodes, edges = api.graph(spark.createDataFrame([("m.c", 0, "c", text)], SOURCES))
+    assert sorted(r.id for r in nodes.collect()) == ["external:unresolved_symbol:other", "function:m.c.get", "function:m.c.sum", "tile:m", "workspace:inc:pool.c", "workspace:w"]
+    assert sorted((r.source, r.target) for r in edges.collect()) == [("function:m.c.get", "workspace:w"), ("function:m.c.sum", "external:unresolved_symbol:other"), ("function:m.c.sum", "function:m.c.get"), ("function:m.c.sum", "workspace:w"), ("tile:m", "workspace:inc:pool.c")]
+    few = edges.select("id", "source", "target", "kind")
+    assert graph.drop_dangling(nodes, few.union(spark.createDataFrame([("i", "tile:m", "gone", "k")], few.schema))).count() == 5
+    assert code_graph.dot(nodes, edges).count() == 11
     rows = [("a", "", 1), ("b", "a", 2), ("y", "x", 5), ("x", "y", 3), ("early", "x", 0), ("late", "x", 9), ("z", "gone", 4), ("self", "self", 6)]
     kept = {r.id: r.kept for r in calls.drop_parent_cycles(spark.createDataFrame(rows, "id string, parent string, ord int")).collect()}
     # in order: early sees a cycle, x breaks it, so y and late keep their parents
@@ -146,3 +143,29 @@ def test_bundle_edges(spark):
     rows += [("c/main.c", 8, "c", '#include "pool.c"\n#include <util.h>'), ("c/pool.c", 9, "c", ""), ("c/util.h", 10, "c", ""), ("c/none.c", 11, "c", None)]
     got = sorted((r.source[5:], r.target[5:], r.kind) for r in code_graph.bundle_edges(spark.createDataFrame(rows, SOURCES)).collect())
     assert got == [("Main.sol", "token.sol", "bundle_import"), ("lib.rs", "auth.rs", "bundle_import"), ("lib.rs", "store.rs", "bundle_import"), ("main.c", "pool.c", "tile_to_tile"), ("main.c", "util.h", "tile_to_tile"), ("store.rs", "lib.rs", "bundle_import")]
+
+
+def test_files_and_bundles_are_read_in_order(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"f{k % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"f{k % 7}" / f"n{k}.c").write_bytes(b"int f%d; // \xff" % k)
+    got = [(r.path, r.file_ord) for r in read_sources(spark, str(tmp_path)).orderBy("file_ord").collect()]
+    assert [o for _, o in got] == list(range(30)) and [p for p, _ in got] == sorted(p for p, _ in got)
+    with pytest.raises(Exception, match="UTF"):
+        read_sources(spark, str(tmp_path), strict=True).select("content").collect()
+    assert read_target(spark, str(tmp_path)).count() == 30
+    (tmp_path / "bundle_manifest.json").write_text(json.dumps({"version": 1, "language": "c", "members": [{"path": "f2/n9.c", "sha256": ""}, {"path": "f0/n0.c", "sha256": ""}, {"path": "f0/n0.c", "sha256": ""}]}, indent=1))
+    assert [(r.path, r.content[:6]) for r in read_target(spark, str(tmp_path)).collect()] == [("f0/n0.c", "int f0"), ("f2/n9.c", "int f9")]
+    (tmp_path / "bundle_manifest.json").write_text(json.dumps({"members": [{"path": "f9/none.c"}]}))
+    with pytest.raises(ValueError, match="none.c"):
+        read_target(spark, str(tmp_path))
+
+
+def test_substrings_of_texts(spark):
+    from quarry.operators.keyed import contains_join
+
+    texts = [(1, "a b c d e f g h"), (None, "x b c d e f g h\ni"), (2, "prea bpost"), (2, "say one two"), (3, None), (4, "")]
+    parts = [(10, "a b c d e f g"), (None, "b c d e f g"), (11, "ea bp"), (12, "c d"), (13, "one"), (14, "y one tw"), (15, "e f g"), (16, None), (17, "q r s t")]
+    want = sorted(((i, t, j, p) for i, t in texts for j, p in parts if t is not None and p is not None and p in t), key=str)
+    t, p = spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(parts, "part long, item string")
+    assert sorted((tuple(r) for r in contains_join(t, "text", p, "item", ["doc"], ["part"]).collect()), key=str) == want and len(want) > 8
