@@ -17,6 +17,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "true"))
+        .config("spark.sql.codegen.factoryMode", os.environ.get("TEST_FACTORY", "FALLBACK"))
         .config("spark.sql.warehouse.dir", str(home / "warehouse"))
         .config("spark.checkpoint.dir", str(home / "shared"))
         .getOrCreate()
