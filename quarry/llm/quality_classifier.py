@@ -8,7 +8,8 @@ tail probability of ``least`` or more reaches ``cutoff``.
 Features, all hashed: words (once each), shapes of words (letters, capitals, digits as classes, runs collapsed, other
 characters as they are) by share of the words, and how many words repeat the one before.
 
-Ratings here: 0 poor, 1 good but toxic, 2 good and not toxic, from the labels; any number of grades works. Training takes
+Ratings here: 0 poor, 1 good but toxic, 2 good and not toxic, from the labels; any number of grades works, and ratings outside
+of them count as the nearest. Training takes
 at most SAMPLE whole documents of each grade, of at most sampling.SAMPLE_BYTES bytes together; scoring covers every whole
 text. ``cutoff`` comes from a part of the sample that is not trained on: the highest that keeps KEEP of its documents of ``least`` or more.
 
