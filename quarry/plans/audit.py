@@ -76,11 +76,10 @@ def language_of_task(task: str) -> str:
 def alerts(sources: DataFrame, task: str | None = None) -> DataFrame:
     """All alerts of the rules of each file's language; with a task those of its rule, and nothing else is computed."""
     kept = Facts(sources.sparkSession)
-    functions = kept.functions(sources)
     by_language = {
-        "c": lambda: c_rules.c_alerts(sources, code.statements_of(functions.where("language = 'c'")), task),
+        "c": lambda: c_rules.c_alerts(sources, code.statements_of(kept.functions(sources.where("language = 'c'"))), task),
         "solidity": lambda: solidity_rules.solidity_alerts(sources, task, kept.contracts(sources)),
-        "rust": lambda: rust_rules.rust_alerts(sources, functions, code.lines_of(sources), task),
+        "rust": lambda: rust_rules.rust_alerts(sources, lambda: kept.functions(sources.where("language = 'rust'")), code.lines_of(sources), task),
     }
     if task is not None:
         return by_language[language_of_task(task)]()
