@@ -3,7 +3,8 @@
 Tables of functions and contracts by digest of the content, language and version of the parser. A file whose content is known
 is never parsed again, whatever its path, so all rules, evidence and graphs of a run, and of later runs, read what one pass of
 the parsers wrote. New contents are appended; a row of ``done`` follows its facts, so facts that can be read are complete.
-Writers that parse the same content at once leave a batch each, of which the first by name is read.
+Every batch has a folder of its own, so writers don't
+meet; of batches that hold the same content the first by name is read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class Facts:
     def _table(self, name: str, schema) -> DataFrame:
         path = f"{self.root}/v{VERSION}/{name}"
         if shared.exists(self.spark, path):
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
         return self.spark.createDataFrame([], schema)
 
     def _of(self, kind: str, sources: DataFrame) -> DataFrame:
@@ -48,8 +49,8 @@ class Facts:
             batch = uuid.uuid4().hex
             parsed = parse(new.select(F.col("digest").alias("path"), F.lit(0).alias("file_ord"), "language", "content"))
             rows = parsed.select(F.col("path").alias("digest"), F.lit(batch).alias("batch"), *([] if "language" in own else [F.lit(languages[0]).alias("language")]), *own)
-            rows.write.mode("append").parquet(f"{self.root}/v{VERSION}/{kind}")
-            new.select("digest", "language", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.root}/v{VERSION}/{kind}-done")
+            rows.write.parquet(f"{self.root}/v{VERSION}/{kind}/{batch}")
+            new.select("digest", "language", F.lit(batch).alias("batch")).write.parquet(f"{self.root}/v{VERSION}/{kind}-done/{batch}")
         first = self._table(f"{kind}-done", DONE).groupBy("digest", "language").agg(F.min("batch").alias("batch"))
         facts = self._table(kind, kept).join(first, ["digest", "language", "batch"], "left_semi")
         stem = F.regexp_replace(T.basename(F.col("path")), r"(?s)^(.+)\.[^.]*$", "$1").alias("type_name")
