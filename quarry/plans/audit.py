@@ -79,7 +79,7 @@ def alerts(sources: DataFrame, task: str | None = None) -> DataFrame:
     by_language = {
         "c": lambda: c_rules.c_alerts(sources, code.statements_of(kept.functions(sources.where("language = 'c'"))), task),
         "solidity": lambda: solidity_rules.solidity_alerts(sources, task, kept.contracts(sources)),
-        "rust": lambda: rust_rules.rust_alerts(sources, lambda: kept.functions(sources.where("language = 'rust'")), code.lines_of(sources), task),
+        "rust": lambda: rust_rules.rust_alerts(sources, lambda: kept.functions(sources.where("language = 'rust'")), task),
     }
     if task is not None:
         return by_language[language_of_task(task)]()

@@ -192,7 +192,7 @@ _LINE_RULES = {
 
 
 for _task, _select in _LINE_RULES.items():
-    _add(_task, "file", lambda src: R.line_alerts(src, code.lines_of(src)), _LINES + _select)
+    _add(_task, "file", R.line_alerts, _LINES + _select)
 
 # --- Solidity -----------------------------------------------------------------------------------------------------------
 

@@ -17,6 +17,10 @@ from quarry.operators.c_rules import RESERVED_KEYS
 from quarry.sources import corpus
 
 
+#: Suppliers whose files one task writes.
+SUPPLIERS = 1000
+
+
 @dataclass(frozen=True)
 class File:
     """head, chosen chunks with a separator, tail; chunk i stays unless key + i is divisible by ``skip``. @K is the key, @N the nation."""
@@ -66,7 +70,10 @@ def sources(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
         return F.struct(F.concat(F.lit("p"), key.cast("string"), F.lit(f"/{f.name}")).alias("path"), F.lit(f.ord).alias("file_ord"), F.lit(f.language).alias("language"), text.alias("content"))
 
     files = [one(FILES[k]) for k in kinds or FILES]
-    # five small texts for each row of a large table: more tasks than the table's own few files
+    # five texts for each row of a small file: more tasks than the table's own, by its rows
+    parts = -(-suppliers.count() // SUPPLIERS)
+    if parts > 1:
+        suppliers = suppliers.repartition(parts, "s_suppkey")
     return suppliers.select(F.explode(F.array(*files)).alias("f")).select("f.*")
 
 

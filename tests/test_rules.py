@@ -120,3 +120,18 @@ def test_one_task_computes_its_rule_alone(spark):
     plan = lambda task: audit.alerts(src, task)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan("101") and "Window" in plan("108")
     assert "MapInPandas" not in plan("205") and "MapInPandas" not in plan("2")  # parsed before, and kept
+
+
+def test_line_rules_join_nothing(spark):
+    from quarry.operators import rust_rules
+
+    comments = ["// SAFETY: held"] + ["x;"] * 15 + ["unsafe { a }"] + ["// SAFETY: held"] + ["y;"] * 14 + ["  unsafe { b } // c"]
+    spawned = ["#[cfg(test)]"] + [";"] * 42 + ["tokio::spawn(a); "] + [";"] * 159 + ["a.unwrap()"] + ["tokio::spawn(b);"] * 10 + [";"] * 50 + ["b.unwrap() // c"]
+    bare = ["#![no_std]", "use std::a; // b", "#[std::c]", "use core::d; // std::e"]
+    rows = [("a.rs", 0, "rust", "\n".join(comments)), ("b.rs", 1, "rust", "\r\n".join(spawned)), ("c.rs", 2, "rust", "\n".join(bare)), ("d.rs", 3, "rust", None), ("e.c", 4, "c", "unsafe { a }")]
+    df = rust_rules.line_alerts(spark.createDataFrame(rows, "path string, file_ord int, language string, content string"))
+    got = sorted((r.path, r.task_id, r.idx, r.detail) for r in df.collect())
+    assert got == [("a.rs", "209", 17, "unsafe { a }")] + [("b.rs", "218", n, "") for n in range(205, 213)] + [("c.rs", "216", 2, "use std::a;")]
+    # lines that were joined with their neighbours went whole to the driver and all tasks where the planner thought them few
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
