@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.operators.shared import shuffled
+
 EVIDENCE = ("kind", "summary", "type_name", "function_name", "statement", "source_statement", "confidence_reason", "line_number", "line_numbers")
 
 
@@ -21,7 +23,7 @@ def told(message: Column) -> Column:
 
 def lines_holding(wanted: DataFrame, lines: DataFrame, statement: str = "source_statement") -> DataFrame:
     """Per (path, statement) the sorted numbers of the lines of its file that hold it; blank statements are in no line."""
-    held = wanted.where(F.trim(statement) != "").select("path", statement).distinct().join(lines.select("path", "n", "line"), "path")
+    held = wanted.where(F.trim(statement) != "").select("path", statement).distinct().join(shuffled(lines.select("path", "n", "line")), "path")
     return held.where(F.contains("line", F.trim(statement))).groupBy("path", statement).agg(F.sort_array(F.collect_set("n")).alias("line_numbers"))
 
 
@@ -31,7 +33,7 @@ def infer(alerts: DataFrame, index: DataFrame, functions: DataFrame, lines: Data
     index: path, key_ord, type_name, function_name, ord, source_statement, reason; functions: path, type_ord, type_name,
     fn_ord, fn_name (a type without functions has a row with a null name); lines: path, n, line.
     """
-    found = alerts.select("alert_id", "path", "message")
+    found = shuffled(alerts.select("alert_id", "path", "message"))
     rank = lambda *c: F.struct(*[(F.lit(x) if isinstance(x, int) else x).cast("long").alias(f"r{i}") for i, x in enumerate(c)]).alias("rank")
     pick = lambda t, f, s, reason: F.struct(t.alias("type_name"), f.alias("function_name"), s.alias("matched"), reason.alias("reason")).alias("pick")
     none = F.lit(None).cast("string")

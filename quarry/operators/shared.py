@@ -34,6 +34,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, never sent whole to the driver and all tasks by the join that it goes into.
+
+    Texts that a plan puts together, lines and rows from compressed files are taken for far smaller than they are.
+    """
+    return df.hint("merge")
+
+
 class Rounds:
     """Tables of an iteration: each is written and read again, so that plans don't pile up and lost executors cost one round."""
 

@@ -54,7 +54,7 @@ class Facts:
         first = self._table(f"{kind}-done", DONE).groupBy("digest", "language").agg(F.min("batch").alias("batch"))
         facts = self._table(kind, kept).join(first, ["digest", "language", "batch"], "left_semi")
         stem = F.regexp_replace(T.basename(F.col("path")), r"(?s)^(.+)\.[^.]*$", "$1").alias("type_name")
-        return facts.join(named, ["digest", "language"]).select(*[stem if c == "type_name" and kind == "functions" else F.col(c) for c, _ in fields])
+        return facts.join(shared.shuffled(named), ["digest", "language"]).select(*[stem if c == "type_name" and kind == "functions" else F.col(c) for c, _ in fields])
 
     def functions(self, sources: DataFrame) -> DataFrame:
         """As code.functions_of."""
