@@ -5,11 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quarry.functions.text import any_token, called_with, collapse
+from quarry.operators.shared import shuffled
 
 # Fixed values of the rules.
 MONEY = ["totalsupply", "balance", "fee", "amount", "supply"]
@@ -19,6 +20,8 @@ RECEIVERS, POINTS = ["recieve", "take", "burn", "allowance", "balance", "point"]
 MATH = [".mul", ".div", ".add", ".sub", "math.", "+", "-", "*", "/"]
 COMMENT_WORDS = [" version ", " new ", " old "]
 SIMILAR, LENGTH_GAP = 0.9, 0.2
+#: Names of a group that one task compares with all of the group.
+GROUP_PART = 200
 
 def contracts_of(df: DataFrame) -> DataFrame:
     """The functions of Solidity contracts with their facts: state, statements, mutations, guards, transfers, computations."""
@@ -113,13 +116,18 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_names(names: DataFrame, keys: list[str]) -> DataFrame:
     """10: pairs of names of one contract and kind, in order of ``ord``, that are nearly the same.
 
-    Names whose lengths alone rule the ratio out are not compared: it is at most twice the lesser length over the sum.
+    Every two different names of a group are compared once, whatever the rows that have them, and a large group's
+    comparisons are dealt out over many tasks. Names whose lengths alone rule the ratio out are not compared: it is at
+    most twice the lesser length over the sum.
     """
     a, b = (names.select(*keys, F.col("name").alias(f"{k}_name"), F.col("ord").alias(f"{k}_ord")) for k in "ab")
-    pairs = a.join(b, keys).where("a_ord < b_ord")
+    once = names.select(*keys, "name").distinct().withColumn("_parts", F.ceil(F.count("*").over(Window.partitionBy(*keys)) / GROUP_PART))
+    left = once.select(*keys, F.col("name").alias("a_name"), F.pmod(F.xxhash64("name"), "_parts").alias("_part"))
+    right = once.select(*keys, F.col("name").alias("b_name"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
     la, lb = F.length("a_name"), F.length("b_name")
-    pairs = pairs.where((2 * F.least(la, lb) > SIMILAR * (la + lb)) & ((la - lb) / F.greatest(la, lb) < LENGTH_GAP))
-    return pairs.where(name_ratio("a_name", "b_name") > SIMILAR)
+    alike = left.join(shuffled(right), [*keys, "_part"]).where((2 * F.least(la, lb) > SIMILAR * (la + lb)) & ((la - lb) / F.greatest(la, lb) < LENGTH_GAP))
+    alike = alike.where(name_ratio("a_name", "b_name") > SIMILAR).drop("_part")
+    return a.join(shuffled(alike), [*keys, "a_name"]).join(shuffled(b), [*keys, "b_name"]).where("a_ord < b_ord")
 
 
 def name_alerts(df: DataFrame) -> DataFrame:

@@ -135,3 +135,21 @@ def test_line_rules_join_nothing(spark):
     # lines that were joined with their neighbours went whole to the driver and all tasks where the planner thought them few
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_names_that_repeat_are_compared_once(spark, monkeypatch):
+    import difflib
+
+    from quarry.operators import solidity_rules
+
+    monkeypatch.setattr(solidity_rules, "GROUP_PART", 3)
+    names = [f"Supplier#{k:04d}" for k in (1, 2, 12, 211, 9999)] + ["short", None]
+    rows = [(g, names[k % 7], k) for g in ("x", "y", None) for k in range(40)]
+    df = solidity_rules.similar_names(spark.createDataFrame(rows, "g string, name string, ord int"), ["g"])
+    got = sorted((r.g, r.a_name, r.b_name, r.a_ord, r.b_ord) for r in df.collect())
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = sorted((g, a, b, i, j) for g, a, i in rows for h, b, j in rows if g is not None and g == h and a and b and i < j and (len(a) - len(b)) / max(len(a), len(b)) < 0.2 and ratio(a, b) > 0.9)
+    assert got == want
+    # the comparisons come before the rows that share a name, and are of different names
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("ArrowEvalPython"):]
