@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.operators.shared import Rounds
+from quarry.operators.shared import Rounds, shuffled
 
 #: How a literal begins, besides quotes, digits and 0x.
 LITERAL = r"""^(?:true|false|['"].*|\d+|0x[0-9a-fA-F]+|(?:address\(|uint|int|bytes|string\().*)$"""
@@ -48,8 +48,8 @@ def write_paths(functions: DataFrame, edges: DataFrame, own: int = 3, args: int
     """
     mine = functions.select("id", F.lit(-1).cast("long").alias("ord"), F.posexplode(F.slice("writes", 1, own)).alias("at", "w")).select("id", "ord", "at", F.concat(F.lit("self -> "), "w").alias("path"), F.lit("high").alias("confidence"))
     callee = functions.where(F.trim(F.get("writes", F.lit(0))) != "").select(F.col("id").alias("target"), "label", F.trim(F.get("writes", F.lit(0))).alias("first"))
-    called = edges.where("kind = 'function_to_function'").select(F.col("source").alias("id"), "target", F.col("ord").cast("long").alias("ord"), "args_map").join(callee, "target")
-    called = called.join(functions.select("id"), "id", "left_semi")
+    called = edges.where("kind = 'function_to_function'").select(F.col("source").alias("id"), "target", F.col("ord").cast("long").alias("ord"), "args_map").join(shuffled(callee), "target")
+    called = called.join(shuffled(functions.select("id")), "id", "left_semi")
     whole = F.array(F.concat(F.lit("internal call -> "), "label", F.lit(" -> "), "first"))
     blank = lambda c, d: F.when(F.trim(c) == "", d).otherwise(F.coalesce(F.trim(c), F.lit(d)))
     each = F.transform(F.slice("args_map", 1, args), lambda a: F.concat(blank(a.param, "arg"), F.lit(" <- "), blank(a.value, "?"), F.lit(" ("), blank(a.source_kind, "unknown"), F.lit(") -> "), F.col("label"), F.lit(" -> "), F.col("first")))
@@ -66,17 +66,17 @@ def drop_parent_cycles(nodes: DataFrame) -> DataFrame:
     order on each chain in as many rounds as a chain's length has bits; every round is written, so plans stay small.
     """
     known = nodes.select(F.col("id").alias("up"), F.col("ord").cast("long").alias("low"))
-    state = nodes.select("id", F.nullif("parent", F.lit("")).alias("up")).join(known, "up", "left")
+    state = nodes.select("id", F.nullif("parent", F.lit("")).alias("up")).join(shuffled(known), "up", "left")
     # a parent that is no node ends a chain
     rounds = Rounds(nodes.sparkSession, "parent-cycles")
     state = rounds.save(state.select("id", F.when(F.col("low").isNotNull(), F.col("up")).alias("up"), "low"))
     for _ in range(max(1, nodes.count()).bit_length()):
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
-        state = rounds.save(state.join(far, "up", "left").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low")))
+        state = rounds.save(state.join(shuffled(far), "up", "left").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low")))
         if not state.where("up is not null").limit(1).count():
             break
     lost = F.col("up").isNotNull() & (F.col("ord") <= F.col("low"))
-    return nodes.join(state, "id").select("id", "parent", "ord", F.when(~lost, F.nullif("parent", F.lit(""))).alias("kept"))
+    return nodes.join(shuffled(state), "id").select("id", "parent", "ord", F.when(~lost, F.nullif("parent", F.lit(""))).alias("kept"))
 
 
 #: Groups in the order in which a name is looked up, inside its type first and then anywhere.
