@@ -34,6 +34,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+#: Bytes of rows that a Python worker gets at once; by default only their number is limited, and files are long.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """df, never sent whole to the driver and all tasks by the join that it goes into.
 

@@ -46,6 +46,7 @@ class Facts:
         kept = ", ".join(f"{c} {t}" for c, t in fields if c in own)
         kept = f"digest string, batch string, {kept}" if "language" in own else f"digest string, batch string, language string, {kept}"
         if new.limit(1).count():
+            shared.bounded_batches(self.spark)
             batch = uuid.uuid4().hex
             parsed = parse(new.select(F.col("digest").alias("path"), F.lit(0).alias("file_ord"), "language", "content"))
             rows = parsed.select(F.col("path").alias("digest"), F.lit(batch).alias("batch"), *([] if "language" in own else [F.lit(languages[0]).alias("language")]), *own)

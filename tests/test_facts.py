@@ -33,3 +33,20 @@ def test_no_sources(spark, tmp_path):
     empty = spark.createDataFrame([], code.SOURCES)
     assert kept.functions(empty).collect() == [] and kept.contracts(empty).collect() == []
     assert kept.functions(empty).schema.simpleString() == code.functions_of(empty).schema.simpleString()
+
+
+def test_parsers_get_files_by_their_bytes(spark, tmp_path):
+    from quarry.operators import shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256MB")
+    try:
+        src = spark.createDataFrame([("n.c", 9, "c", "int g( void ) { return 1; }")], code.SOURCES)
+        assert Facts(spark, str(tmp_path / "facts")).functions(src).count() == 1
+        assert spark.conf.get(name) == str(shared.BATCH_BYTES)
+        spark.conf.set(name, "1m")
+        shared.bounded_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
