@@ -216,3 +216,49 @@ def test_edges_of_ids(spark):
 
 def test_byte_sizes():
     assert [byte_size(x) for x in ("8m", "64KB", "1048576", "1g", "12b", "2MiB")] == [8 << 20, 64 << 10, 1 << 20, 1 << 30, 12, 2 << 20]
+
+
+def near(x, y):
+    k = len(x & y)
+    return 100 * k >= 80 * (len(x) + len(y) - k)
+
+
+def test_every_near_pair_shares_a_key_and_a_rest():
+    """Texts of one paragraph whose ends differ, and such as repeat themselves, by all pairs."""
+    r = random.Random(3)
+    texts, sets = [], []
+    for _ in range(150):
+        base = [f"w{r.randrange(10**6)}" for _ in range(d.WORDS + 1)] if r.random() < 0.4 else [r.choice("ab") for _ in range(r.randrange(3, 14))] + [r.choice("abcdef") for _ in range(18)]
+        for k in range(4):
+            w = base[k % 2 :][: d.WORDS]
+            w[(0, -1)[k // 2]] = r.choice(["a", "b", f"x{r.randrange(10**6)}"])
+            texts.append(" ".join(w))
+            sets.append({tuple(w[i : i + 5]) for i in range(d.GRAMS)})
+    (_, _, t), = text_chunks(pa.array(texts), 1 << 30)
+    p = d.Paragraphs(t)
+    assert p.of.tolist() == list(range(len(texts)))
+    keys, owner = p.bands()
+    mine = [set(keys[owner == i].tolist()) for i in range(len(texts))]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and near(sets[i], sets[j])]
+    assert {abs(len(sets[i]) - len(sets[j])) for i, j in pairs} >= {0, 1, 2} and len(pairs) > 300
+    assert all(mine[i] & mine[j] for i, j in pairs)
+    assert all(mine[i] & mine[j] for i in range(len(texts)) for j in range(i) if sets[i] == sets[j])
+
+
+def test_no_link_is_lost(spark):
+    """First or last words that differ, passages cut a word apart and texts that repeat themselves: classes as from all pairs."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(d.WORDS + 1)] if i % 3 else [r.choice("ab") for _ in range(r.randrange(3, 14))] + [r.choice("abcdef") for _ in range(18)]
+        for k in range(4):
+            w = base[k % 2 :][: d.WORDS]
+            w[(0, -1)[k // 2]] = r.choice(["a", f"x{r.randrange(10**6)}"])
+            rows.append((i * 10 + k, " ".join(w)))
+    assert found(spark, rows)[1] == brute(rows)
+
+
+def test_overlapping_paragraphs_of_one_text_are_no_repeats(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(400))) for i in range(20)]
+    assert len(brute(rows)) > 10 and found(spark, rows)[0] == []
