@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions import text as T
 from quarry.operators import calls, code_graph, extract, payload, rust_rules, solidity_graph, solidity_rules
-from quarry.operators.shared import Rounds
+from quarry.operators.shared import Rounds, shuffled
 from quarry.sources.facts import Facts
 
 #: Orders inside a file: types, then functions, state, events and modifiers of each type.
@@ -61,9 +61,9 @@ def modifiers_of(contracts: DataFrame) -> Column:
 
 def solidity(sources: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = solidity_rules.contracts_of(contracts)
-    own = solidity_graph.own_texts(sources, contracts)
+    own = Rounds(sources.sparkSession, "own-texts").save(solidity_graph.own_texts(sources, contracts))
     types = own.select("path", "type_name", "at")
-    df = df.join(types, ["path", "type_name"]).withColumn("used", modifiers_of(df))
+    df = df.join(shuffled(types), ["path", "type_name"]).withColumn("used", modifiers_of(df))
     base = F.col("at") * _TYPE
     reads = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("stmts", lambda s: ~F.contains(s, F.lit("="))), lambda s: F.filter("state", lambda v: F.contains(s, v))))))
     entry = F.col("modifiers").rlike(r"\b(?:external|public)\b")
@@ -84,7 +84,7 @@ def solidity(sources: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataF
     caller = params.select("path", F.col("type_name").alias("source_type"), F.col("fn_name").alias("source_name"), "body", "state", F.col("names").alias("caller_params")).dropDuplicates(["path", "source_type", "source_name"])
     callee = params.select("path", F.col("type_name").alias("target_type"), F.col("fn_name").alias("bare"), F.col("names").alias("callee_params")).dropDuplicates(["path", "target_type", "bare"])
     inner = links.where("kind = 'function_to_function'").withColumn("bare", F.regexp_replace("target_name", r"^super\.", ""))
-    inner = inner.join(caller, ["path", "source_type", "source_name"], "left").join(callee, ["path", "target_type", "bare"], "left")
+    inner = inner.join(shuffled(caller), ["path", "source_type", "source_name"], "left").join(shuffled(callee), ["path", "target_type", "bare"], "left")
     site = call_site(F.col("body"), F.col("bare"))
     args = F.when(site != "", calls.positional_args(F.regexp_extract(site, r"(?s)^[^(]*\((.*)\)$", 1), F.coalesce("callee_params", _none()), F.coalesce("caller_params", _none()), F.coalesce("state", _none())))
     inner = inner.select(*links.columns, "bare", site.alias("callsite"), args.alias("args_map"))
@@ -129,7 +129,7 @@ def c(sources: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = F.array_union("tags", "aliases")
     text = F.regexp_replace(F.concat_ws("\n", "params", "body"), r"\s+", " ")
     meant = lambda n: F.regexp_like(F.col("text"), F.concat(F.lit(r"\bstruct\s+\Q"), n, F.lit(r"\E\b|\b\Q"), n, F.lit(r"\E\s*\*")))
-    used = code.select("path", "type_name", "fn_name", "fn_ord", text.alias("text")).join(known.select("path", names.alias("names")).where(F.size("names") > 0), "path")
+    used = code.select("path", "type_name", "fn_name", "fn_ord", text.alias("text")).join(shuffled(known.select("path", names.alias("names")).where(F.size("names") > 0)), "path")
     used = used.select("path", "type_name", "fn_name", "fn_ord", F.posexplode(F.filter("names", meant)).alias("at", "name"))
     edges.append(_edge(used, ord=first + F.col("at"), source_type=F.col("type_name"), source_name=F.col("fn_name"), target_type=F.col("type_name"), target_name=F.col("name"), kind="function_to_workspace", label="struct_use_heuristic"))
     units = known.select("path", "type_name", F.posexplode("included").alias("at", "name"))
@@ -167,7 +167,7 @@ def rust(sources: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame
     edges = [_edge(held, ord=first + F.col("at"), source_type=F.col("type_name"), source_name=F.when(auth, F.col("e.name")).otherwise(F.col("fn_name")), target_type=F.col("type_name"), target_name=F.when(auth, F.col("fn_name")).otherwise(F.col("e.name")), kind=F.col("e.kind"), label=F.col("e.label"), callsite=F.when(auth, "auth_dep").otherwise(""))]
     # every call of a function of the file, again where it is called again
     called = facts.select("path", "type_name", "fn_name", "fn_ord", F.posexplode(F.regexp_extract_all("body", F.lit(r"\b(\w+)\s*\("), 1)).alias("at", "name")).where("name <> fn_name")
-    called = called.join(functions.where("language = 'rust'").select("path", F.col("fn_name").alias("name")).distinct(), ["path", "name"], "left_semi").where(~F.col("name").isin(RUST_NO_CALLS))
+    called = called.join(shuffled(functions.where("language = 'rust'").select("path", F.col("fn_name").alias("name")).distinct()), ["path", "name"], "left_semi").where(~F.col("name").isin(RUST_NO_CALLS))
     edges.append(_edge(called, ord=first + F.col("at"), source_type=F.col("type_name"), source_name=F.col("fn_name"), target_type=F.col("type_name"), target_name=F.col("name"), kind="function_to_function", label="intracontract_call"))
     return _union(nodes), _numbered(edges, 8)
 

@@ -65,18 +65,26 @@ def drop_parent_cycles(nodes: DataFrame) -> DataFrame:
     Hence a node loses it if its chain returns and no node of the chain comes before it. Pointer doubling finds the least
     order on each chain in as many rounds as a chain's length has bits; every round is written, so plans stay small.
     """
-    known = nodes.select(F.col("id").alias("up"), F.col("ord").cast("long").alias("low"))
-    state = nodes.select("id", F.nullif("parent", F.lit("")).alias("up")).join(shuffled(known), "up", "left")
-    # a parent that is no node ends a chain
+    lost = losing_parents(nodes)
+    if lost is None:
+        return nodes.select("id", "parent", "ord", F.nullif("parent", F.lit("")).alias("kept"))
+    lost = lost.select("id", F.lit(True).alias("lost"))
+    return nodes.join(shuffled(lost), "id", "left").select("id", "parent", "ord", F.when(F.col("lost").isNull(), F.nullif("parent", F.lit(""))).alias("kept"))
+
+
+def losing_parents(nodes: DataFrame) -> DataFrame | None:
+    """The nodes (id) that drop_parent_cycles takes the parent from; none if no node's parent has a parent."""
+    nested = nodes.where("parent <> ''").select("id", F.col("parent").alias("up"), F.col("ord").cast("long").alias("ord"))
     rounds = Rounds(nodes.sparkSession, "parent-cycles")
-    state = rounds.save(state.select("id", F.when(F.col("low").isNotNull(), F.col("up")).alias("up"), "low"))
-    for _ in range(max(1, nodes.count()).bit_length()):
+    # a parent that is no node or has none ends a chain; chains that ended go
+    state = rounds.save(nested.join(shuffled(nested.select(F.col("id").alias("up"), F.col("ord").alias("low"))), "up").select("id", "ord", "up", "low"))
+    n = state.count()
+    for _ in range(n.bit_length()):
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
-        state = rounds.save(state.join(shuffled(far), "up", "left").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low")))
-        if not state.where("up is not null").limit(1).count():
-            break
-    lost = F.col("up").isNotNull() & (F.col("ord") <= F.col("low"))
-    return nodes.join(shuffled(state), "id").select("id", "parent", "ord", F.when(~lost, F.nullif("parent", F.lit(""))).alias("kept"))
+        state = rounds.save(state.join(shuffled(far), "up").select("id", "ord", F.col("next").alias("up"), F.least("low", "next_low").alias("low")))
+        if not state.limit(1).count():
+            return None
+    return state.where("ord <= low").select("id") if n else None
 
 
 #: Groups in the order in which a name is looked up, inside its type first and then anywhere.

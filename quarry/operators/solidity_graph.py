@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.operators import extract
+from quarry.operators.shared import shuffled
 
 # Functions of the system, looked for by name.
 SYSTEM = [
@@ -39,14 +40,14 @@ def calls_of(body: Column, name: Column) -> Column:
 def own_texts(sources: DataFrame, contracts: DataFrame) -> DataFrame:
     """path, type_name, at, own: each type's place in its file and its text, which reaches to the next type."""
     texts = sources.where("language = 'solidity'").select("path", "content")
-    named = contracts.select("path", "type_name").distinct().join(texts, "path")
+    named = contracts.select("path", "type_name").distinct().join(shuffled(texts), "path")
     at = F.greatest(*[F.regexp_instr("content", F.concat(F.lit(rf"\b{word}\s+"), F.col("type_name"), F.lit(r"\b"))) for word in ("contract", "library", "interface")])
     spans = named.select("path", "type_name", at.cast("long").alias("at"), "content")
     # the types of a file are few: their places meet in one row
     places = spans.groupBy("path").agg(F.array_sort(F.collect_set("at")).alias("places"))
     following = F.get(F.filter("places", lambda x: x > F.col("at")), F.lit(0))
     end = F.coalesce(following, F.length("content") + 1)
-    return spans.join(places, "path").select("path", "type_name", "at", F.substring("content", F.col("at").cast("int"), (end - F.col("at")).cast("int")).alias("own"))
+    return spans.join(shuffled(places), "path").select("path", "type_name", "at", F.substring("content", F.col("at").cast("int"), (end - F.col("at")).cast("int")).alias("own"))
 
 
 def events_of(own: DataFrame) -> DataFrame:
@@ -71,17 +72,17 @@ def edges(contracts: DataFrame, events: DataFrame) -> DataFrame:
     state = of.select("path", c("type_name").alias("owner"), F.explode("state").alias("name")).distinct()
     named = of.select("path", c("type_name").alias("owner"), c("fn_name").alias("name")).distinct()
     row = lambda df, *cols: df.select("path", *[x.alias(n) for x, n in zip(cols, EDGE[1:])])
-    own = lambda names: body.join(names, (body.path == names.path) & (body.type_name == names.owner)).drop(names.path)
+    own = lambda names: body.join(shuffled(names), (body.path == names.path) & (body.type_name == names.owner)).drop(names.path)
     heirs = body.select("path", "type_name", "caller", "body", F.explode("owners").alias("owner"))
     reads = row(own(state).where(touches(c("body"), c("name"))), c("owner"), c("name"), c("type_name"), c("caller"), F.lit("state_to_function"))
     target = F.when(c("caller") == c("name"), F.concat(F.lit("super."), "name")).otherwise(c("name"))
     inner = row(own(named).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), target, F.lit("function_to_function"))
     system = body.select("*", F.explode(F.filter(F.array(*[F.lit(x) for x in SYSTEM]), lambda x: calls_of(c("body"), x))).alias("name"))
     system = row(system, c("type_name"), c("caller"), F.lit(""), c("name"), F.lit("function_to_system"))
-    emitted = body.select("*", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\bemit\s+(\w+)\s*\("), 1))).alias("name")).join(events, ["path", "type_name", "name"], "left_semi")
+    emitted = body.select("*", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\bemit\s+(\w+)\s*\("), 1))).alias("name")).join(shuffled(events), ["path", "type_name", "name"], "left_semi")
     emitted = row(emitted, c("type_name"), c("caller"), c("type_name"), c("name"), F.lit("function_to_event"))
-    past = row(heirs.join(state, ["path", "owner"]).where(touches(c("body"), c("name"))), c("owner"), c("name"), c("type_name"), c("caller"), F.lit("cross_type_state"))
-    above = row(heirs.join(named, ["path", "owner"]).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), c("name"), F.lit("cross_type_call"))
+    past = row(heirs.join(shuffled(state), ["path", "owner"]).where(touches(c("body"), c("name"))), c("owner"), c("name"), c("type_name"), c("caller"), F.lit("cross_type_state"))
+    above = row(heirs.join(shuffled(named), ["path", "owner"]).where(calls_of(c("body"), c("name"))), c("type_name"), c("caller"), c("owner"), c("name"), F.lit("cross_type_call"))
     out = reads
     for part in (inner, system, emitted, past, above, object_edges(contracts).select(*EDGE)):
         out = out.unionByName(part)

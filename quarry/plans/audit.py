@@ -161,13 +161,13 @@ def corpus_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked nodes of the derived files of all languages."""
-    nodes, _ = payload.payload(*adapters.model(derived.sources(spark, sf_dir)))
+    nodes = payload.nodes_of(*adapters.model(derived.sources(spark, sf_dir)))
     return nodes.select("path", "id", "group", "label", "parent", "kind", "is_entrypoint", F.size("write_paths").alias("write_paths"))
 
 
 def corpus_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked edges of the derived files of all languages."""
-    _, edges = payload.payload(*adapters.model(derived.sources(spark, sf_dir)))
+    edges = payload.edges_of(*adapters.model(derived.sources(spark, sf_dir)))
     return edges.select("path", "source", "target", "kind", "label", "callsite", F.size("args_map").alias("args"), "confidence")
 
 

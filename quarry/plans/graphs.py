@@ -38,7 +38,8 @@ def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = t("supplier").select("s_suppkey", F.concat(F.lit("./src/n"), nation.cast("string"), suffix).alias("path"), language.alias("language"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("type_name"))
     items = t("lineitem").join(files, F.col("l_suppkey") == F.col("s_suppkey"))
     first = F.col("s_suppkey") * 10_000
-    of = lambda group, base, c: items.select("path", "language", "type_name", "s_suppkey", c.alias("x")).distinct().select("path", "language", "type_name", (first + base + F.conv(F.substring(F.sha2(F.col("x").cast("string"), 256), 1, 3), 16, 10).cast("long")).alias("ord"), F.lit(group).alias("group"), "x")
+    # names are told apart by keys, before they become rows with texts
+    of = lambda group, base, c: t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), c.alias("x")).distinct().join(files, "s_suppkey").select("path", "language", "type_name", (first + base + F.conv(F.substring(F.sha2(F.col("x").cast("string"), 256), 1, 3), 16, 10).cast("long")).alias("ord"), F.lit(group).alias("group"), "x")
     text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     node = lambda df, **c: payload.rows(df, payload.NODE, **c)
     x = F.col("x")
@@ -122,13 +123,13 @@ _NODES = _NODES.replace("case when language", "case when wn.language").replace("
 @query(f"with {_MODEL} {_NODES}")
 def payload_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of all files: ids, groups, parents, paths of writes and what functions call."""
-    return _shown_nodes(payload.payload(*model(spark, sf_dir))[0])
+    return _shown_nodes(payload.nodes_of(*model(spark, sf_dir)))
 
 
 @query(f"with {_MODEL} {_EDGES}")
 def payload_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of all files between checked ids, with how sure they are."""
-    return payload.payload(*model(spark, sf_dir))[1].select("path", "id", "source", "target", "kind", "is_heuristic", "confidence", "experimental")
+    return payload.edges_of(*model(spark, sf_dir)).select("path", "id", "source", "target", "kind", "is_heuristic", "confidence", "experimental")
 
 
 _TAG = "regexp_extract(path, '[^/]*$')"

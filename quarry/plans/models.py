@@ -209,7 +209,7 @@ def _token(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {spread_sql(SOLIDITY_EDGES, 'e', 'source, target, kind', source=_bank('source'), target=_bank('target'))} select source, target, kind from e")
 def solidity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of contracts, whose events and modifiers are their own."""
-    return payload.payload(*adapters.model(_token(spark, sf_dir)))[1].select("source", "target", "kind")
+    return payload.edges_of(*adapters.model(_token(spark, sf_dir))).select("source", "target", "kind")
 
 
 SOLIDITY_NODES = [
@@ -222,7 +222,7 @@ SOLIDITY_NODES = [
 
 @query(f"with {spread_sql(SOLIDITY_NODES, 'n', 'id, grp, parent', id=_bank('id'), parent=_bank('parent'))} select distinct id, grp, parent from n")
 def solidity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _ = payload.payload(*adapters.model(_token(spark, sf_dir)))
+    nodes = payload.nodes_of(*adapters.model(_token(spark, sf_dir)))
     return nodes.select("id", F.col("group").alias("grp"), "parent").distinct()
 
 
