@@ -40,7 +40,7 @@ class Facts:
         digest = F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest")
         files = sources.where(F.col("language").isin(*languages))
         named = files.select("path", "file_ord", "language", digest)
-        new = files.select(digest, "language", "content").join(self._table(f"{kind}-done", DONE), ["digest", "language"], "left_anti").dropDuplicates(["digest", "language"])
+        new = files.select(digest, "language", "content").join(shared.shuffled(self._table(f"{kind}-done", DONE)), ["digest", "language"], "left_anti").dropDuplicates(["digest", "language"])
         fields = [x.split(" ", 1) for x in schema.split(", ")]
         own = [c for c, _ in fields if c not in _OF_PATH or (c == "type_name" and kind == "contracts")]
         kept = ", ".join(f"{c} {t}" for c, t in fields if c in own)
@@ -53,7 +53,7 @@ class Facts:
             rows.write.parquet(f"{self.root}/v{VERSION}/{kind}/{batch}")
             new.select("digest", "language", F.lit(batch).alias("batch")).write.parquet(f"{self.root}/v{VERSION}/{kind}-done/{batch}")
         first = self._table(f"{kind}-done", DONE).groupBy("digest", "language").agg(F.min("batch").alias("batch"))
-        facts = self._table(kind, kept).join(first, ["digest", "language", "batch"], "left_semi")
+        facts = self._table(kind, kept).join(shared.shuffled(first), ["digest", "language", "batch"], "left_semi")
         stem = F.regexp_replace(T.basename(F.col("path")), r"(?s)^(.+)\.[^.]*$", "$1").alias("type_name")
         return facts.join(shared.shuffled(named), ["digest", "language"]).select(*[stem if c == "type_name" and kind == "functions" else F.col(c) for c, _ in fields])
 

@@ -50,3 +50,9 @@ def test_parsers_get_files_by_their_bytes(spark, tmp_path):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_what_is_known_of_files_is_never_broadcast(spark, tmp_path):
+    rows = [("a.sol", 0, "solidity", "contract A { uint x; function f() public { x = 1; } }")]
+    found = Facts(spark, str(tmp_path)).contracts(spark.createDataFrame(rows, code.SOURCES))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
