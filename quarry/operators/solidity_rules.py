@@ -20,8 +20,10 @@ RECEIVERS, POINTS = ["recieve", "take", "burn", "allowance", "balance", "point"]
 MATH = [".mul", ".div", ".add", ".sub", "math.", "+", "-", "*", "/"]
 COMMENT_WORDS = [" version ", " new ", " old "]
 SIMILAR, LENGTH_GAP = 0.9, 0.2
-#: Names of a group that one task compares with all of the group.
+#: Names of a group that are compared with all of the group in one place; larger groups are dealt out.
 GROUP_PART = 200
+#: Characters at most that a name is tried without, and how many comparisons a string that comes of it is worth.
+DELETIONS, SUBSEQUENCE = 3, 8
 
 def contracts_of(df: DataFrame) -> DataFrame:
     """The functions of Solidity contracts with their facts: state, statements, mutations, guards, transfers, computations."""
@@ -113,20 +115,74 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _least_matches(la: Column, lb: Column) -> Column:
+    """So many matching characters names of two lengths need at least for a ratio above SIMILAR."""
+    near = F.floor(SIMILAR * (la + lb) / 2)
+    return F.array_min(F.filter(F.sequence(near - 1, near + 2), lambda m: 2.0 * m / F.nullif(la + lb, F.lit(0)) > SIMILAR))
+
+
+def _subsequences(name: Column, gone: Column) -> Column:
+    """The different strings that a name becomes without ``gone`` of its characters, DELETIONS at most."""
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.left(s, i - 1), F.substring(s, i + 1, F.length(s))))
+    found = [F.array(name)]
+    for _ in range(DELETIONS):
+        found.append(F.array_distinct(F.flatten(F.transform(found[-1], without))))
+    out = F.lit(None)
+    for k in reversed(range(DELETIONS + 1)):
+        out = F.when(gone == k, found[k]).otherwise(out)
+    return out
+
+
+def _ways(n: Column, gone: Column) -> Column:
+    """How many subsequences a name of n characters has without ``gone`` of them; null beyond DELETIONS."""
+    product = F.lit(1.0)
+    out = F.when(gone == 0, product)
+    for k in range(1, DELETIONS + 1):
+        product = product * (n - (k - 1)) / k
+        out = out.when(gone == k, product)
+    return out
+
+
+def _meeting(once: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """Rows of once for every place ``_at`` where a name, as a or as b of a pair, meets others of its group.
+
+    A small group meets as a whole. In a large one it depends on the two lengths: matching blocks are a common subsequence, so
+    names that are alike enough share one of the least length that the ratio needs. Where the names of both lengths have few
+    of these, they meet by them; else all names of the one length meet all of the other, dealt out by parts of the first.
+    """
+    own, other = (F.col("_len"), F.col("_n")), (F.col("_x.len"), F.col("_x.n"))
+    (la, na), (lb, nb) = (own, other) if side == "a" else (other, own)
+    least = _least_matches(la, lb)
+    rows = once.select(*keys, "name", "_least", "_most", "_len", "_n", F.explode("_lens").alias("_x"))
+    rows = rows.where(F.col("_x.len").isNull() | (least <= F.least(la, lb)))
+    few = F.coalesce((na * _ways(la, la - least) + nb * _ways(lb, lb - least)) * SUBSEQUENCE < na * nb, F.lit(False))
+    parts = F.ceil(na / GROUP_PART)
+    part = F.array(F.pmod(F.xxhash64("name"), parts)) if side == "a" else F.sequence(F.lit(0).cast("long"), parts - 1)
+    place = lambda x: F.xxhash64(la, lb, x)
+    at = F.when(F.col("_x.len").isNull(), F.array(F.lit(0).cast("long"))).when(few, F.transform(_subsequences(F.col("name"), F.col("_len") - least), place)).otherwise(F.transform(part, place))
+    return rows.select(*keys, F.col("name").alias(f"{side}_name"), F.col("_least" if side == "a" else "_most").alias(f"_{side}"), F.explode(at).alias("_at"))
+
+
 def similar_names(names: DataFrame, keys: list[str]) -> DataFrame:
     """10: pairs of names of one contract and kind, in order of ``ord``, that are nearly the same.
 
-    Every two different names of a group are compared once, whatever the rows that have them, and a large group's
-    comparisons are dealt out over many tasks. Names whose lengths alone rule the ratio out are not compared: it is at
-    most twice the lesser length over the sum.
+    Every two different names of a group that may be alike are compared once, whatever the rows that have them. Names whose
+    lengths or edit distance alone rule the ratio out are not compared: it is at most twice a common subsequence's length
+    over the sum.
     """
     a, b = (names.select(*keys, F.col("name").alias(f"{k}_name"), F.col("ord").alias(f"{k}_ord")) for k in "ab")
-    once = names.select(*keys, "name").distinct().withColumn("_parts", F.ceil(F.count("*").over(Window.partitionBy(*keys)) / GROUP_PART))
-    left = once.select(*keys, F.col("name").alias("a_name"), F.pmod(F.xxhash64("name"), "_parts").alias("_part"))
-    right = once.select(*keys, F.col("name").alias("b_name"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    once = names.where("name is not null").groupBy(*keys, "name").agg(F.min("ord").alias("_least"), F.max("ord").alias("_most")).withColumn("_len", F.length("name").cast("long"))
+    lens = once.groupBy(*keys, F.col("_len").alias("len")).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("_all"), F.collect_list(F.struct("len", "n")).alias("_lens"))
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("len"), F.lit(None).cast("long").alias("n")))
+    mine = F.filter("_lens", lambda x: x["len"] == F.col("_len"))[0]["n"]
+    once = once.join(shuffled(lens), keys).withColumns({"_n": mine, "_lens": F.when(F.col("_all") > GROUP_PART, F.col("_lens")).otherwise(whole)})
     la, lb = F.length("a_name"), F.length("b_name")
-    alike = left.join(shuffled(right), [*keys, "_part"]).where((2 * F.least(la, lb) > SIMILAR * (la + lb)) & ((la - lb) / F.greatest(la, lb) < LENGTH_GAP))
-    alike = alike.where(name_ratio("a_name", "b_name") > SIMILAR).drop("_part")
+    least = _least_matches(la, lb)
+    # each character that matches nothing is one edit at most
+    edits = F.call_function("levenshtein", F.col("a_name"), F.col("b_name"), (la + lb - 2 * least).cast("int"))
+    near = (least <= F.least(la, lb)) & ((la - lb) / F.nullif(F.greatest(la, lb), F.lit(0)) < LENGTH_GAP) & (edits >= 0)
+    met = _meeting(once, keys, "a").join(shuffled(_meeting(once, keys, "b")), [*keys, "_at"]).where(F.col("_a") < F.col("_b")).where(near)
+    alike = met.select(*keys, "a_name", "b_name").distinct().where(name_ratio("a_name", "b_name") > SIMILAR)
     return a.join(shuffled(alike), [*keys, "a_name"]).join(shuffled(b), [*keys, "b_name"]).where("a_ord < b_ord")
 
 

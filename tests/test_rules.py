@@ -153,3 +153,47 @@ def test_names_that_repeat_are_compared_once(spark, monkeypatch):
     # the comparisons come before the rows that share a name, and are of different names
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("ArrowEvalPython"):]
+
+
+def test_only_names_that_may_be_alike_are_compared(spark, monkeypatch):
+    """Names of many lengths, with one to three characters more, less, moved or other; all pairs by the library against few by keys."""
+    import difflib
+    import random
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from quarry.operators import solidity_rules
+
+    r = random.Random(7)
+
+    def changed(s):
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(s) + 1)
+            s = r.choice([s[:i] + r.choice("abé😀") + s[i:], s[:i] + s[i + 1 :], s[:i] + r.choice("xyz") + s[i + 1 :]])
+        return s
+
+    bases = ["".join(r.choice("abcdefgé") for _ in range(n)) for n in (4, 11, 18, 20, 31, 33, 64, 210)]
+    names = ["", "a", "aa", None] + [changed(b) for b in bases for _ in range(30)]
+    names += names[:40] + ["aaaa" * 60] * 2
+    rows = [(k % 2, name, k * 7919 % 1009) for k, name in enumerate(names)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = sorted((g, a, b, i, j) for g, a, i in rows for h, b, j in rows if g == h and a and b and i < j and (len(a) - len(b)) / max(len(a), len(b)) < 0.2 and ratio(a, b) > 0.9)
+    df = spark.createDataFrame(rows, "g int, name string, ord int")
+    for part, worth in ((20, 0), (20, 8), (20, 10**9), (10**6, 8)):
+        monkeypatch.setattr(solidity_rules, "GROUP_PART", part)
+        monkeypatch.setattr(solidity_rules, "SUBSEQUENCE", worth, raising=False)
+        got = sorted((r.g, r.a_name, r.b_name, r.a_ord, r.b_ord) for r in solidity_rules.similar_names(df, ["g"]).collect())
+        assert got == want, (part, worth)
+    monkeypatch.undo()
+    compared = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(len(a))
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    monkeypatch.setattr(solidity_rules, "name_ratio", counted)
+    many = spark.range(1500).selectExpr("1 as g", "format_string('Supplier#%09d', id) as name", "id as ord")
+    assert solidity_rules.similar_names(many, ["g"]).count() > 20_000
+    assert compared.value < 60_000
