@@ -141,13 +141,14 @@ select {_TAG} || '::' || id as id, {_TAG} || '::' || source as source, {_TAG} ||
 union all select 'bundle:' || left(sha256(source || chr(0) || target || chr(0) || kind), 12), source, target, kind from pairs""")
 def bundle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the merged graph of all files, where each imports the file whose nation comes three after its own, several times over."""
-    nodes, edges = payload.payload(*model(spark, sf_dir))
-    number = F.regexp_extract("path", r"(\d+)\.", 1).cast("int")
-    files = nodes.groupBy("path").agg(F.count("*").alias("n")).select("path", number.alias("at"))
-    imports = files.select(F.col("path").alias("consumer"), "at").join(files.select(F.col("path").alias("provider"), (F.col("at") - 3).alias("at")), "at")
-    kind = F.when(F.endswith("consumer", F.lit(".c")), "tile_to_tile").otherwise("bundle_import")
-    imports = imports.select("consumer", "provider", kind.alias("kind"), F.lit("import").alias("label"), F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("col")
-    return payload.bundle(nodes, edges, "all", imports)[1].select("id", "source", "target", "kind")
+
+    def imports(files: DataFrame) -> DataFrame:
+        numbered = files.select("path", F.regexp_extract("path", r"(\d+)\.", 1).cast("int").alias("at"))
+        pairs = numbered.select(F.col("path").alias("consumer"), "at").join(numbered.select(F.col("path").alias("provider"), (F.col("at") - 3).alias("at")), "at")
+        kind = F.when(F.endswith("consumer", F.lit(".c")), "tile_to_tile").otherwise("bundle_import")
+        return pairs.select("consumer", "provider", kind.alias("kind"), F.lit("import").alias("label"), F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("col")
+
+    return payload.bundled_edges(*model(spark, sf_dir), imports)
 
 
 @query("""with o as (select l_orderkey as a, l_linenumber as n, bool_or(l_quantity::int % 4 = 0) as stop from lineitem group by all),
